@@ -6,22 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
-from yushi.functions.regex import all_hits, group, hit, one, pair, span, two, whole
+from yushi.functions.regex import all_hits, group, hit, let, one, pair, span, two, whole
 
 MAN, OKU = 10_000, 100_000_000
 _YEN = "bigint"
 
 
-def _yen(*values):
-    return [F.lit(v).cast(_YEN) for v in values]
-
-
 def man(text: Column) -> Column:
     return whole(text) * MAN
 
 
 def _unit(unit: Column) -> Column:
-    return F.when(unit == "億", F.lit(OKU)).when(unit == "万", F.lit(MAN)).otherwise(F.lit(1)).cast(_YEN)
+    return let(unit, lambda u: F.when(u == "億", F.lit(OKU)).when(u == "万", F.lit(MAN)).otherwise(F.lit(1)).cast(_YEN))
 
 
 def _scaled(number: Column, unit: Column) -> Column:
@@ -36,8 +32,7 @@ def strict(text: Column, default: Column) -> Column:
     floor_amount = F.lit(V.STRICT_MIN_AMOUNT).cast(_YEN)
 
     def ranged(pattern, parse):
-        found = two(text, pattern, parse, pair)
-        return F.when(found["hi"] >= V.STRICT_REPAYMENT_BELOW, found)
+        return let(two(text, pattern, parse, pair), lambda p: F.when(p["hi"] >= V.STRICT_REPAYMENT_BELOW, p))
 
     return F.coalesce(
         one(text, V.STRICT_MAX_MAN, man, lambda x: pair(floor_amount, x)),
@@ -59,8 +54,8 @@ def collect(text: Column) -> Column:
                  single(V.COLLECT_LARGEST)),
         lambda x: x > V.COLLECT_ABOVE)
     any_amount = F.filter(single(V.COLLECT_ANY), lambda x: x >= V.COLLECT_ABOVE)
-    found = span(F.when(F.size(named) > 0, named).otherwise(any_amount))
-    return F.when(found["lo"] == found["hi"], pair(F.lit(None).cast(_YEN), found["hi"])).otherwise(found)
+    found = span(let(named, lambda n: F.when(F.size(n) > 0, n).otherwise(any_amount)))
+    return let(found, lambda p: F.when(p["lo"] == p["hi"], pair(F.lit(None).cast(_YEN), p["hi"])).otherwise(p))
 
 
 def simple(text: Column) -> Column:
@@ -74,32 +69,36 @@ def simple(text: Column) -> Column:
 
 def from_cell(cell: Column) -> Column:
     """以上…以下 range, raised by amounts listed behind it; or 最高."""
-    ranged = two(cell, V.CELL_AMOUNT_RANGE, man, pair)
     behind = F.get(F.split(cell, "万円以下"), F.lit(1))
     listed = cell.contains("、") | behind.contains("万円")
-    extra = F.array_max(F.transform(all_hits(behind, V.CELL_AMOUNT_MAN, 1), man))
-    raised = pair(ranged["lo"], F.greatest(ranged["hi"], extra))
+    extra = F.when(listed, F.array_max(F.transform(all_hits(behind, V.CELL_AMOUNT_MAN, 1), man)))
     return F.coalesce(
-        F.when(ranged.isNotNull() & listed, raised), ranged,
+        two(cell, V.CELL_AMOUNT_RANGE, man, lambda lo, hi: pair(lo, F.greatest(hi, extra))),
         one(cell, V.CELL_AMOUNT_HIGHEST, man, lambda x: pair(F.lit(V.CELL_MIN_AMOUNT).cast(_YEN), x)),
     )
 
 
 def from_lines(text: Column) -> Column:
     """Smallest lower and largest upper amount over the labelled lines of a text."""
-    in_band = lambda x: F.when(x.between(*V.LINE_BAND), x)
+    def in_band(x):
+        return let(x, lambda v: F.when(v.between(*V.LINE_BAND), v))
 
     def value(h, pattern, i=1):
         return whole(group(h, pattern, i)) * _unit(group(h, pattern, i + 1))
 
+    def first(line, pattern):
+        return let(hit(line, pattern), lambda h: value(h, pattern))
+
     def positive(x):
-        return F.when(x > 0, x)
+        return let(x, lambda v: F.when(v > 0, v))
 
     def line_amounts(line):
-        ranged = hit(line, V.LINE_RANGE)
+        return let(hit(line, V.LINE_RANGE), lambda ranged: with_range(line, ranged))
+
+    def with_range(line, ranged):
         ups = F.transform(all_hits(line, V.LINE_UP_TO), lambda h: value(h, V.LINE_UP_TO))
         froms = F.filter(F.transform(all_hits(line, V.LINE_FROM), lambda h: value(h, V.LINE_FROM)), lambda x: x > 0)
-        named = [in_band(value(hit(line, p), p)) for p in (V.LINE_LARGEST, V.LINE_LIMIT)]
+        named = [in_band(first(line, p)) for p in (V.LINE_LARGEST, V.LINE_LIMIT)]
         lo = F.when(ranged.isNotNull(), positive(value(ranged, V.LINE_RANGE, 1))).otherwise(
             in_band(F.get(froms, F.lit(0))))
         hi = F.when(ranged.isNotNull(), positive(value(ranged, V.LINE_RANGE, 3))).otherwise(
@@ -107,10 +106,9 @@ def from_lines(text: Column) -> Column:
         return pair(lo, hi)
 
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(V.LINE_LABEL))
-    found = F.transform(lines, line_amounts)
-    lo = F.array_min(F.transform(found, lambda p: p["lo"]))
-    hi = F.array_max(F.transform(found, lambda p: p["hi"]))
-    return F.when(lo.isNotNull() | hi.isNotNull(), pair(lo, hi))
+    ends = let(F.transform(lines, line_amounts), lambda found: pair(
+        F.array_min(F.transform(found, lambda p: p["lo"])), F.array_max(F.transform(found, lambda p: p["hi"]))))
+    return let(ends, lambda p: F.when(p["lo"].isNotNull() | p["hi"].isNotNull(), p))
 
 
 def from_web_cell(cell: Column) -> Column:
@@ -123,11 +121,10 @@ def from_web_cell(cell: Column) -> Column:
 def single(text: Column) -> Column:
     """The one amount a normalised text stands for; labelled limits come first."""
     def value(pattern):
-        h = hit(text, pattern)
-        return F.when(h.isNotNull(), whole(group(h, pattern, 1)) * _unit(group(h, pattern, 2)))
+        return let(hit(text, pattern), lambda h: F.when(
+            h.isNotNull(), whole(group(h, pattern, 1)) * _unit(group(h, pattern, 2))))
 
-    found = F.coalesce(value(V.ONE_AMOUNT_LABELLED), value(V.ONE_AMOUNT_ANY))
-    return F.when(found > 0, found)
+    return let(F.coalesce(value(V.ONE_AMOUNT_LABELLED), value(V.ONE_AMOUNT_ANY)), lambda x: F.when(x > 0, x))
 
 
 def labelled_limit(cell: Column) -> Column:

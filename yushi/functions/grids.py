@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
 from yushi.functions import amounts, rates, terms
-from yushi.functions.regex import group, has_any, num, pair, two
+from yushi.functions.regex import has_any, num, one, pair, two
 from yushi.functions.text import _TAG, nfkc, strip, unescape
 
 _ROW, _CELL = chr(1), chr(2)
@@ -119,8 +119,8 @@ def _last(rows: Column, label, parse) -> Column:
 def loan_fields(tables: Column) -> Column:
     """Limit, rate and term of the labelled rows of all tables of a page."""
     def rate(c):
-        single = lambda p: F.when(c.rlike(p), pair(num(group(c, p, 1)), num(group(c, p, 1))))
-        return F.coalesce(two(c, V.CELL_RANGE, num, pair), single(V.CELL_YEAR_ONE), single(V.CELL_ONE))
+        same = lambda x: pair(x, x)
+        return F.coalesce(two(c, V.CELL_RANGE, num, pair), one(c, V.CELL_YEAR_ONE, num, same), one(c, V.CELL_ONE, num, same))
 
     rows = _labelled(tables)
     is_limit = lambda h: h.contains("限度額")

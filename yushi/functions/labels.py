@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
-from yushi.functions.regex import group, has_any, hit, pick, whole
+from yushi.functions.regex import group, has_any, hit, let, pick, whole
 
 
 def _joined(pairs, text: Column, sep: str = "; ") -> Column:
@@ -15,8 +15,7 @@ def _joined(pairs, text: Column, sep: str = "; ") -> Column:
 
 
 def repayment_words(text: Column) -> Column:
-    found = _joined(V.REPAYMENT_WORDS, text)
-    return F.when(found != "", found).otherwise(V.STRICT_REPAYMENT)
+    return let(_joined(V.REPAYMENT_WORDS, text), lambda f: F.when(f != "", f).otherwise(V.STRICT_REPAYMENT))
 
 
 def repayment_phrase(text: Column) -> Column:
@@ -87,7 +86,7 @@ def features_listed(text: Column) -> Column:
 def features_by_profile(text: Column, words: Column) -> Column:
     """Profile key words found in the text, sorted, NULL if none."""
     found = F.array_sort(F.array_distinct(F.filter(words, lambda w: F.contains(text, w))))
-    return F.when(F.size(found) > 0, F.array_join(found, " / "))
+    return let(found, lambda f: F.when(F.size(f) > 0, F.array_join(f, " / ")))
 
 
 def with_variant_tag(special: Column, variant: Column) -> Column:
@@ -101,8 +100,7 @@ def feature_list(text: Column) -> Column:
 
 
 def income(text: Column) -> Column:
-    found = _joined(V.INCOME_WORDS, text)
-    return F.when(found != "", found).otherwise(V.INCOME_WORDS[0][1])
+    return let(_joined(V.INCOME_WORDS, text), lambda f: F.when(f != "", f).otherwise(V.INCOME_WORDS[0][1]))
 
 
 def guarantor(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
 from yushi.functions.regex import (
-    all_hits, comma_num, group, has_any, hit, num, one, ordered, pair, span, two,
+    all_hits, comma_num, group, has_any, let, num, one, ordered, pair, span, two,
 )
 
 _MARK = chr(1)
@@ -52,9 +52,8 @@ def values_without_context(text: Column, pattern: str, reach: int, words) -> Col
 def strict(html: Column, text: Column, cells: Column, default: Column) -> Column:
     """Emphasised, yearly, then typed ranges; then table cells; then `default`."""
     def ranged(source, pattern):
-        found = two(source, pattern, num, pair)
-        low = (found["lo"] < V.RATE_REDUCTION_BELOW) & (found["hi"] < V.RATE_REDUCTION_BELOW)
-        return F.when(~low, found)
+        return let(two(source, pattern, num, pair), lambda p: F.when(
+            ~((p["lo"] < V.RATE_REDUCTION_BELOW) & (p["hi"] < V.RATE_REDUCTION_BELOW)), p))
 
     firsts = F.transform(F.filter(cells, lambda c: c.contains("%")), lambda c: num(group(c, V.CELL_ONE, 1)))
     return F.coalesce(
@@ -75,7 +74,7 @@ def from_rate_table(text: Column) -> Column:
     return F.coalesce(
         two(text, V.TABLE_RANGE_TAIL, comma_num, ordered),
         two(text, V.TABLE_RANGE_BOTH, comma_num, ordered),
-        F.when(F.size(kept) >= 2, span(kept)),
+        let(kept, lambda k: F.when(F.size(k) >= 2, span(k))),
     )
 
 
@@ -102,10 +101,11 @@ def simple(text: Column) -> Column:
 
 def from_cell(cell: Column) -> Column:
     """Rate of one table cell; preferential cells and odd values give NULL."""
-    ranged = two(cell, V.CELL_RANGE, num, pair)
-    fits = ranged["lo"].between(*V.CELL_BAND) & ranged["hi"].between(*V.CELL_BAND) & (ranged["lo"] <= ranged["hi"])
-    single = one(cell, V.CELL_YEAR_ONE, num, _same)
-    found = F.coalesce(F.when(fits, ranged), F.when(single["lo"].between(*V.CELL_BAND), single))
+    def fitting(found):
+        return let(found, lambda p: F.when(
+            p["lo"].between(*V.CELL_BAND) & p["hi"].between(*V.CELL_BAND) & (p["lo"] <= p["hi"]), p))
+
+    found = F.coalesce(fitting(two(cell, V.CELL_RANGE, num, pair)), fitting(one(cell, V.CELL_YEAR_ONE, num, _same)))
     return F.when(~has_any(cell, V.CELL_SKIP_WORDS), found)
 
 
@@ -119,7 +119,7 @@ def from_all_cells(cells: Column) -> Column:
 def from_poster(text: Column) -> Column:
     nums = F.transform(all_hits(text, V.POSTER_ONE, 1), num)
     found = span(F.filter(nums, lambda x: x.between(*V.POSTER_BAND)))
-    return F.when(found.isNotNull(), pair(F.round(found["lo"], 3), F.round(found["hi"], 3)))
+    return let(found, lambda p: F.when(p.isNotNull(), pair(F.round(p["lo"], 3), F.round(p["hi"], 3))))
 
 
 def _truncated(digits: Column) -> Column:
@@ -130,7 +130,7 @@ def _truncated(digits: Column) -> Column:
 def cell_decimal(cell: Column) -> Column:
     """First run of digits, commas and points of a normalised cell."""
     digits = F.replace(group(cell, V.RATE_CELL_DIGITS, 1), F.lit(","), F.lit(""))
-    return F.when(digits.rlike(r"^\d+(?:\.\d+)?$"), _truncated(digits))
+    return let(digits, lambda d: F.when(d.rlike(r"^\d+(?:\.\d+)?$"), _truncated(d)))
 
 
 def cell_decimal_grouped(cell: Column) -> Column:
@@ -143,30 +143,35 @@ def overview(html: Column) -> Column:
     section = F.regexp_extract(
         html, r"(?is)<h[234]\b[^>]*>[^<]*(?:" + V.OVERVIEW_HEADING + r")[^<]*</h[234]\s*>(.*?)(?:<h[234]\b|$)", 1)
     elements = F.slice(F.regexp_extract_all(section, F.lit(r"(?s)<[a-zA-Z][^>]*>([^<]*)"), F.lit(1)), 1, 20)
-    rated = F.filter(elements, lambda e: has_any(e, ["金利", "利率"]) & e.rlike(V.CELL_RANGE))
-    limited = F.filter(elements, lambda e: e.contains("限度額") & e.rlike(V.CELL_AMOUNT_MAN))
-    rate, limit = F.try_element_at(rated, F.lit(-1)), F.try_element_at(limited, F.lit(-1))
-    return F.struct(
-        F.when(rate.isNotNull(), F.concat(group(rate, V.CELL_RANGE, 1), F.lit("%-"), group(rate, V.CELL_RANGE, 2),
-                                          F.lit("%"))).alias("rate_range"),
-        F.when(limit.isNotNull(), F.concat(group(limit, V.CELL_AMOUNT_MAN, 1), F.lit("万円"))).alias("max_limit"),
-    )
+
+    def facts(e):
+        rated = F.filter(e, lambda x: has_any(x, ["金利", "利率"]) & x.rlike(V.CELL_RANGE))
+        limited = F.filter(e, lambda x: x.contains("限度額") & x.rlike(V.CELL_AMOUNT_MAN))
+        rate, limit = F.try_element_at(rated, F.lit(-1)), F.try_element_at(limited, F.lit(-1))
+        return F.struct(
+            let(rate, lambda r: F.concat(group(r, V.CELL_RANGE, 1), F.lit("%-"), group(r, V.CELL_RANGE, 2), F.lit("%")))
+            .alias("rate_range"),
+            F.concat(group(limit, V.CELL_AMOUNT_MAN, 1), F.lit("万円")).alias("max_limit"))
+
+    return let(elements, facts)
 
 
 def sections_by_variant(text: Column, variant: str) -> Column:
     """Line blocks from each line naming `variant` up to the next other label."""
     label = V.VARIANT_LABELS[variant]
     other = V.VARIANT_LABELS["store" if variant == "web" else "web"]
-    lines = F.split(text, "\n")
-    last = F.size(lines)
 
-    def block(at):
-        later = F.filter(F.sequence(at, last - 1), lambda j: (j > at) & F.get(lines, j).contains(other))
-        until = F.coalesce(F.array_min(later), last)
-        return F.array_join(F.slice(lines, at + 1, until - at), "\n")
+    def blocks(lines):
+        last = F.size(lines)
+
+        def block(at):
+            later = F.filter(F.sequence(at, last - 1), lambda j: (j > at) & F.get(lines, j).contains(other))
+            return F.array_join(F.slice(lines, at + 1, F.coalesce(F.array_min(later), last) - at), "\n")
+
+        starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: F.get(lines, i).contains(label))
+        return F.transform(starts, block)
 
-    starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: F.get(lines, i).contains(label))
-    return F.transform(starts, block)
+    return let(F.split(text, "\n"), blocks)
 
 
 def first_typed(pairs: Column) -> Column:

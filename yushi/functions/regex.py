@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 _FLAGS = "(?d)"
 
 
+def let(value: Column, make) -> Column:
+    """make(value) with `value` computed once, however often `make` uses it.
+
+    Keeps nested first-match expressions linear in size: written out, every use
+    of a match would repeat its pattern, and repeats multiply with nesting."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def hit(text: Column, pattern: str) -> Column:
     """First match as text, NULL without a match."""
-    found = F.regexp_extract(text, _FLAGS + pattern, 0)
-    return F.when(found != "", found)
+    return let(F.regexp_extract(text, _FLAGS + pattern, 0), lambda h: F.when(h != "", h))
 
 
 def group(text: Column, pattern: str, i: int) -> Column:
@@ -44,7 +51,7 @@ def no_pair(kind: str) -> Column:
 
 def span(values: Column) -> Column:
     """(min, max) of an array, NULL for an empty one."""
-    return F.when(F.size(values) > 0, pair(F.array_min(values), F.array_max(values)))
+    return let(values, lambda v: F.when(F.size(v) > 0, pair(F.array_min(v), F.array_max(v))))
 
 
 def num(text: Column) -> Column:
@@ -61,13 +68,13 @@ def whole(text: Column) -> Column:
 
 def two(text: Column, pattern: str, parse, make) -> Column:
     """First match of a two-group pattern, parsed and combined."""
-    h = hit(text, pattern)
-    return F.when(h.isNotNull(), make(parse(group(h, pattern, 1)), parse(group(h, pattern, 2))))
+    return let(F.regexp_extract(text, _FLAGS + pattern, 0), lambda h: F.when(
+        h != "", let(pair(parse(group(h, pattern, 1)), parse(group(h, pattern, 2))), lambda p: make(p["lo"], p["hi"]))))
 
 
 def one(text: Column, pattern: str, parse, make) -> Column:
-    h = hit(text, pattern)
-    return F.when(h.isNotNull(), make(parse(group(h, pattern, 1))))
+    return let(F.regexp_extract(text, _FLAGS + pattern, 0), lambda h: F.when(
+        h != "", let(parse(group(h, pattern, 1)), make)))
 
 
 def pick(label_words, text: Column, other) -> Column:

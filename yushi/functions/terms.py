@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
-from yushi.functions.regex import all_hits, group, has_any, hit, one, pair, span, two
+from yushi.functions.regex import all_hits, group, has_any, hit, let, one, pair, span, two
 
 
 def _int(text: Column) -> Column:
@@ -42,17 +42,19 @@ def collect(text: Column, shortest: int) -> Column:
     years = F.filter(_ints(text, V.ANY_YEARS), lambda x: x.between(*V.COLLECT_YEARS))
     months = F.filter(_ints(text, V.ANY_MONTHS), lambda x: x.between(*V.COLLECT_MONTHS))
     found = F.concat(months, F.transform(years, lambda y: y * 12))
-    usual = F.filter(found, lambda x: x.between(shortest, V.COLLECT_MONTHS[1]))
-    return F.coalesce(span(usual), span(found))
+    return let(found, lambda f: F.coalesce(
+        span(F.filter(f, lambda x: x.between(shortest, V.COLLECT_MONTHS[1]))), span(f)))
 
 
 def simple(text: Column) -> Column:
-    years = hit(text, V.SIMPLE_TERM_YEARS)
-    first, last = (_int(group(years, V.SIMPLE_TERM_YEARS, i)) for i in (1, 2))
+    def both_years(h):
+        first, last = (_int(group(h, V.SIMPLE_TERM_YEARS, i)) for i in (1, 2))
+        return F.when(h.isNotNull(), pair(F.when(h.contains("月"), first).otherwise(first * 12), last * 12))
+
     return F.coalesce(
         two(text, V.SIMPLE_TERM_MONTH_YEAR, _int, lambda m, y: pair(m, y * 12)),
         one(text, V.SIMPLE_TERM_LONGEST, _int, lambda y: pair(F.lit(V.SIMPLE_MIN_TERM), y * 12)),
-        F.when(years.isNotNull(), pair(F.when(years.contains("月"), first).otherwise(first * 12), last * 12)),
+        let(hit(text, V.SIMPLE_TERM_YEARS), both_years),
     )
 
 
@@ -60,7 +62,7 @@ def from_cell(cell: Column) -> Column:
     years = F.filter(_ints(cell, V.ANY_YEARS), lambda x: x.between(*V.CELL_YEARS))
     months = F.filter(_ints(cell, V.KE_MONTHS), lambda x: x.between(*V.CELL_MONTHS))
     longest = F.array_max(F.concat(months, F.transform(years, lambda y: y * 12)))
-    return F.when(longest.isNotNull(), pair(F.lit(V.SIMPLE_MIN_TERM), longest))
+    return let(longest, lambda m: F.when(m.isNotNull(), pair(F.lit(V.SIMPLE_MIN_TERM), m)))
 
 
 def longest(text: Column) -> Column:
@@ -81,12 +83,10 @@ def ages_strict(text: Column) -> Column:
 
 def ages_loose(text: Column) -> Column:
     """Either side may be missing."""
-    to = hit(text, V.AGE_TO)
-    upper = F.coalesce(_int(group(to, V.AGE_TO, 1)), _int(group(to, V.AGE_TO, 2)))
+    upper = let(hit(text, V.AGE_TO), lambda h: F.coalesce(_int(group(h, V.AGE_TO, 1)), _int(group(h, V.AGE_TO, 2))))
     return pair(_int(group(text, V.AGE_FROM, 1)), upper)
 
 
 def ages_from_cell(cell: Column) -> Column:
-    below = hit(cell, V.CELL_AGE_BELOW)
-    upper = F.when(below.isNotNull(), _int(group(below, V.CELL_AGE_BELOW, 1)) - 1).otherwise(F.lit(V.CELL_AGE_MAX))
+    upper = F.coalesce(_int(group(cell, V.CELL_AGE_BELOW, 1)) - 1, F.lit(V.CELL_AGE_MAX))
     return one(cell, V.CELL_AGE_FROM, _int, lambda a: pair(a, upper))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from yushi import fixed_values as V
-from yushi.functions.regex import group, has_any, hit
+from yushi.functions.regex import group, has_any, hit, let
 
 # full-width forms U+FF01..U+FF5E stand at a fixed distance from ASCII
 _IDEOGRAPHIC_SPACE, _NO_BREAK_SPACE = chr(0x3000), chr(0xA0)
@@ -121,16 +121,20 @@ def split_text(html: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 
-def page_text(html: Column) -> Column:
-    """Clean page text: one line per text node, normalised, no blank lines."""
-    return F.regexp_replace(normalize_text(split_text(html)), r"\n{2,}", "\n")
+def with_page_text(df: DataFrame, html: str, name: str) -> DataFrame:
+    """Add clean page text: one line per text node, normalised, no blank lines.
+
+    The tag removal is a projection of its own, so normalisation, which looks at
+    its input more than once, does not repeat it."""
+    out = df.withColumn("_lines", split_text(F.col(html)))
+    return out.withColumn(name, F.regexp_replace(normalize_text(F.col("_lines")), r"\n{2,}", "\n")).drop("_lines")
 
 
 def element(html: Column, names: str) -> Column:
     """Text of the first element among `names` ("h1", "h1|h2"), NULL if none."""
     p = rf"(?is)<(?:{names})\b[^>]*>(.*?)</(?:{names})\s*>"
-    inner = F.regexp_replace(F.regexp_extract(html, p, 1), _TAG, "")
-    return F.when(html.rlike(p), strip(unescape(inner)))
+    return let(F.regexp_extract(html, p, 0), lambda e: F.when(
+        e != "", strip(unescape(F.regexp_replace(F.regexp_extract(e, p, 1), _TAG, "")))))
 
 
 def page_title(html: Column) -> Column:
@@ -151,32 +155,32 @@ def content_hash(html: Column) -> Column:
 
 # ---------------------------------------------------------------- product name
 def name_from_title(html: Column, loan_type: Column) -> Column:
-    title, h1 = element(html, "title"), element(html, "h1")
-    return F.coalesce(
-        F.when(has_any(title, V.NAME_WORDS_TITLE), title),
-        F.when(has_any(h1, V.NAME_WORDS_TITLE), h1),
-        F.concat(F.lit(V.NAME_PREFIX), loan_type),
-    )
+    return F.coalesce(*[_named(element(html, n), V.NAME_WORDS_TITLE) for n in ("title", "h1")],
+                      F.concat(F.lit(V.NAME_PREFIX), loan_type))
+
+
+def _named(text: Column, words) -> Column:
+    return let(text, lambda t: F.when(has_any(t, words), t))
 
 
 def name_from_heading(html: Column) -> Column:
-    tries = [element(html, n) for n in ("h1", "h2", "title")]
-    return F.coalesce(*[F.when(has_any(t, V.NAME_WORDS_HEADING), t) for t in tries],
+    return F.coalesce(*[_named(element(html, n), V.NAME_WORDS_HEADING) for n in ("h1", "h2", "title")],
                       F.lit(V.NAME_FALLBACK_HEADING))
 
 
 def name_from_catalogue(html: Column) -> Column:
-    h1, title = element(html, "h1"), element(html, "title")
-    quoted = group(h1, V.NAME_QUOTED_H1, 1)
-    from_title = group(title, V.NAME_QUOTED_TITLE, 1)
+    def quoted(text, pattern):
+        return let(group(text, pattern, 1), lambda q: F.when(q != "", q))
+
     return F.coalesce(
-        F.when(quoted != "", quoted), h1,
-        F.when(from_title != "", from_title), F.lit(V.NAME_FALLBACK_CATALOGUE),
+        let(element(html, "h1"), lambda h: F.coalesce(quoted(h, V.NAME_QUOTED_H1), h)),
+        quoted(element(html, "title"), V.NAME_QUOTED_TITLE), F.lit(V.NAME_FALLBACK_CATALOGUE),
     )
 
 
-def name_from_first_heading(html: Column) -> Column:
-    return normalize_text(element(html, "h1|h2"))
+def first_heading(html: Column) -> Column:
+    """First h1 or h2, not normalised."""
+    return element(html, "h1|h2")
 
 
 def name_from_brochure(text: Column, fallback: Column) -> Column:
@@ -193,10 +197,11 @@ def variant_name(base: Column, variant: Column) -> Column:
 
 def as_of_date(text: Column) -> Column:
     """First 20YY年M月D日 of a text as YYYY-MM-DD (digits as written)."""
-    t = normalize_cell(text)
-    h = hit(t, V.AS_OF_DATE)
-    part = lambda i: F.lpad(group(h, V.AS_OF_DATE, i), 2, "0")
-    return F.when(h.isNotNull(), F.concat_ws("-", group(h, V.AS_OF_DATE, 1), part(2), part(3)))
+    def date(h):
+        part = lambda i: F.lpad(group(h, V.AS_OF_DATE, i), 2, "0")
+        return F.when(h.isNotNull(), F.concat_ws("-", group(h, V.AS_OF_DATE, 1), part(2), part(3)))
+
+    return let(hit(normalize_cell(text), V.AS_OF_DATE), date)
 
 
 def checked_date(date_text: Column) -> Column:

@@ -54,7 +54,7 @@ PRODUCT_KEY = ["institution_id", "product_name", "loan_type"]
 
 def _applied(order: str) -> list[Column]:
     """Sort columns that put the version applied last at the end."""
-    at, no = F.unix_micros("data_updated_at"), F.col("processed_data_id")
+    at, no = F.unix_micros(F.col("data_updated_at").cast("timestamp")), F.col("processed_data_id")
     return [at, no] if order == "newest" else [-at, -no]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,8 @@ def discover(pages: DataFrame, url: str, html: str, path: str) -> DataFrame:
     hrefs = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     found = pages.select(F.col(url).alias("base"), F.explode(F.array_distinct(hrefs)).alias("href"))
     links = found.where(F.col("href").contains(path)).select(resolve(F.col("base"), F.col("href")).alias("link"))
-    below = F.regexp_replace(F.lit(path), r"([.+*?()\[\]{}|^$\\])", r"\\$1")
-    one_level = F.col("link").rlike(F.concat(below, F.lit("[^/]+/?$")))
+    one_level = F.col("link").rlike(re.escape(path) + "[^/]+/?$")
     tail = path.rstrip("/").rsplit("/", 1)[-1]
     if tail:
-        one_level = one_level & ~F.rtrim(F.col("link"), F.lit("/")).endswith(tail)
+        one_level = one_level & ~F.regexp_replace("link", "/+$", "").endswith(tail)
     return links.where(one_level).distinct()

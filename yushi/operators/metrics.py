@@ -41,7 +41,8 @@ def run_summary(log: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("error_count"),
         F.min("ts").alias("started"), F.max("ts").alias("ended"),
         F.min(F.when(~ok, F.col("source_no"))).alias("first_error_source"))
-    seconds = (F.unix_micros("ended") - F.unix_micros("started")) / F.lit(1000000.0)
+    micros = [F.unix_micros(F.col(x).cast("timestamp")) for x in ("ended", "started")]
+    seconds = (micros[0] - micros[1]) / F.lit(1000000.0)
     return out.withColumns({
         "duration_seconds": F.round(seconds, 3),
         "status_code": F.when(F.col("success_count") == 0, 500).when(F.col("error_count") == 0, 200).otherwise(207)})

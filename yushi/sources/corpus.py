@@ -11,6 +11,7 @@ shuffle and grow with the source table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ------------------------------------------------------------------ raw pages
 _LABEL = (
@@ -263,6 +264,14 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, RAW_PAGES)
 
 
+def as_stored(df: DataFrame, *columns: str) -> DataFrame:
+    """The given columns as if read from a stored table.
+
+    Filters on extracted fields would otherwise be pushed into the derivation
+    and repeat its text building; a generator stops them, as a scan would."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def processed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, PROCESSED).where(PROCESSED_WHERE)
 

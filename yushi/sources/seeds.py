@@ -22,7 +22,7 @@ def code_aliases(spark: SparkSession) -> DataFrame:
 def path_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         V.PATH_PROFILES, "profile_path string, profile_name string, profile_type string, profile_category string, "
-                         "hints array<string>, keywords array<string>, priority array<string>, brochure_file string")
+                         "hints array<string>, keywords array<string>, brochure_keys array<string>, brochure_file string")
 
 
 def exact_profiles(spark: SparkSession) -> DataFrame:
@@ -32,7 +32,7 @@ def exact_profiles(spark: SparkSession) -> DataFrame:
 def file_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         V.FILE_PROFILES, "file_name string, profile_name string, profile_type string, profile_category string, "
-                         "hints array<string>, keywords array<string>, priority array<string>")
+                         "hints array<string>, keywords array<string>, brochure_keys array<string>")
 
 
 def catalogue_products(spark: SparkSession) -> DataFrame:
