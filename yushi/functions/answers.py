@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
+from yushi.functions.regex import let
 
 ANSWER_SCHEMA = (
     "product_analysis struct<executive_summary:string,competitive_advantages:array<string>,"
@@ -44,43 +45,55 @@ def parse_answer(text: Column) -> Column:
     return F.from_json(text, ANSWER_SCHEMA, {"mode": "PERMISSIVE"})
 
 
+def _places(path: str) -> list[str]:
+    """The metadata may stand beside the summary or inside it."""
+    return [f"$.loan_summary.{path}"] + ([f"$.{path}"] if path.startswith("metadata.") else [])
+
+
 def _kind(doc: Column, path: str) -> Column:
     """string / number / object / array / null of a path, NULL when absent."""
-    places = [f"$.loan_summary.{path}"] + ([f"$.{path}"] if path.startswith("metadata.") else [])
-    name = F.coalesce(*[F.schema_of_variant(F.try_variant_get(doc, p, "variant")) for p in places])
-    return (F.when(name == "STRING", "string").when(name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-            .when(name == "VOID", "null").when(name.startswith("OBJECT"), "object")
-            .when(name.startswith("ARRAY"), "array").when(name.isNotNull(), F.lower(name)))
+    name = F.coalesce(*[F.schema_of_variant(F.try_variant_get(doc, p, "variant")) for p in _places(path)])
+    return let(name, lambda n: (
+        F.when(n == "STRING", "string").when(n.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+        .when(n == "VOID", "null").when(n.startswith("OBJECT"), "object")
+        .when(n.startswith("ARRAY"), "array").when(n.isNotNull(), F.lower(n))))
 
 
 def _value(doc: Column, path: str, kind: str) -> Column:
-    places = [f"$.loan_summary.{path}"] + ([f"$.{path}"] if path.startswith("metadata.") else [])
-    return F.coalesce(*[F.try_variant_get(doc, p, kind) for p in places])
-
+    return F.coalesce(*[F.try_variant_get(doc, p, kind) for p in _places(path)])
 
-def summary_messages(text: Column) -> Column:
-    """Findings about a summary document, in rule order.
 
-    missing / type / value findings are errors, range / date findings warnings."""
-    doc = F.try_parse_json(text)
-    found = [F.when(doc.isNull(), "error:json")]
+def _findings(doc: Column, kinds: Column) -> Column:
+    """`kinds` holds the kind of every required path, in order."""
+    kind = {path: kinds[i] for i, (path, _) in enumerate(V.SUMMARY_REQUIRED)}
+    found = []
     for path, wanted in V.SUMMARY_REQUIRED:
-        kind = _kind(doc, path)
-        found.append(F.when(doc.isNotNull() & kind.isNull(), f"error:missing:{path}"))
-        found.append(F.when(kind.isNotNull() & (kind != wanted), f"error:type:{path}"))
+        found.append(F.when(kind[path].isNull(), f"error:missing:{path}"))
+        found.append(F.when(kind[path] != wanted, f"error:type:{path}"))
     for path, allowed in V.SUMMARY_ALLOWED.items():
-        value = _value(doc, path, "string")
-        found.append(F.when((_kind(doc, path) == "string") & ~value.isin(allowed), f"error:value:{path}"))
+        found.append(F.when((kind[path] == "string") & ~_value(doc, path, "string").isin(allowed), f"error:value:{path}"))
     for path in V.SUMMARY_RANGES:
-        both = (_kind(doc, path + ".min") == "number") & (_kind(doc, path + ".max") == "number")
-        lo, hi = (_value(doc, f"{path}.{end}", "double") for end in ("min", "max"))
-        found.append(F.when(both & (lo > hi), f"warning:range:{path}"))
+        both = (kind[path + ".min"] == "number") & (kind[path + ".max"] == "number")
+        inverted = _value(doc, path + ".min", "double") > _value(doc, path + ".max", "double")
+        found.append(F.when(both & inverted, f"warning:range:{path}"))
     for path in V.SUMMARY_DATES:
-        value = _value(doc, path, "string")
-        found.append(F.when((_kind(doc, path) == "string") & ~value.rlike(V.ISO_DATE_TIME), f"warning:date:{path}"))
+        dated = _value(doc, path, "string").rlike(V.ISO_DATE_TIME)
+        found.append(F.when((kind[path] == "string") & ~dated, f"warning:date:{path}"))
     return F.array_compact(F.array(*found))
 
 
+def summary_messages(text: Column) -> Column:
+    """Findings about a summary document, in rule order.
+
+    missing / type / value findings are errors, range / date findings warnings.
+    The document is parsed once and each path is looked at once."""
+    def of(doc):
+        kinds = F.array(*[_kind(doc, path) for path, _ in V.SUMMARY_REQUIRED])
+        return F.when(doc.isNull(), F.array(F.lit("error:json"))).otherwise(let(kinds, lambda k: _findings(doc, k)))
+
+    return let(F.try_parse_json(text), of)
+
+
 def summary_status(messages: Column) -> Column:
     return (F.when(F.exists(messages, lambda m: m.startswith("error:")), "error")
             .when(F.size(messages) > 0, "warning").otherwise("valid"))

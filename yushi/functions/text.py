@@ -27,7 +27,7 @@ _PLAIN = (
     r"\x{4E00}-\x{9FFF}\x{FF01}-\x{FF5E}]*$"
 )
 _BLANKS = r"[\s\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+"
-_EDGE = f"^{_BLANKS}|{_BLANKS}$"
+_EDGE = " \t\n\v\f\r" + "".join(chr(x) for x in (0x85, 0xA0, 0x2028, 0x2029, 0x3000))
 
 
 def _arrow_nfkc():
@@ -59,7 +59,7 @@ def fold(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE, "")
+    return F.trim(text, F.lit(_EDGE))
 
 
 def normalize_cell(text: Column) -> Column:
@@ -99,25 +99,21 @@ def unescape(text: Column) -> Column:
     return text
 
 
-_COMMENT = r"(?s)<!--.*?-->"
-_HIDDEN = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
-_HIDDEN_ALL = r"(?is)<(?:script|style|noscript)\b[^>]*>.*?</(?:script|style|noscript)\s*>"
+# comments, hidden elements and tags in one pass over the page
 _TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
+_MARKUP = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|</?[a-z!?][^>]*>"
+_MARKUP_ALL = r"(?is)<!--.*?-->|<(?:script|style|noscript)\b[^>]*>.*?</(?:script|style|noscript)\s*>|</?[a-z!?][^>]*>"
 
 
 def raw_text(html: Column) -> Column:
-    """All text of a page, tags removed without a separator."""
-    t = F.regexp_replace(html, _COMMENT, "")
-    t = F.regexp_replace(t, _HIDDEN, "")
-    return strip(unescape(F.regexp_replace(t, _TAG, "")))
+    """All text of a page, markup removed without a separator."""
+    return strip(unescape(F.regexp_replace(html, _MARKUP, "")))
 
 
 def split_text(html: Column) -> Column:
     """One line per text node, scripts and styles dropped, nothing normalised."""
-    t = F.regexp_replace(html, _COMMENT, _MARK)
-    t = F.regexp_replace(t, _HIDDEN_ALL, _MARK)
-    t = F.regexp_replace(t, _TAG, _MARK)
-    parts = F.transform(F.split(t, _MARK), lambda p: strip(unescape(p)))
+    pieces = F.split(F.regexp_replace(html, _MARKUP_ALL, _MARK), _MARK)
+    parts = F.transform(pieces, lambda p: strip(unescape(p)))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 

@@ -421,9 +421,8 @@ def dedup_by_source(spark, d):
 def ingest_stream(spark, d):
     schema = corpus.table(spark, d, "orders").schema
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    for stage in corpus.RAW_PAGES[1]:
-        orders = orders.selectExpr("*", *[f"{e} AS {n}" for n, e in stage.items()])
-    df = orders.withColumn("page", T.fold(T.raw_text(c("html_content"))))
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    df = corpus.apply_stages(orders, corpus.RAW_PAGES[1]).withColumn("page", T.fold(T.raw_text(c("html_content"))))
     df = shaping.spread(df, rate=rates.simple(c("page")))
     rows = plans.raw_rows(df.withColumns({"product_name": T.element(c("html_content"), "h1"), "category": c("kind")}))
     out, check = work_dir(spark, "raw-layer"), work_dir(spark, "raw-layer-check")

@@ -237,19 +237,37 @@ INSTITUTIONS = ("nation", [
 ])
 
 
+KEYS = {"orders": "o_orderkey", "part": "p_partkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, spec) -> DataFrame:
-    """Run the stages of `spec` over its source table, in Spark."""
-    source, stages = spec
-    df = table(spark, sf_dir, source) if isinstance(source, str) else derive(spark, sf_dir, source)
+def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Source rows on at least as many tasks as there are cores.
+
+    One short row becomes a whole page, so a small file read by one task would
+    keep the other cores idle.  Tables with enough splits are read as they are."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if name in KEYS and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, KEYS[name])
+    return df
+
+
+def apply_stages(df: DataFrame, stages) -> DataFrame:
     for stage in stages:
         df = df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in stage.items()])
     return df
 
 
+def derive(spark: SparkSession, sf_dir: str, spec) -> DataFrame:
+    """Run the stages of `spec` over its source table, in Spark."""
+    source, stages = spec
+    return apply_stages(_source(spark, sf_dir, source) if isinstance(source, str) else derive(spark, sf_dir, source), stages)
+
+
 def derive_sql(spec) -> str:
     """The same stages as one nested SELECT for a checking engine."""
     source, stages = spec
