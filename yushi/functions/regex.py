@@ -17,6 +17,14 @@ def let(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """The same value, computed once per row however many columns read from it.
+
+    Reading the fields of a struct expression would otherwise copy its pattern
+    matching into every reader when projections are merged."""
+    return let(value, lambda v: v)
+
+
 def hit(text: Column, pattern: str) -> Column:
     """First match as text, NULL without a match."""
     return let(F.regexp_extract(text, _FLAGS + pattern, 0), lambda h: F.when(h != "", h))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
+from yushi.functions.regex import once
 
 RANGED = {
     "rate": ("min_interest_rate", "max_interest_rate"),
@@ -17,7 +18,7 @@ RANGED = {
 
 def spread(df: DataFrame, **pairs: Column) -> DataFrame:
     """(lo, hi) structs to the usual min/max columns."""
-    cols = {f"_{k}": p for k, p in pairs.items()}
+    cols = {f"_{k}": once(p) for k, p in pairs.items()}
     out = df.withColumns(cols)
     flat = {}
     for k in pairs:
@@ -163,7 +164,9 @@ def structured(df: DataFrame) -> Column:
     return F.struct(*[(F.col(k) if k in df.columns else F.lit(None).cast("string")).alias(k) for k in V.STRUCTURED_KEYS])
 
 
-def merge_fields(html: str, brochure: str, priority: Column, keys) -> dict:
-    """Brochure values win for the profile's keys when present."""
-    return {k: F.when(F.array_contains(priority, k) & F.col(f"{brochure}.{k}").isNotNull(), F.col(f"{brochure}.{k}"))
-            .otherwise(F.col(f"{html}.{k}")) for k in keys}
+def merge_fields(fields: dict, priority: Column) -> dict:
+    """Brochure values win for the profile's keys when present.
+
+    `fields` maps a key to its (page column, brochure column)."""
+    return {k: F.when(F.array_contains(priority, k) & sheet.isNotNull(), sheet).otherwise(page)
+            for k, (page, sheet) in fields.items()}

@@ -112,8 +112,8 @@ def raw_text(html: Column) -> Column:
 
 def split_text(html: Column) -> Column:
     """One line per text node, scripts and styles dropped, nothing normalised."""
-    pieces = F.split(F.regexp_replace(html, _MARKUP_ALL, _MARK), _MARK)
-    parts = F.transform(pieces, lambda p: strip(unescape(p)))
+    pieces = F.split(unescape(F.regexp_replace(html, _MARKUP_ALL, _MARK)), _MARK)
+    parts = F.transform(pieces, strip)
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 

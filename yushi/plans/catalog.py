@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from yushi import fixed_values as V
 from yushi.functions import amounts, answers, grids, labels, rates, shaping, terms
 from yushi.functions import text as T
-from yushi.functions.regex import all_hits, no_pair
+from yushi.functions.regex import all_hits, no_pair, once
 from yushi.operators import identity, layers, links, matching, metrics, queues, search
 from yushi.plans import extract
 from yushi.plans import layers as plans
@@ -33,7 +33,8 @@ def _day(col) -> Column:
 
 
 def _flat(pair: Column, lo: str, hi: str) -> list[Column]:
-    return [pair["lo"].alias(lo), pair["hi"].alias(hi)]
+    shared = once(pair)
+    return [shared["lo"].alias(lo), shared["hi"].alias(hi)]
 
 
 def _rate(pair):
@@ -296,13 +297,13 @@ def url_profile(spark, d):
 def merge_fields(spark, d):
     df = matching.with_profiles(_with_clean(spark, d), "source_url").withColumn("sheet", F.coalesce("brochure_text", F.lit("")))
 
-    def side(text):
-        age, term = terms.ages_loose(text), terms.collect(text, 6)
-        return F.struct(*_flat(age, "min_age", "max_age"), *_flat(term, "min_loan_term", "max_loan_term"))
-
-    df = df.withColumns({"h": side(c("page")), "b": side(c("sheet"))})
-    merged = shaping.merge_fields("h", "b", F.coalesce("brochure_keys", F.array().cast("array<string>")),
-                                  ["min_age", "max_age", "min_loan_term", "max_loan_term"])
+    df = df.withColumns({
+        "h_age": once(terms.ages_loose(c("page"))), "h_term": once(terms.collect(c("page"), 6)),
+        "b_age": once(terms.ages_loose(c("sheet"))), "b_term": once(terms.collect(c("sheet"), 6))})
+    merged = shaping.merge_fields({
+        "min_age": (c("h_age.lo"), c("b_age.lo")), "max_age": (c("h_age.hi"), c("b_age.hi")),
+        "min_loan_term": (c("h_term.lo"), c("b_term.lo")), "max_loan_term": (c("h_term.hi"), c("b_term.hi")),
+    }, F.coalesce("brochure_keys", F.array().cast("array<string>")))
     return df.select("raw_id", *[v.alias(k) for k, v in merged.items()])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from yushi.functions import amounts, grids, labels, rates, shaping, terms
 from yushi.functions import text as T
-from yushi.functions.regex import no_pair
+from yushi.functions.regex import no_pair, once
 from yushi.operators import matching
 from yushi.sources import seeds
 
@@ -32,37 +32,37 @@ def bank_products(pages: DataFrame) -> DataFrame:
         "rate_text": T.normalize_rate_page(c("rate_page_text")),
         "heading": T.first_heading(c("html_content")),
     })
+    slug = matching.rate_slug(c("source_url"))
     df = df.withColumns({
-        "h": F.struct(*_fields(c("page")), labels.repayment_phrase(c("page")).alias("repayment_method")),
-        "b": F.struct(*_fields(c("sheet")), F.lit(None).cast("string").alias("repayment_method")),
-        "_rate": matching.fallback_rate(
-            rates.from_context(c("page")), rates.from_brochure(c("sheet")),
-            F.when(matching.rate_slug(c("source_url")).isNotNull(), rates.from_rate_table(c("rate_text"))),
-            F.when(matching.rate_slug(c("source_url")).isNotNull(), c("variant")),
-            F.coalesce(variant_rate(c("rate_text"), c("variant")), no_pair("double"))),
+        "amount": once(amounts.collect(c("page"))),
+        "h_term": once(terms.collect(c("page"), 6)), "h_age": once(terms.ages_loose(c("page"))),
+        "b_term": once(terms.collect(c("sheet"), 6)), "b_age": once(terms.ages_loose(c("sheet"))),
+        "repay": once(labels.repayment_phrase(c("page"))),
+        "channel_rate": once(F.when(slug.isNotNull() & c("variant").isNotNull(), variant_rate(c("rate_text"), c("variant")))),
     })
+    df = df.withColumn("_rate", once(matching.fallback_rate(
+        rates.from_context(c("page")), rates.from_brochure(c("sheet")),
+        F.when(slug.isNotNull(), rates.from_rate_table(c("rate_text"))), c("variant"),
+        F.coalesce("channel_rate", no_pair("double")))))
     body = F.when(c("sheet") != "", c("sheet")).otherwise(c("page"))
+    merged = shaping.merge_fields({
+        "min_loan_term": (c("h_term.lo"), c("b_term.lo")), "max_loan_term": (c("h_term.hi"), c("b_term.hi")),
+        "min_age": (c("h_age.lo"), c("b_age.lo")), "max_age": (c("h_age.hi"), c("b_age.hi")),
+        "repayment_method": (c("repay"), F.lit(None).cast("string")),
+    }, F.coalesce("brochure_keys", F.array().cast("array<string>")))
     df = df.withColumns({
-        **shaping.merge_fields("h", "b", F.coalesce("brochure_keys", F.array().cast("array<string>")),
-                               ["min_loan_term", "max_loan_term", "min_age", "max_age", "repayment_method"]),
-        "min_loan_amount": c("h.min_loan_amount"), "max_loan_amount": c("h.max_loan_amount"),
+        **merged,
+        "min_loan_amount": c("amount.lo"), "max_loan_amount": c("amount.hi"),
         "min_interest_rate": c("_rate.lo"), "max_interest_rate": c("_rate.hi"),
         "product_name": T.variant_name(F.coalesce("profile_name", T.normalize_text(c("heading"))), c("variant")),
         "loan_type": c("profile_type"), "category": c("profile_category"),
         "interest_type": labels.rate_type_from_hints(body, c("hints")),
-        "special_features": labels.with_variant_tag(labels.features_by_profile(body, c("keywords")), c("variant")),
+        "special_features": labels.with_variant_tag(once(labels.features_by_profile(body, c("keywords"))), c("variant")),
     })
     df = df.withColumnsRenamed({"min_loan_term": "min_loan_term_months", "max_loan_term": "max_loan_term_months"})
     return shaping.sanity(df, c("loan_type")).select(*IDS, *PRODUCT_COLUMNS)
 
 
-def _fields(text):
-    amount, term, age = amounts.collect(text), terms.collect(text, 6), terms.ages_loose(text)
-    return [amount["lo"].alias("min_loan_amount"), amount["hi"].alias("max_loan_amount"),
-            term["lo"].alias("min_loan_term"), term["hi"].alias("max_loan_term"),
-            age["lo"].alias("min_age"), age["hi"].alias("max_age")]
-
-
 def variant_rate(rate_text, variant):
     """Rate of a sales channel's section; the whole page if no section has one."""
     def of(name):
