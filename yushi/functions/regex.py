@@ -62,16 +62,26 @@ def span(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, pair(F.array_min(v), F.array_max(v))))
 
 
+def _filled(text: Column) -> Column:
+    """NULL for the empty text a pattern gives without a match: a failing cast
+    inside a higher-order function costs an exception per row."""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def num(text: Column) -> Column:
-    return text.try_cast("double")
+    return _filled(text).try_cast("double")
 
 
 def comma_num(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(_filled(text), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def whole(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
+    return F.replace(_filled(text), F.lit(","), F.lit("")).try_cast("bigint")
+
+
+def small(text: Column) -> Column:
+    return _filled(text).try_cast("int")
 
 
 def two(text: Column, pattern: str, parse, make) -> Column:

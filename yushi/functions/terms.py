@@ -6,15 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
-from yushi.functions.regex import all_hits, group, has_any, hit, let, one, pair, span, two
-
-
-def _int(text: Column) -> Column:
-    return text.try_cast("int")
+from yushi.functions.regex import all_hits, group, has_any, hit, let, one, pair, small, span, two
 
 
 def _ints(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(all_hits(text, pattern, 1), _int), lambda x: x.isNotNull())
+    return F.filter(F.transform(all_hits(text, pattern, 1), small), lambda x: x.isNotNull())
 
 
 def strict(text: Column, default: Column) -> Column:
@@ -23,13 +19,13 @@ def strict(text: Column, default: Column) -> Column:
 
     def months(kind, pattern):
         if kind == "ym":
-            return two(text, pattern, _int, lambda y, m: pair(shortest, y * 12 + m))
+            return two(text, pattern, small, lambda y, m: pair(shortest, y * 12 + m))
         if kind == "m_y":
-            return two(text, pattern, _int, lambda m, y: pair(m, y * 12))
+            return two(text, pattern, small, lambda m, y: pair(m, y * 12))
         if kind == "m_m":
-            return two(text, pattern, _int, pair)
+            return two(text, pattern, small, pair)
         factor = 12 if kind == "y" else 1
-        return one(text, pattern, _int, lambda x: pair(shortest, x * factor))
+        return one(text, pattern, small, lambda x: pair(shortest, x * factor))
 
     return F.coalesce(*[months(k, p) for k, p in V.STRICT_TERMS], default)
 
@@ -48,12 +44,12 @@ def collect(text: Column, shortest: int) -> Column:
 
 def simple(text: Column) -> Column:
     def both_years(h):
-        first, last = (_int(group(h, V.SIMPLE_TERM_YEARS, i)) for i in (1, 2))
+        first, last = (small(group(h, V.SIMPLE_TERM_YEARS, i)) for i in (1, 2))
         return F.when(h.isNotNull(), pair(F.when(h.contains("月"), first).otherwise(first * 12), last * 12))
 
     return F.coalesce(
-        two(text, V.SIMPLE_TERM_MONTH_YEAR, _int, lambda m, y: pair(m, y * 12)),
-        one(text, V.SIMPLE_TERM_LONGEST, _int, lambda y: pair(F.lit(V.SIMPLE_MIN_TERM), y * 12)),
+        two(text, V.SIMPLE_TERM_MONTH_YEAR, small, lambda m, y: pair(m, y * 12)),
+        one(text, V.SIMPLE_TERM_LONGEST, small, lambda y: pair(F.lit(V.SIMPLE_MIN_TERM), y * 12)),
         let(hit(text, V.SIMPLE_TERM_YEARS), both_years),
     )
 
@@ -72,21 +68,21 @@ def longest(text: Column) -> Column:
 
 
 def labelled_years(cell: Column) -> Column:
-    return one(cell, V.ANY_YEARS, _int, lambda y: pair(F.lit(V.STRICT_MIN_TERM), y * 12))
+    return one(cell, V.ANY_YEARS, small, lambda y: pair(F.lit(V.STRICT_MIN_TERM), y * 12))
 
 
 # ------------------------------------------------------------------------ ages
 def ages_strict(text: Column) -> Column:
-    tries = [two(text, p, _int, lambda a, b, d=d: pair(a, b + d)) for p, d in V.STRICT_AGES]
+    tries = [two(text, p, small, lambda a, b, d=d: pair(a, b + d)) for p, d in V.STRICT_AGES]
     return F.coalesce(*tries, pair(F.lit(V.STRICT_AGE[0]), F.lit(V.STRICT_AGE[1])))
 
 
 def ages_loose(text: Column) -> Column:
     """Either side may be missing."""
-    upper = let(hit(text, V.AGE_TO), lambda h: F.coalesce(_int(group(h, V.AGE_TO, 1)), _int(group(h, V.AGE_TO, 2))))
-    return pair(_int(group(text, V.AGE_FROM, 1)), upper)
+    upper = let(hit(text, V.AGE_TO), lambda h: F.coalesce(small(group(h, V.AGE_TO, 1)), small(group(h, V.AGE_TO, 2))))
+    return pair(small(group(text, V.AGE_FROM, 1)), upper)
 
 
 def ages_from_cell(cell: Column) -> Column:
-    upper = F.coalesce(_int(group(cell, V.CELL_AGE_BELOW, 1)) - 1, F.lit(V.CELL_AGE_MAX))
-    return one(cell, V.CELL_AGE_FROM, _int, lambda a: pair(a, upper))
+    upper = F.coalesce(small(group(cell, V.CELL_AGE_BELOW, 1)) - 1, F.lit(V.CELL_AGE_MAX))
+    return one(cell, V.CELL_AGE_FROM, small, lambda a: pair(a, upper))

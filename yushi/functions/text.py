@@ -16,15 +16,17 @@ WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + _IDEOGRAPHIC_SPACE + _NO_BR
 NARROW = "".join(chr(0x21 + i) for i in range(94)) + "  "
 WIDE_DIGITS = "０１２３４５６７８９" + _IDEOGRAPHIC_SPACE + _NO_BREAK_SPACE
 NARROW_DIGITS = "0123456789  "
+_DASHES, _WAVES = "‐‑‒–—―−－", "~〜～"
+_MARKS = (_DASHES + _WAVES, "-" * len(_DASHES) + "〜" * len(_WAVES))
+# both translations in one: what a wide form becomes may be a mark itself
+_WIDE_AND_MARKS = (WIDE + _MARKS[0], (NARROW + _MARKS[1]).replace("~", "〜"))
 _MARK = chr(1)
 
-# characters that compatibility normalisation leaves alone (ASCII, precomposed
-# Latin, dashes and quotes, shapes, kana, kanji) or that WIDE covers
+# characters that compatibility normalisation leaves alone (ASCII, kana, kanji,
+# marks, shapes) or that WIDE covers; few ranges, as each costs time per character
 _PLAIN = (
-    r"^[\x00-\x7F\x{A0}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
-    r"\x{2010}\x{2013}\x{2014}\x{2018}-\x{201D}\x{25A0}-\x{25FF}"
-    r"\x{3000}-\x{3011}\x{3014}-\x{301C}\x{3041}-\x{3096}\x{30A1}-\x{30FE}"
-    r"\x{4E00}-\x{9FFF}\x{FF01}-\x{FF5E}]*$"
+    r"^[\x{4E00}-\x{9FFF}\x{3041}-\x{3096}\x00-\x7F\x{30A1}-\x{30FE}\x{FF01}-\x{FF5E}"
+    r"\x{3000}-\x{3011}\x{3014}-\x{301C}\x{25A0}-\x{25FF}\x{A0}]*+$"
 )
 _BLANKS = r"[\s\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+"
 _EDGE = " \t\n\v\f\r" + "".join(chr(x) for x in (0x85, 0xA0, 0x2028, 0x2029, 0x3000))
@@ -49,8 +51,7 @@ def nfkc(text: Column) -> Column:
     Text made only of characters with a known one-to-one form is translated in
     the JVM; only the rest travels to the Arrow function (others are sent as NULL).
     """
-    plain = text.rlike(_PLAIN)
-    return F.when(plain, F.translate(text, WIDE, NARROW)).otherwise(_nfkc(F.when(~plain, text)))
+    return F.coalesce(_nfkc(F.when(~text.rlike(_PLAIN), text)), F.translate(text, WIDE, NARROW))
 
 
 def fold(text: Column) -> Column:
@@ -67,15 +68,19 @@ def normalize_cell(text: Column) -> Column:
     return F.coalesce(strip(F.regexp_replace(nfkc(text), _BLANKS, " ")), F.lit(""))
 
 
+def _unify_months(text: Column) -> Column:
+    return F.regexp_replace(text, "[かカヵケ]月", "ヶ月")
+
+
 def unify_marks(text: Column) -> Column:
     """One dash, one wave dash, one spelling of "months"."""
-    t = F.regexp_replace(text, "[‐‑‒–—―−－]", "-")
-    t = F.regexp_replace(t, "[~〜～]", "〜")
-    return F.regexp_replace(t, "(か月|カ月|ヵ月|ケ月)", "ヶ月")
+    return _unify_months(F.translate(text, *_MARKS))
 
 
 def normalize_text(text: Column) -> Column:
-    return unify_marks(nfkc(text))
+    """Compatibility form with unified marks; plain text needs one translation."""
+    odd = F.translate(_nfkc(F.when(~text.rlike(_PLAIN), text)), *_MARKS)
+    return _unify_months(F.coalesce(odd, F.translate(text, *_WIDE_AND_MARKS)))
 
 
 def normalize_brochure(text: Column) -> Column:
@@ -94,9 +99,12 @@ _ENTITIES = [("&nbsp;", _NO_BREAK_SPACE), ("&lt;", "<"), ("&gt;", ">"), ("&quot;
 
 
 def unescape(text: Column) -> Column:
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    def replaced(t):
+        for name, char in _ENTITIES:
+            t = F.replace(t, F.lit(name), F.lit(char))
+        return t
+
+    return let(text, lambda t: F.when(t.contains("&"), replaced(t)).otherwise(t))
 
 
 # comments, hidden elements and tags in one pass over the page
