@@ -212,3 +212,40 @@ def test_layer_write_replaces_only_its_partitions(spark, tmp_path):
     layers.write_layer(spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string"), path, ["p"])
     layers.write_layer(spark.createDataFrame([(3, "b")], "v int, p string"), path, ["p"])
     assert sorted((r.v, r.p) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_extracted_pages_enter_the_raw_layer(spark):
+    """Extraction output goes into the layer without its page bodies."""
+    pages = catalog.ruled_pages(spark, SF).drop("product_name")
+    from yushi.plans import extract
+
+    out = extract.extract_products(pages)
+    assert "html_content" not in out.columns
+    layer = layers.as_layer(plans.ingest_raw(plans.raw_rows(out)))
+    assert layer.count() == out.select("content_hash").distinct().count()
+    first = layer.where("content_length > 0").first()
+    assert len(first.structured) == 22 and len(first.content_hash) == 64
+
+
+def test_product_ids(spark):
+    known = spark.createDataFrame([(1, "a", "t", 7)], "institution_id long, product_name string, loan_type string, product_id long")
+    new = spark.createDataFrame([(1, "a", "t"), (1, "b", "t"), (2, "a", "t")], "institution_id long, product_name string, loan_type string")
+    got = {(r.institution_id, r.product_name): r.product_id for r in layers.with_ids(new, known).collect()}
+    assert got[1, "a"] == 7 and sorted(got.values()) == [7, 8, 9]
+
+
+def test_rank_filter_runs_before_the_shuffle(spark):
+    plan = catalog.recent_samples(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_hot_group(spark):
+    """A third of all pages share one body, institution and product."""
+    pages = spark.range(3000).selectExpr(
+        "id AS raw_id", "IF(id % 3 = 0, 1, id) AS institution_id", "'u' AS source_url", "'t' AS page_title",
+        "IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS content_hash", "1 AS content_length",
+        "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, CAST(id % 700 AS INT)) AS scraped_at", "struct(id AS v) AS structured")
+    hot = layers.as_layer(plans.ingest_raw(pages)).where("content_hash = 'hot'").first()
+    assert hot.copies == 1000 and hot.raw_id == 0
+    newest = metrics.latest(pages, "institution_id", "scraped_at", "raw_id", ["source_url"]).where("institution_id = 1").first()
+    assert newest.raw_id % 700 == max(i % 700 for i in range(3000) if i % 3 == 0 or i == 1)

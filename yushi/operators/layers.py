@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
+from yushi.operators.identity import dense_ids
 
 
 # -------------------------------------------------------------- content dedup
@@ -78,6 +79,17 @@ def upsert(current: DataFrame, incoming: DataFrame, order: str = "newest") -> Da
                          *[F.col(f"latest.{c}").alias(c) for c in refreshed])
 
 
+def with_ids(products: DataFrame, known: DataFrame) -> DataFrame:
+    """Products with their ids: kept where `known` (key, product_id) has one, new
+    ones counted on from the highest."""
+    df = products.join(known.select(*PRODUCT_KEY, F.col("product_id").alias("_id")), PRODUCT_KEY, "left")
+    fresh = df.where(F.col("_id").isNull()).select(*PRODUCT_KEY)
+    last = F.coalesce(known.agg(F.max("product_id")).scalar(), F.lit(0))
+    ids = dense_ids(fresh, F.to_json(F.struct(*PRODUCT_KEY)), last, "_new")
+    return (df.join(ids, PRODUCT_KEY, "left").withColumn("product_id", F.coalesce("_id", "_new"))
+            .drop("_id", "_new"))
+
+
 def history(versions: DataFrame, fields, batch: Column) -> DataFrame:
     """What changed in a product from one run to the next.
 

@@ -20,13 +20,20 @@ from yushi.functions.regex import no_pair, once
 from yushi.operators import matching
 from yushi.sources import seeds
 
-IDS = ["raw_id", "institution_id", "source_url", "scraped_at", "source_rule"]
+IDS = ["raw_id", "institution_id", "source_url", "scraped_at", "source_rule", "page_title", "content_hash", "content_length"]
 c = F.col
 
 
+def identified(pages: DataFrame, body: str = "html_content") -> DataFrame:
+    """Title, hash and length beside the page, so that its body can stay behind."""
+    return pages.withColumns({
+        "page_title": T.page_title(c("html_content")), "content_hash": T.content_hash(c(body)),
+        "content_length": F.length(F.coalesce(body, F.lit("")))})
+
+
 def bank_products(pages: DataFrame) -> DataFrame:
     """Page text and brochure by profile, rate chain page -> brochure -> rate table."""
-    df = T.with_page_text(matching.with_profiles(pages, "source_url"), "html_content", "page")
+    df = T.with_page_text(matching.with_profiles(identified(pages), "source_url"), "html_content", "page")
     df = df.withColumns({
         "sheet": F.coalesce("brochure_text", F.lit("")),
         "rate_text": T.normalize_rate_page(c("rate_page_text")),
@@ -75,7 +82,7 @@ def variant_rate(rate_text, variant):
 
 def simple_products(pages: DataFrame) -> DataFrame:
     """Plain patterns on the whole text, category defaults, inverted pairs swapped."""
-    df = pages.withColumn("page", T.fold(T.raw_text(c("html_content"))))
+    df = identified(pages).withColumn("page", T.fold(T.raw_text(c("html_content"))))
     df = shaping.spread(df, rate=rates.simple(c("page")), amount=amounts.simple(c("page")), term=terms.simple(c("page")))
     df = df.withColumn("category", labels.category_by_text(c("page")))
     df = shaping.swap_inverted(shaping.fill(df, shaping.category_defaults(c("category")), zero_is_missing=True))
@@ -87,7 +94,7 @@ def simple_products(pages: DataFrame) -> DataFrame:
 
 def catalogue_products(pages: DataFrame) -> DataFrame:
     """Labelled table rows of catalogue pages with catalogue defaults."""
-    df = pages.withColumns({
+    df = identified(pages).withColumns({
         "page": T.raw_text(c("html_content")),
         "f": grids.catalogue_fields(grids.html_tables(T.fold(c("html_content")))),
         "product_name": T.name_from_catalogue(c("html_content")),
@@ -108,7 +115,7 @@ def brochure_products(pages: DataFrame) -> DataFrame:
     """Fields of brochure texts with the file's profile."""
     df = pages.where(c("brochure_text").isNotNull()).join(
         F.broadcast(seeds.file_profiles(pages.sparkSession)), c("brochure_file") == c("file_name"), "left")
-    df = df.withColumn("sheet", T.normalize_brochure(c("brochure_text")))
+    df = identified(df.withColumn("sheet", T.normalize_brochure(c("brochure_text"))), "sheet")
     df = shaping.spread(
         df, rate=rates.from_brochure_typed(c("sheet")), amount=amounts.from_lines(c("sheet")),
         term=terms.collect(c("sheet"), 6), age=terms.ages_loose(c("sheet")))

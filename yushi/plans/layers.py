@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
 from yushi.functions import answers, labels, shaping
-from yushi.functions import text as T
 from yushi.operators import layers, metrics, queues
+from yushi.plans.extract import identified
 
 c = F.col
 
 
 # ------------------------------------------------------------------- raw layer
 def raw_rows(products: DataFrame) -> DataFrame:
-    """Extraction output as raw-layer rows: common keys, record, hash, length."""
+    """Extraction output as raw-layer rows: common keys, record, hash, length.
+
+    Title, hash and length are taken over when the extraction added them and are
+    computed from html_content otherwise."""
+    if "content_hash" not in products.columns:
+        products = identified(products)
     df = shaping.harmonize(products.withColumn("dropped_keys", shaping.dropped_keys(products)))
     at = F.coalesce(c("scraped_at").try_cast("timestamp"), F.current_timestamp())
     return df.select(
         "raw_id", "institution_id", F.coalesce("source_url", F.lit("")).alias("source_url"),
-        T.page_title(c("html_content")).alias("page_title"), T.content_hash(c("html_content")).alias("content_hash"),
-        F.length(F.coalesce("html_content", F.lit(""))).alias("content_length"), at.alias("scraped_at"),
+        "page_title", "content_hash", "content_length", at.alias("scraped_at"),
         shaping.structured(df).alias("structured"), "dropped_keys")
 
 
