@@ -8,8 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from yushi.check_sql import checks
+from yushi.plans.catalog import QUERIES
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 def norm(v):
@@ -32,7 +34,8 @@ def con():
 
 
 def test_all_queries_have_check_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(checks())
+    assert set(QUERIES) <= set(entry.queries()) and set(checks()) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
