@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yushi.llm import language, lines, quality, tokens, urls
+from yushi.llm import decontaminate, jaccard, language, lines, mixing, quality, suffixes, tokens, urls
 from yushi.llm.tables import read
 
 
@@ -10,10 +10,22 @@ def op1_quality_rules(spark, sf_dir):
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_mix_sources(spark, sf_dir):
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark, sf_dir):
     return urls.judged(read(spark, sf_dir, "pages"))
 
 
+def op6_repeated_substrings(spark, sf_dir):
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return lines.line_report(read(spark, sf_dir, "documents"))
 
@@ -22,15 +34,23 @@ def op8_language_id(spark, sf_dir):
     return language.report(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.report(read(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark, sf_dir):
     return tokens.encode_report(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_output": op10_token_output,
 }
 

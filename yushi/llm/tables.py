@@ -50,11 +50,13 @@ def parts(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text: what a shuffle of whole texts carries."""
+def packed(docs: DataFrame, *ids: str) -> DataFrame:
+    """The id columns (doc_id if none is named) as long, and body, the compressed text: what a shuffle of whole texts carries."""
+    ids = ids or ("doc_id",)
 
     def run(b):
         z = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else z.compress(t) for t in utf8(b.column(1))], pa.binary())], ["doc_id", "body"])
+        body = pa.array([None if t is None else z.compress(t) for t in utf8(b.column(len(ids)))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], body], [*ids, "body"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, body binary")
+    return arrow_map(docs.select(*[F.col(c).cast("long").alias(c) for c in ids], "text"), run, ", ".join(f"{c} long" for c in ids) + ", body binary")
