@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yushi.llm import decontaminate, jaccard, language, lines, mixing, quality, suffixes, tokens, urls
+from yushi.llm import decontaminate, jaccard, language, licenses, lines, mixing, quality, suffixes, tokens, urls
 from yushi.llm.tables import read
 
 
@@ -14,6 +14,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_token_output(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
+    "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op6_repeated_substrings": op6_repeated_substrings,
