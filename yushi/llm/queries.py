@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from yushi.llm import decontaminate, jaccard, language, licenses, lines, mixing, quality, suffixes, tokens, urls
+from yushi.llm.oracle import ORACLE_SQL
 from yushi.llm.tables import read
 
 
@@ -59,4 +60,4 @@ QUERIES = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
