@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from yushi.llm.tables import arrow_map, parts, signed, stored, utf8
+from yushi.llm.tables import arrow_map, parts, ready, signed, stored, utf8
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Expected number of shingles a text chooses in one run.
@@ -363,4 +363,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies."""
+    ready(spark)
     return one_of_each(docs)

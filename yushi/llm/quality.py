@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from yushi.llm.tables import utf8
+from yushi.llm.tables import ready, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaim", "n_marks"]
 
@@ -197,4 +197,5 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def drop_rejected(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the current policy accepts."""
+    ready(spark)
     return keep(docs, CURRENT)

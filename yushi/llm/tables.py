@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,33 @@ from pyspark.sql import functions as F
 from yushi.session import work_dir
 
 
+_READY: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Python workers get the package with addPyFile if they can't import it; with --py-files or a path they can, and nothing is sent."""
+    sc = spark.sparkContext
+    if sc.applicationId in _READY:
+        return
+
+    def probe(batches):
+        from importlib.util import find_spec
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([find_spec("yushi") is not None] * b.num_rows)], ["known"])
+
+    if not spark.range(1).mapInArrow(probe, "known boolean").first().known:
+        package = Path(__file__).resolve().parent.parent
+        bundle = Path(tempfile.mkdtemp(prefix="yushi-code-")) / "yushi.zip"
+        with zipfile.ZipFile(bundle, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(bundle))
+    _READY.add(sc.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,13 +58,23 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+_SLICE = 8 << 20
+
+
+def slices(b: pa.RecordBatch, size: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about `size` bytes, one row at least."""
+    step = max(1, b.num_rows * size // max(size, b.nbytes))
+    for first in range(0, b.num_rows, step):
+        yield b.slice(first, step)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Each Arrow batch through fn; empty batches are left out."""
+    """Each Arrow batch through fn, a few megabytes at a time; empty batches are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield from fn(b)
+            for part in slices(b):
+                yield from fn(part)
 
     return df.mapInArrow(run, schema)
 

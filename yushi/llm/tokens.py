@@ -9,32 +9,34 @@ decodes without the rest of its shard.
 The container is Parquet written by Spark, so a lost task leaves nothing half done and any store will do.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; repeated rows are encoded one by one,
-rows with the same doc_id in the order of their compressed texts; no other column is read; an empty table gives no shards.
+rows with the same doc_id in the order of their texts; no other column is read; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from yushi.llm.tables import arrow_map, packed, parts
+from yushi.llm.tables import arrow_map, parts, utf8
 from yushi.session import work_dir
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Symbols fit 16 bits: the vocabulary and the rules of a shard together.
 SYMBOLS = 1 << 16
-LEAST_COUNT, PAIRS_A_ROUND, ROUNDS, LEAST_GAIN = 6, 4000, 24, 0.01
-_CACHE, _CACHED_BYTES = 150_000, 48
+LEAST_COUNT, PAIRS_A_ROUND, ROUNDS, LEAST_GAIN = 6, 4000, 24, 0.03
+_CACHE, _CACHED_CHARS, _PIECE = 250_000, 40, 1 << 18
 _SPACES = b" \t\n\x0b\x0c\r"
+_NO_ID = 0xFFFFFFFF
+_ASCII_SPACE = re.compile(r"[\t-\r ]+")
 
 SHARD = "part int, seq int, first_doc long, last_doc long, n_docs long, n_tokens long, doc_ids binary, null_ids binary, doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
 
@@ -42,68 +44,119 @@ SHARD = "part int, seq int, first_doc long, last_doc long, n_docs long, n_tokens
 # -- encoding -------------------------------------------------------------------------------------------------------
 
 
+class Cache:
+    """Ids of short strings: two generations of at most `_CACHE` entries, so what is frequent stays."""
+
+    def __init__(self, learn):
+        self.learn, self.young, self.old, self.fixed = learn, {}, {}, {}
+
+    def ids(self, tokens: list[str]) -> bytes:
+        young, old = self.young, self.old
+        new = [w for w in set(tokens) if w not in young]
+        if new:
+            if len(young) + len(new) > _CACHE:
+                self.old, old = young, young
+                self.young = young = {}
+                new = list(set(tokens))
+            known = self.fixed | {w: old[w] for w in new if w in old}
+            young.update(known)
+            unknown = [w for w in new if w not in known]
+            young.update(zip(unknown, self.learn(unknown)))
+            out = b"".join(map(young.__getitem__, tokens))
+            for w in [w for w in unknown if len(w) > _CACHED_CHARS]:
+                del young[w]
+            return out
+        return b"".join(map(young.__getitem__, tokens))
+
+
 class Encoder:
     """Ids of a whole text by the tokenizers library.
 
-    No token of this vocabulary spans white space, so a text's ids are those of its words; ids of words are remembered, up to a
-    fixed number. Texts with a special token's string take the whole-text path."""
+    This vocabulary splits a text into runs of letters, single digits and runs of other signs before anything else, and no token spans two of
+    them; so the ids of a text are those of its runs, and ids of runs are remembered. The split is done here only for texts of
+    ASCII and Latin-1 letters, where lower case and normal form are plain; in other texts the ids of whole words are remembered.
+    Texts with a special token's string are encoded in one piece."""
+
+    SIMPLE = re.compile(r"[\x00-\x7f\xc0-\xff]*")
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z\xdf-\xf6\xf8-\xff0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.mark, self.mark_id = max(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()), key=lambda x: x[1])
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.size = self.tok.get_vocab_size()
-
-    def whole(self, text: bytes) -> bytes:
-        return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of many words in one call: a special token stands between them."""
-        ids = np.array(self.tok.encode(self.mark.join(w.decode() for w in words), add_special_tokens=False).ids, np.uint32)
-        at = np.flatnonzero(ids == self.mark_id)
-        raw = ids.tobytes()
-        ends = np.append(at, len(ids)) * 4
-        starts = np.concatenate([[0], at * 4 + 4])
-        return {w: raw[a:b] for w, a, b in zip(words, starts.tolist(), ends.tolist())}
-
-    def _piece(self, words: list[bytes]) -> bytes:
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        found = self._learn(new)
-        if len(known) + len(found) > _CACHE:
-            own = {w: known[w] for w in set(words) if w in known} | found
-            known.clear()
-        else:
-            own = known
-        short = {w: i for w, i in found.items() if len(w) <= _CACHED_BYTES}
-        if own is known and len(short) == len(found):
-            known.update(found)
-            return b"".join(map(known.__getitem__, words))
-        if own is known:
-            own = {w: known[w] for w in set(words) if w in known} | found
-        known.update(short)
-        return b"".join(map(own.__getitem__, words))
-
-    def ids(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.runs, self.words = Cache(self._runs), Cache(self._words)
+        self.runs.fixed = {"\0": np.array([_NO_ID], np.uint32).tobytes()}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _runs(self, new: list[str]) -> list[bytes]:
+        """Many runs in one call: the last id of each is one that ends a run."""
+        out: list[bytes] = []
+        for k in range(0, len(new), 128):
+            ids = self._encode(" ".join(new[k:k + 128]))
+            edge = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(edge, edge[1:])]
+        return out
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self.whole(text)
-        out, at, n = [], 0, len(text)
+            return self._encode(text).tobytes()
+        if self.SIMPLE.fullmatch(text):
+            return self.runs.ids(self.RUNS.findall(text.lower()))
+        return self.words.ids(_ASCII_SPACE.split(text))
+
+    def ids(self, raw: bytes | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of one text."""
+        out, at, n = [], 0, len(raw or b"")
         while at < n:
-            end = min(n, at + (1 << 18))
-            while end < n and text[end] not in _SPACES:
+            end = min(n, at + _PIECE)
+            while end < n and raw[end] not in _SPACES:
                 end += 1
-            out.append(self._piece(text[at:end].split()))
+            out.append(self._ids(raw[at:end].decode()))
             at = end
         return b"".join(out)
 
+    def many(self, raws: list[bytes]) -> list[bytes]:
+        """ids of each text. Short simple texts go together: a NUL between them stands for an id that no token has."""
+        out: list[bytes] = [b""] * len(raws)
+        some: list[int] = []
+        size = 0
+
+        def flush():
+            text = " \0 ".join([*(raws[k].decode() for k in some), ""])
+            raw = self.runs.ids(self.RUNS.findall(text.lower()))
+            edge = np.flatnonzero(np.frombuffer(raw, np.uint32) == _NO_ID) * 4
+            for k, a, b in zip(some, [0, *(edge + 4).tolist()], edge.tolist()):
+                out[k] = raw[a:b]
+
+        for k, r in enumerate(raws):
+            if len(r) > _PIECE or b"\0" in r or b"<|" in r or not self.SIMPLE.fullmatch(r.decode()):
+                out[k] = self.ids(r)
+                continue
+            some.append(k)
+            size += len(r)
+            if size > _PIECE:
+                flush()
+                some, size = [], 0
+        if some:
+            flush()
+        return out
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: what it remembers is good for the next task."""
+    return Encoder(path)
+
 
 # -- grammar --------------------------------------------------------------------------------------------------------
 
@@ -224,13 +277,14 @@ def _shard(part: int, seq: int, ids: list[int | None], texts: list[bytes], termi
 
 def shards(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per shard, in ascending (part, seq) and so in ascending doc_id."""
-    placed = packed(docs).repartitionByRange(parts(docs), "doc_id", "body").sortWithinPartitions("doc_id", "body")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = rows.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc, z = Encoder(tokenizer), zstandard.ZstdDecompressor()
+        enc = encoder(tokenizer)
         if enc.size + 1 >= SYMBOLS:
             raise ValueError("this format takes vocabularies of less than 65,535 ids")
         end = np.array([END_ID], np.uint32).tobytes()
@@ -238,14 +292,15 @@ def shards(docs: DataFrame, tokenizer: str) -> DataFrame:
         texts: list[bytes] = []
         size = 0
         for b in batches:
-            for d, body in zip(b.column(0).to_pylist(), b.column(1)):
-                own = enc.ids(z.decompress(body.as_py()) if body.is_valid else b"") + end
-                if ids and size + len(own) > 4 * SHARD_TOKENS:
-                    yield pa.RecordBatch.from_pylist([_shard(part, seq, ids, texts, enc.size)], schema=_arrow())
-                    ids, texts, size, seq = [], [], 0, seq + 1
-                ids.append(d)
-                texts.append(own)
-                size += len(own)
+            for first in range(0, b.num_rows, 256):
+                some = b.slice(first, 256)
+                for d, own in zip(some.column(0).to_pylist(), enc.many([t or b"" for t in utf8(some.column(1))])):
+                    if ids and size + len(own) >= 4 * SHARD_TOKENS:
+                        yield pa.RecordBatch.from_pylist([_shard(part, seq, ids, texts, enc.size)], schema=_arrow())
+                        ids, texts, size, seq = [], [], 0, seq + 1
+                    ids.append(d)
+                    texts.append(own + end)
+                    size += len(own) + 4
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(part, seq, ids, texts, enc.size)], schema=_arrow())
 
