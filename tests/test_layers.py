@@ -57,11 +57,12 @@ def test_consumed_leaves_the_queue(spark):
 
 PRODUCT = ("institution_id long, product_name string, loan_type string, processed_data_id long, loan_category string, summary string, "
            "interest_rate_min double, interest_rate_max double, interest_rate_type string, loan_amount_min long, loan_amount_max long, "
-           "loan_term_min int, loan_term_max int, repayment_methods array<string>, features string, data_updated_at timestamp")
+           "loan_term_min int, loan_term_max int, repayment_methods array<string>, application_requirements string, features string, "
+           "data_updated_at timestamp")
 
 
 def product(no, day, rate, name="a", category="c"):
-    return (1, name, "t", no, f"{category}{no}", f"s{no}", rate, rate, "変動金利", 1, 2, 1, 2, ["r"], "f", dt.datetime(2024, 1, day))
+    return (1, name, "t", no, f"{category}{no}", f"s{no}", rate, rate, "変動金利", 1, 2, 1, 2, ["r"], f"q{no}", "f", dt.datetime(2024, 1, day))
 
 
 def test_upsert_orders(spark):
@@ -77,11 +78,29 @@ def test_upsert_orders(spark):
 
 def test_history(spark):
     versions = spark.createDataFrame([product(1, 1, 1.0), product(2, 2, 2.0), product(3, 9, 2.0)], PRODUCT)
-    steps = layers.history(versions, ["summary", "interest_rate_min"], F.col("data_updated_at").cast("date")).orderBy("changed_at").collect()
+    steps = layers.history(versions, ["summary", "interest_rate_min"]).orderBy("changed_at").collect()
     assert [s.changed_fields for s in steps] == [["summary", "interest_rate_min"], ["summary"]]
     assert steps[0].old_values == {"summary": "s1", "interest_rate_min": "1.0"} and steps[1].new_values == {"summary": "s3"}
 
 
+def test_history_keeps_every_version(spark):
+    """Three versions in a month and one in the next: three steps; the requirements are watched too."""
+    def at(no, month, day, rate, need):
+        row = list(product(no, day, rate))
+        row[14], row[16] = need, dt.datetime(2024, month, day)
+        return tuple(row)
+    versions = spark.createDataFrame([at(1, 1, 5, 1.0, "x"), at(2, 1, 20, 2.0, "x"), at(3, 1, 25, 3.0, "x"), at(4, 3, 1, 3.0, "y")], PRODUCT)
+    fields = [f for f in plans.HISTORY_FIELDS if f != "summary"]
+    steps = layers.history(versions, fields).orderBy("changed_at").collect()
+    assert [s.changed_fields for s in steps] == [["interest_rate_min", "interest_rate_max"]] * 2 + [["application_requirements"]]
+    assert [s.processed_data_id for s in steps] == [2, 3, 4] and steps[2].old_values == {"application_requirements": "x"}
+
+
+def test_update_takes_new_requirements(spark):
+    got = layers.upsert(spark.createDataFrame([product(1, 1, 1.0)], PRODUCT), spark.createDataFrame([product(2, 5, 2.0)], PRODUCT)).first()
+    assert got.application_requirements == "q2" and got.processed_data_id == 1
+
+
 def test_integrate_run(spark):
     done, dim = catalog.processed_layer(spark, SF), corpus.institutions(spark, SF)
     out = plans.integrate(done, catalog.structured_rows(spark, SF), dim, catalog.integrated_products(spark, SF))
@@ -114,8 +133,27 @@ def test_stream_equals_batch(spark, raw, tmp_path):
     newest = raw.agg(F.max("scraped_at")).first()[0]
     line = newest - dt.timedelta(days=30)
     assert ingest.late_pages(spark, out).first().late == months[1].where(F.col("scraped_at") < F.lit(line)).count()
-    ingest.compact(spark, out, str(tmp_path / "small"))
-    assert ingest.read(spark, str(tmp_path / "small")).count() == plans.ingest_raw(raw).count()
+    small = str(tmp_path / "small")
+    late = ingest.late_pages(spark, out).first().late
+    ingest.compact(spark, out, small)
+    assert ingest.read(spark, small).count() == plans.ingest_raw(raw).count() and ingest.late_pages(spark, small).first().late == late
+
+
+def test_stream_goes_on_behind_compaction(spark, raw, tmp_path):
+    """Compact, then a new query on the compacted folder: nothing is lost, late pages stay counted."""
+    out, small = str(tmp_path / "out"), str(tmp_path / "small")
+    for part, folder in ((raw.where("scraped_at >= '1998-01-01'"), "a"), (raw.where("scraped_at < '1998-01-01'"), "b")):
+        source = str(tmp_path / folder)
+        part.repartition(3).write.parquet(source)
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest.start(stream, out if folder == "a" else small, str(tmp_path / f"check-{folder}")).awaitTermination()
+        if folder == "a":
+            ingest.compact(spark, out, small)
+    assert rows(layers.as_layer(ingest.read(spark, small))) == rows(layers.as_layer(plans.ingest_raw(raw)))
+    line = raw.agg(F.max("scraped_at")).first()[0] - dt.timedelta(days=30)
+    before = ingest.late_pages(spark, out).first().late
+    later = raw.where("scraped_at < '1998-01-01'").where(F.col("scraped_at") < F.lit(line)).count()
+    assert ingest.late_pages(spark, small).first().late == before + later
 
 
 def test_dense_ids(spark):
@@ -183,8 +221,10 @@ def test_search(spark):
 def test_text_search_equals_postings(spark):
     docs = spark.createDataFrame([(1, "教育ローンの説明"), (2, "住宅ローン"), (3, "定期")], "id int, t string")
     got = {r.id: r.score for r in search.text_search(docs, ["t"], "教育ローン").collect()}
-    index = search.postings(docs, "id", F.col("t")).where(F.col("bigram").isin("教育", "育ロ", "ロー", "ーン"))
-    assert got == {r.id: r["count"] for r in index.groupBy("id").count().collect()} == {1: 4, 2: 2}
+    index = search.postings(docs, "id", F.col("t"))
+    assert got == {r.id: r.score for r in search.indexed_search(index, "id", "教育ローン").collect()} == {1: 4, 2: 2}
+    assert [r.id for r in search.text_search(docs, ["t"], "教育ローン", share=0.6).collect()] == [1]
+    assert [r.id for r in search.text_search(docs, ["t"], "教育ローン", order=["id"], best=1).collect()] == [1]
     assert [r.id for r in search.text_search(docs, ["t"], "教育ローン", exact=True).collect()] == [1]
 
 

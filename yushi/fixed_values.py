@@ -397,7 +397,8 @@ PROCESSING_STATES = ["pending", "processing", "completed", "failed", "retry"]
 UPSERT_REFRESHED = [
     "product_name", "loan_type", "summary", "interest_rate_min", "interest_rate_max",
     "interest_rate_type", "loan_amount_min", "loan_amount_max", "loan_term_min",
-    "loan_term_max", "repayment_methods", "features", "data_updated_at",
+    "loan_term_max", "repayment_methods", "application_requirements", "features",
+    "data_updated_at",
 ]
 FAVOURITE_LIMIT = 100
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,9 +112,15 @@ _TASK = (
 )
 
 
+def _layout() -> str:
+    """The fields of an answer by section, as the schema has them."""
+    sections = re.findall(r"(\w+) struct<(.*?)>(?:,(?=\w+ (?:struct|map))|,data_quality|$)", ANSWER_SCHEMA)
+    return "; ".join(f"{name}(" + ", ".join(re.findall(r"(\w+):", body)) + ")" for name, body in sections)
+
+
 def prompt(institution: Column, url: Column, title: Column, structured: Column) -> Column:
     """One request text per page: task, source, data and the sections wanted."""
     return F.concat(
         F.lit(_TASK), F.lit("\n機関: "), institution, F.lit("\nURL: "), url, F.lit("\n題名: "), F.coalesce(title, F.lit("")),
-        F.lit("\nデータ: "), F.to_json(structured), F.lit("\n項目: " + ", ".join(V.ANSWER_SECTIONS)),
+        F.lit("\nデータ: "), F.to_json(structured), F.lit("\n項目: " + _layout()),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +97,43 @@ def normalize_rate_page(text: Column) -> Column:
     return F.regexp_replace(t, "[~〜～]", "〜")
 
 
-_ENTITIES = [("&nbsp;", _NO_BREAK_SPACE), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-             ("&#39;", "'"), ("&apos;", "'"), ("&yen;", "¥"), ("&amp;", "&")]
+# named, decimal and hexadecimal references; a final semicolon is part of the name
+_REFERENCE = "&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+_FREQUENT = ["amp;", "nbsp;", "lt;", "gt;", "quot;", "yen;", "copy;", "middot;", "apos;", "hellip;", "times;"]
+
+
+def _names() -> Column:
+    """All names of HTML as one map literal; look-ups go through it in order, so frequent names come first."""
+    table = {n: html5[n] for n in [*_FREQUENT, *sorted(html5)]}
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,string>")
+
+
+def _windows_1252() -> Column:
+    """What the code points 128 to 159 stand for on pages."""
+    known = {str(n): bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return F.from_json(F.lit(json.dumps({k: v for k, v in known.items() if v}, ensure_ascii=False)), "map<string,string>")
+
+
+def _character(code: Column) -> Column:
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    bad = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(bad, chr(0xFFFD)).otherwise(F.coalesce(F.try_element_at(_windows_1252(), code.cast("string")), plain))
+
+
+def _decoded(reference: Column) -> Column:
+    """The characters of one reference, itself if there is no such name."""
+    digits = F.rtrim(F.lower(reference), F.lit(";"))
+    number = (F.when(digits.startswith("&#x"), F.conv(F.substring(digits, 4, 8), 16, 10)).otherwise(F.substring(digits, 3, 9))).try_cast("bigint")
+    name = F.substring(reference, 2, 40)
+    return F.when(reference.startswith("&#"), _character(number)).otherwise(F.coalesce(F.try_element_at(_names(), name), reference))
 
 
 def unescape(text: Column) -> Column:
+    """References to characters, each decoded once: what one becomes is never read as another."""
     def replaced(t):
-        for name, char in _ENTITIES:
-            t = F.replace(t, F.lit(name), F.lit(char))
-        return t
+        pieces = F.zip_with(F.split(t, _REFERENCE), F.regexp_extract_all(t, F.lit(_REFERENCE), 0),
+                            lambda a, r: F.concat(a, F.coalesce(_decoded(r), F.lit(""))))
+        return F.array_join(pieces, "")
 
     return let(text, lambda t: F.when(t.contains("&"), replaced(t)).otherwise(t))
 

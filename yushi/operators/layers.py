@@ -90,31 +90,39 @@ def with_ids(products: DataFrame, known: DataFrame) -> DataFrame:
             .drop("_id", "_new"))
 
 
-def history(versions: DataFrame, fields, batch: Column) -> DataFrame:
-    """What changed in a product from one run to the next.
+def _plain(column: Column, kind: str) -> Column:
+    return F.to_json(column) if kind.startswith(("struct", "array", "map")) else column.cast("string")
 
-    A run stores one version per product, so versions are first reduced to the
-    winner of each run (`batch`, e.g. the month); a product then has at most one
-    row per run and the window over a product stays short however hot it is."""
-    order = ["data_updated_at", "processed_data_id"]
-    winners = (versions.withColumn("_batch", batch).groupBy(*PRODUCT_KEY, "_batch")
-               .agg(F.max(F.struct(*order, *[c for c in fields if c not in order])).alias("v")))
-    steps = Window.partitionBy(*PRODUCT_KEY).orderBy("_batch")
-    pairs = winners.withColumn("old", F.lag("v").over(steps)).where(F.col("old").isNotNull())
 
-    def text(side, name):
-        return F.col(f"{side}.{name}").cast("string")
+def history(versions: DataFrame, fields) -> DataFrame:
+    """What changed from each version of a product to the next, every version counted.
 
+    The step before a version is looked for inside its month; the first version of a month
+    looks at the last of the month before that has any.  So no window holds more than
+    one product's month, or one row per month, however often a product changes."""
+    order = ["data_updated_at", "processed_data_id"]
+    kinds = {f: versions.schema[f].dataType.simpleString() for f in fields}
+    rows = versions.select(*PRODUCT_KEY, F.date_trunc("month", "data_updated_at").alias("_month"), F.struct(
+        F.unix_micros(F.col("data_updated_at").cast("timestamp")).alias("at"), F.col("processed_data_id").alias("no"),
+        F.col("data_updated_at").alias("changed_at"), *[_plain(F.col(f), kinds[f]).alias(f) for f in fields]).alias("v"))
+    month = [*PRODUCT_KEY, "_month"]
+    within = Window.partitionBy(*month).orderBy("v.at", "v.no")
+    across = Window.partitionBy(*PRODUCT_KEY).orderBy("_month")
+    steps = rows.withColumn("inner_old", F.lag("v").over(within))
+    last = rows.withColumn("_back", F.row_number().over(Window.partitionBy(*month).orderBy(F.col("v.at").desc(), F.col("v.no").desc())))
+    before = last.where("_back = 1").select(*month, F.lag("v").over(across).alias("month_old")).where(F.col("month_old").isNotNull())
+    pairs = (steps.join(before, month, "left").withColumn("old", F.coalesce("inner_old", "month_old"))
+             .where(F.col("old").isNotNull()))
     entries = F.array_compact(F.array(*[
         F.when(~F.col(f"old.{c}").eqNullSafe(F.col(f"v.{c}")),
-               F.struct(F.lit(c).alias("k"), text("old", c).alias("o"), text("v", c).alias("n")))
+               F.struct(F.lit(c).alias("k"), F.col(f"old.{c}").alias("o"), F.col(f"v.{c}").alias("n")))
         for c in fields]))
     return (pairs.withColumn("e", entries).where(F.size("e") > 0).select(
-        *PRODUCT_KEY,
+        *PRODUCT_KEY, F.col("v.no").alias("processed_data_id"),
         F.transform("e", lambda x: x["k"]).alias("changed_fields"),
         F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x["o"]))).alias("old_values"),
         F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x["n"]))).alias("new_values"),
-        F.col("v.data_updated_at").alias("changed_at")))
+        F.col("v.changed_at").alias("changed_at")))
 
 
 def first_records(records: DataFrame, key, position) -> DataFrame:

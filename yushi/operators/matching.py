@@ -54,12 +54,13 @@ def with_profiles(df: DataFrame, url: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ web and brochure
-def _substrings(name: Column) -> Column:
-    """All distinct substrings of a name."""
-    n = F.length(name)
-    cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k)))
-    return F.array_distinct(F.flatten(cuts))
+def _cut(names: DataFrame, name: str, part: str, others: DataFrame, other: str) -> DataFrame:
+    """Rows of names with each substring that is as long as one of the other names: linear in the name."""
+    sizes = others.agg(F.collect_set(F.length(other))).scalar()
+    sized = names.withColumn("_k", F.explode(sizes)).where((F.col("_k") > 0) & (F.col("_k") <= F.length(name)))
+    at = F.sequence(F.lit(1), F.length(name) - F.col("_k") + 1)
+    pieces = F.array_distinct(F.transform(at, lambda i: F.substring(F.col(name), i, F.col("_k"))))
+    return sized.withColumn(part, F.explode(pieces)).drop("_k")
 
 
 def match_names(web: DataFrame, brochures: DataFrame) -> DataFrame:
@@ -72,16 +73,16 @@ def match_names(web: DataFrame, brochures: DataFrame) -> DataFrame:
     hot institution can multiply rows."""
     key = "institution_id"
     names = web.groupBy(key, "web_name").agg(F.min("web_pos").alias("web_pos"))
-    index = (names.select(key, "web_pos", F.explode(_substrings(F.col("web_name"))).alias("part"))
-             .groupBy(key, "part").agg(F.min("web_pos").alias("web_pos")))
     wanted = brochures.select(key, "brochure_name").distinct()
     alias_map = F.create_map(*[F.lit(x) for k, v in V.NAME_ALIASES.items() for x in (k, "|".join(v))])
     own = F.array(F.col("brochure_name"))
     aliases = F.split(F.try_element_at(alias_map, F.col("brochure_name")), r"\|")
-    inside_web = (wanted.select(key, "brochure_name", F.explode(F.array_union(
+    parts = wanted.select(key, "brochure_name", F.explode(F.array_union(
         own, F.coalesce(aliases, F.array().cast("array<string>")))).alias("part"))
-        .join(index, [key, "part"]).select(key, "brochure_name", "web_pos"))
-    inside_brochure = (wanted.select(key, "brochure_name", F.explode(_substrings(F.col("brochure_name"))).alias("web_name"))
+    index = (_cut(names, "web_name", "part", parts, "part")
+             .groupBy(key, "part").agg(F.min("web_pos").alias("web_pos")))
+    inside_web = parts.join(index, [key, "part"]).select(key, "brochure_name", "web_pos")
+    inside_brochure = (_cut(wanted, "brochure_name", "web_name", names, "web_name")
                        .join(names, [key, "web_name"]).select(key, "brochure_name", "web_pos"))
     return (inside_web.unionByName(inside_brochure).groupBy(key, "brochure_name")
             .agg(F.min("web_pos").alias("web_pos")))

@@ -66,9 +66,9 @@ def _web_grids(spark, d) -> DataFrame:
     return corpus.grids(spark, d).withColumn("grid", grids.normalize(grids.from_text(c("web_grid_text"))))
 
 
-def extracted(spark, d) -> DataFrame:
+def extracted(spark, d, *more: str) -> DataFrame:
     """One record per page by the plain rules, under the sources' own names."""
-    df = corpus.as_stored(corpus.raw_pages(spark, d), "raw_id", "institution_id", "source_url", "scraped_at", "kind", "html_content")
+    df = corpus.as_stored(corpus.raw_pages(spark, d), "raw_id", "institution_id", "source_url", "scraped_at", "kind", "html_content", *more)
     df = df.withColumn("page", T.fold(T.raw_text(c("html_content"))))
     df = shaping.spread(df, rate=rates.simple(c("page")), amount=amounts.simple(c("page")), term=terms.simple(c("page")),
                         age=terms.ages_loose(c("page")))
@@ -79,8 +79,8 @@ def extracted(spark, d) -> DataFrame:
     }).drop("page")
 
 
-def raw_layer_rows(spark, d) -> DataFrame:
-    return plans.raw_rows(extracted(spark, d))
+def raw_layer_rows(spark, d, *more: str) -> DataFrame:
+    return plans.raw_rows(extracted(spark, d, *more), more)
 
 
 def structured_rows(spark, d) -> DataFrame:
@@ -128,6 +128,17 @@ def product_out() -> list:
     ]
 
 
+def product_details() -> list:
+    """The stored columns beyond `product_out`."""
+    f, r = "features", "application_requirements"
+    return [
+        "interest_rate_type", F.array_join("repayment_methods", ",").alias("repayment"), "is_active",
+        F.array_join(c(f"{f}.competitive_advantages"), ",").alias("advantages"), F.array_join(c(f"{f}.key_benefits"), ",").alias("benefits"),
+        c(f"{f}.market_segment").alias("market_segment"), c(f"{f}.flexibility_score").alias("flexibility"),
+        F.array_join(c(f"{r}.risk_factors"), ",").alias("risks"),
+    ]
+
+
 # -------------------------------------------------------------- scans, sources
 @query
 def scan_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -202,10 +213,30 @@ def search_facets(spark, d):
 
 @query
 def search_text(spark, d):
-    hits = search.text_search(products(spark, d), ["product_name", "summary"], "教育ローンの説明")
+    hits = search.text_search(products(spark, d), ["product_name", "summary"], "教育ローンの説明", order=layers.PRODUCT_KEY, best=50)
     return hits.select("institution_id", "product_name", "loan_type", "score")
 
 
+@query
+def search_institutions(spark, d):
+    """Institutions by name and reading."""
+    dim = corpus.institutions(spark, d)
+    return search.text_search(dim, ["institution_name", "institution_name_kana"], "信用金庫キカン1", share=0.6, order=["institution_id"], best=10).select(
+        "institution_id", "institution_name", "score")
+
+
+@query
+def search_after(spark, d):
+    """The page behind a product with 100万円 at most and 50 as the last id seen, by amount."""
+    return search.after(products(spark, d), "loan_amount_max", "processed_data_id", 1_000_000, 50, 20).select("processed_data_id", *product_out())
+
+
+@query
+def search_by_update(spark, d):
+    hits = search.search(products(spark, d), search.LoanQuery(loan_type=None))
+    return search.page(hits, [c("data_updated_at").desc(), c("processed_data_id")], 20, 3).select("processed_data_id", *product_out())
+
+
 @query
 def active_products(spark, d):
     return search.active(products(spark, d)).select(*product_out())
@@ -239,13 +270,7 @@ def backlog(spark, d):
 
 @query
 def integrate_products(spark, d):
-    f = "features"
-    return all_product_rows(spark, d).select(
-        "processed_data_id", *product_out(), "interest_rate_type",
-        F.array_join(c(f"{f}.competitive_advantages"), ",").alias("advantages"),
-        F.array_join(c(f"{f}.key_benefits"), ",").alias("benefits"),
-        c(f"{f}.market_segment").alias("market_segment"), c(f"{f}.flexibility_score").alias("flexibility"),
-        F.array_join("repayment_methods", ",").alias("repayment"))
+    return all_product_rows(spark, d).select("processed_data_id", *product_out(), *product_details())
 
 
 @query
@@ -412,7 +437,7 @@ def dedup_pages(spark, d):
 @query
 def dedup_by_source(spark, d):
     """Pages of different institutions or channels stay apart."""
-    rows = raw_layer_rows(spark, d).join(corpus.raw_pages(spark, d).select("raw_id", "variant"), "raw_id")
+    rows = raw_layer_rows(spark, d, "variant")
     key = ("institution_id", "source_url", "variant", "content_hash")
     versions = layers.page_versions(rows, ["raw_id", "content_length", "scraped_at"], ["structured"], key)
     return layers.as_layer(versions, key).select(*key, "raw_id", "copies", _day("updated_at").alias("updated_on"))
@@ -420,15 +445,12 @@ def dedup_by_source(spark, d):
 
 @query
 def ingest_stream(spark, d):
-    schema = corpus.table(spark, d, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
-    df = corpus.apply_stages(orders, corpus.RAW_PAGES[1]).withColumn("page", T.fold(T.raw_text(c("html_content"))))
-    df = shaping.spread(df, rate=rates.simple(c("page")))
-    rows = plans.raw_rows(df.withColumns({"product_name": T.element(c("html_content"), "h1"), "category": c("kind")}))
-    out, check = work_dir(spark, "raw-layer"), work_dir(spark, "raw-layer-check")
-    run = ingest.start(rows, out, check)
-    run.awaitTermination()
+    """The whole extraction arrives in several files; each is a micro-batch."""
+    source, out, check = (work_dir(spark, f"raw-layer{x}") for x in ("-in", "", "-check"))
+    rows = raw_layer_rows(spark, d)
+    rows.repartitionByRange(3, "scraped_at").write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.start(arriving, out, check).awaitTermination()
     return _dedup_out(ingest.read(spark, out))
 
 
@@ -446,7 +468,8 @@ def recent_samples(spark, d):
 
 
 def _upserted(spark, d, order):
-    return layers.upsert(integrated_products(spark, d), product_versions(spark, d), order).select("processed_data_id", *product_out())
+    return layers.upsert(integrated_products(spark, d), product_versions(spark, d), order).select(
+        "processed_data_id", *product_out(), *product_details())
 
 
 @query
@@ -466,9 +489,9 @@ def integration_rejects(spark, d):
 
 @query
 def product_history(spark, d):
-    out = layers.history(product_versions(spark, d), plans.HISTORY_FIELDS, F.date_trunc("month", c("data_updated_at")))
+    out = layers.history(product_versions(spark, d), plans.HISTORY_FIELDS)
     joined = lambda m: F.array_join(F.transform("changed_fields", lambda k: F.coalesce(F.try_element_at(c(m), k), F.lit("-"))), "|")
-    return out.select(*layers.PRODUCT_KEY, F.array_join("changed_fields", "|").alias("changed_fields"),
+    return out.select(*layers.PRODUCT_KEY, "processed_data_id", F.array_join("changed_fields", "|").alias("changed_fields"),
                       joined("old_values").alias("old_values"), joined("new_values").alias("new_values"),
                       _day("changed_at").alias("changed_on"))
 
@@ -536,9 +559,8 @@ def rate_strict(spark, d):
 
 @query
 def rate_context(spark, d):
-    df = corpus.raw_pages(spark, d).withColumn("line", T.normalize_text(c("rate_line")))
-    page = _with_clean(spark, d).select("raw_id", *_flat(rates.from_context(c("page")), "page_lo", "page_hi"))
-    return df.select("raw_id", *_rate(rates.from_context(c("line")))).join(page, "raw_id")
+    df = _with_clean(spark, d).withColumn("line", T.normalize_text(c("rate_line")))
+    return df.select("raw_id", *_rate(rates.from_context(c("line"))), *_flat(rates.from_context(c("page")), "page_lo", "page_hi"))
 
 
 @query
@@ -836,10 +858,8 @@ def parse_warnings(spark, d):
 
 @query
 def build_prompts(spark, d):
-    df = corpus.raw_pages(spark, d).join(corpus.institutions(spark, d), "institution_id")
-    data = F.struct("raw_id", "product_name")
-    title = T.page_title(c("html_content"))
-    return df.select("raw_id", answers.prompt(c("institution_name"), c("source_url"), title, data).alias("prompt"))
+    df = raw_layer_rows(spark, d).join(corpus.institutions(spark, d), "institution_id")
+    return df.select("raw_id", answers.prompt(c("institution_name"), c("source_url"), c("page_title"), c("structured")).alias("prompt"))
 
 
 @query
@@ -850,10 +870,11 @@ def validate_summary(spark, d):
 
 @query
 def processed_rows(spark, d):
-    rows = corpus.processed_rows(spark, d).select("raw_id", "institution_id", "response_text", "processed_at")
-    out = plans.processed_rows(rows, F.lit("m1"), c("processed_at"))
+    rows = corpus.processed_rows(spark, d).select("raw_id", "institution_id", "processed_at", "summary_json", F.when(
+        c("raw_id") % 7 > 0, c("response_text")).alias("response_text"))
+    out = plans.processed_rows(rows, F.lit("m1"), c("processed_at"), "summary_json")
     return out.select("raw_id", "institution_id", "ai_model", "processing_status", "validation_status", "parse_ok",
-                      "validation_messages", _day("processed_at").alias("processed_on"))
+                      "error_message", "validation_messages", _day("processed_at").alias("processed_on"))
 
 
 # ------------------------------------------------------------------- pipelines
@@ -891,7 +912,40 @@ def strict_fields(spark, d):
 
 def run_all_summary(spark, d):
     pages = ruled_pages(spark, d).drop("product_name")
-    return plans.run_all({r: pages.where(c("source_rule") == r) for r in extract.RULES}, extract.RULES)
+    return plans.run_all({r: pages.where(c("source_rule") == r) for r in extract.RULES}, extract.RULES, "2024-01", work_dir(spark, "run-log"))
+
+
+@query
+def process_batch(spark, d):
+    """The job with a stand-in for the model that leaves out every fifth page."""
+    def summarise(batches):
+        for b in batches:
+            own = b[b["raw_id"] % 5 != 0]
+            text = [f'{{"data_confidence":{{"analysis_reliability":"{i % 10}"}}}}' for i in own["raw_id"]]
+            yield own.assign(response_text=text)[["raw_id", "response_text"]]
+
+    out = plans.process_batch(raw_layer_rows(spark, d), corpus.institutions(spark, d), corpus.processed_rows(spark, d), summarise, "m1", limit=None)
+    return out.select("raw_id", "institution_id", "ai_model", "processing_status", "validation_status", "error_message", "validation_messages")
+
+
+def _integrated(spark, d) -> dict:
+    return plans.integrate(processed_layer(spark, d), structured_rows(spark, d), corpus.institutions(spark, d), integrated_products(spark, d))
+
+
+@query
+def integrate_job(spark, d):
+    """Products after a run over everything the earlier run has left."""
+    return _integrated(spark, d)["products"].select("processed_data_id", *product_out(), *product_details())
+
+
+@query
+def integrate_job_rejects(spark, d):
+    return _integrated(spark, d)["rejects"]
+
+
+@query
+def run_log_rows(spark, d):
+    return run_all_summary(spark, d)["log"].groupBy("run_id", "source_no").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"))
 
 
 @query

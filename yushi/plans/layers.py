@@ -11,12 +11,13 @@ from yushi import fixed_values as V
 from yushi.functions import answers, labels, shaping
 from yushi.operators import layers, metrics, queues
 from yushi.plans.extract import identified
+from yushi.session import written
 
 c = F.col
 
 
 # ------------------------------------------------------------------- raw layer
-def raw_rows(products: DataFrame) -> DataFrame:
+def raw_rows(products: DataFrame, more=()) -> DataFrame:
     """Extraction output as raw-layer rows: common keys, record, hash, length.
 
     Title, hash and length are taken over when the extraction added them and are
@@ -28,7 +29,7 @@ def raw_rows(products: DataFrame) -> DataFrame:
     return df.select(
         "raw_id", "institution_id", F.coalesce("source_url", F.lit("")).alias("source_url"),
         "page_title", "content_hash", "content_length", at.alias("scraped_at"),
-        shaping.structured(df).alias("structured"), "dropped_keys")
+        shaping.structured(df).alias("structured"), "dropped_keys", *more)
 
 
 IDENTITY = ["raw_id", "institution_id", "source_url", "page_title", "content_length", "scraped_at"]
@@ -45,28 +46,35 @@ def ingest_raw(rows: DataFrame, layer: DataFrame | None = None, key=("content_ha
 # ------------------------------------------------------------- processed layer
 def process_batch(raw: DataFrame, institutions: DataFrame, processed: DataFrame,
                   summarise: Callable, model: str, limit: int | None = 10) -> DataFrame:
-    """Queue -> prompt -> injected model -> parsed rows.
+    """Queue -> prompt -> injected model -> parsed rows, one row for each page of the queue.
 
     `summarise` maps batches (raw_id, prompt) to (raw_id, response_text); it is
-    the only step outside the JVM and runs once per partition of the queue."""
-    queue = queues.unprocessed(raw, institutions, processed, limit)
+    the only step outside the JVM and runs once per partition of the queue.  Queue and
+    replies are written once, so no later action asks the model again; a page
+    without a reply is kept as failed."""
+    queue = written(queues.unprocessed(raw, institutions, processed, limit), "queue")
+    spread = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = queue.select("raw_id", answers.prompt(
-        c("institution_name"), c("source_url"), c("page_title"), c("structured")).alias("prompt"))
-    replies = asked.mapInPandas(summarise, "raw_id long, response_text string")
-    return processed_rows(queue.select("raw_id", "institution_id").join(replies, "raw_id"), F.lit(model),
+        c("institution_name"), c("source_url"), c("page_title"), c("structured")).alias("prompt")).repartition(spread, "raw_id")
+    replies = written(asked.mapInPandas(summarise, "raw_id long, response_text string"), "replies")
+    return processed_rows(queue.select("raw_id", "institution_id").join(replies, "raw_id", "left"), F.lit(model),
                           F.current_timestamp())
 
 
-def processed_rows(replies: DataFrame, model: Column, at: Column) -> DataFrame:
-    """Stored form of answers; unreadable ones are kept and marked."""
+def processed_rows(replies: DataFrame, model: Column, at: Column, summary: str | None = None) -> DataFrame:
+    """Stored form of answers; missing and unreadable ones are kept and marked.
+
+    Where rows carry a summary document, its findings decide the validation status."""
     df = replies.withColumn("ai_summary", answers.answer_json(c("response_text")))
     df = df.withColumn("parse_ok", F.coalesce(answers.is_json(c("ai_summary")), F.lit(False)))
     parsed = answers.parse_answer(c("ai_summary"))
+    found = answers.summary_status(answers.summary_messages(c(summary))) if summary else F.lit("valid")
     return df.select(
         "raw_id", "institution_id", "ai_summary", model.alias("ai_model"),
         F.when(c("response_text").isNull(), "failed").otherwise("completed").alias("processing_status"),
-        F.when(c("parse_ok"), "valid").otherwise("error").alias("validation_status"),
+        F.when(c("parse_ok"), found).otherwise("error").alias("validation_status"),
         F.when(c("parse_ok"), answers.quality_messages(parsed)).alias("validation_messages"),
+        F.when(c("response_text").isNull(), "no reply").when(~c("parse_ok"), "unreadable reply").alias("error_message"),
         "parse_ok", at.alias("processed_at"))
 
 
@@ -118,7 +126,10 @@ def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             tagged.where(c("reason").isNotNull()).select("processed_data_id", "institution_id", "reason"))
 
 
-HISTORY_FIELDS = ["summary", "interest_rate_min", "interest_rate_max", "loan_amount_max", "loan_term_max"]
+HISTORY_FIELDS = [
+    "summary", "interest_rate_min", "interest_rate_max", "interest_rate_type", "loan_amount_min", "loan_amount_max",
+    "loan_term_min", "loan_term_max", "repayment_methods", "application_requirements", "features",
+]
 
 
 def integrate(processed: DataFrame, structured: DataFrame, institutions: DataFrame, products: DataFrame,
@@ -126,24 +137,29 @@ def integrate(processed: DataFrame, structured: DataFrame, institutions: DataFra
     """One run: queue, product rows, upsert, what changed, and what was rejected."""
     queue = queues.unintegrated(processed, institutions, products, limit).drop("institution_name")
     good, rejects = split_rejects(product_rows(queue, structured))
-    month = F.date_trunc("month", c("data_updated_at"))
-    return {
-        "products": layers.upsert(products, good, order),
-        "history": layers.history(products.select(*good.columns).unionByName(good), HISTORY_FIELDS, month),
-        "rejects": rejects,
-    }
+    stored = layers.upsert(products.select(*good.columns), good, order)
+    known = products.select(*layers.PRODUCT_KEY, "product_id") if "product_id" in products.columns else None
+    if known is not None:
+        stored = layers.with_ids(stored, known)
+    changes = layers.history(products.select(*good.columns).unionByName(good), HISTORY_FIELDS)
+    if known is not None:
+        changes = changes.join(stored.select(*layers.PRODUCT_KEY, "product_id"), layers.PRODUCT_KEY, "left")
+    return {"products": stored, "history": changes, "rejects": rejects}
 
 
-def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable]) -> dict[str, DataFrame]:
+def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable], run_id: str, log_path: str | None = None) -> dict[str, DataFrame]:
     """Extract every source; rows that yield no product become rejects.
 
     A source is one branch of the plan, its bad rows are data and not errors, so
-    no source can stop another."""
+    no source can stop another.  With `log_path` the run's log rows are appended there."""
     out = None
     for name, pages in sources.items():
         part = rules[name](pages)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     ok = c("product_name").isNotNull()
-    log = out.select(F.lit("run").alias("run_id"), c("scraped_at").alias("ts"), c("source_rule").alias("source_no"),
+    log = out.select(F.lit(run_id).alias("run_id"), c("scraped_at").alias("ts"), c("source_rule").alias("source_no"),
                      ok.cast("int").alias("ok"))
-    return {"products": out.where(ok), "rejects": out.where(~ok), "summary": metrics.run_summary(log)}
+    if log_path:
+        log.write.mode("append").parquet(log_path)
+        log = out.sparkSession.read.schema(log.schema).parquet(log_path).where(c("run_id") == run_id)
+    return {"products": out.where(ok), "rejects": out.where(~ok), "log": log, "summary": metrics.run_summary(log)}

@@ -27,6 +27,13 @@ def build(app: str = "yushi", cpus: int | str = "*") -> SparkSession:
     return spark
 
 
+def written(df, name: str):
+    """The rows of df, written once to the shared folder and read from there."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """New folder below the shared folder that the session names.
 

@@ -113,7 +113,7 @@ RAW_PAGES = ("orders", [
             "'<h1>' || product_name || '</h1><!-- 1.11% --><p>' || rate_line || '</p><p>' || amount_line || '</p><p>' || "
             "term_line || '</p><ul><li>' || age_line || '</li><li>' || repay_line || '</li><li>' || feature_line || '</li></ul>' || "
             "CASE WHEN gform = 0 THEN table_html ELSE '' END || "
-            "'<h2>商品概要</h2><p>適用金利 ' || lo || '% ～ ' || hi || '%</p><p>限度額 ' || amt || '万円&nbsp;以内</p>' || "
+            "'<h2>商品概要</h2><p>適用金利 ' || lo || '% ～ ' || hi || '%</p><p>限度額 ' || amt || '万円&nbsp;以内</p><p>優遇後 年' || lo || '&#37;&#65374;年' || hi || '&#x25;&#x3000;&amp;lt;&times;</p>' || "
             "'<h3>お問い合わせ</h3><p>TEL 017-123-' || CAST(1000 + pno AS STRING) || '</p>"
             "<noscript>JavaScript 8.88%</noscript><a href=\"/kojin/loan/' || slug || '/\">' || kind || '</a></body></html>' END",
     },
@@ -148,7 +148,7 @@ _ANSWER = (
     "'{\"product_analysis\":{\"executive_summary\":\"' || product_name || 'の要約\",\"competitive_advantages\":[\"' || kind || '\",\"低金利\"]},"
     "\"customer_guide\":{' || CASE WHEN gform = 2 THEN '' ELSE '\"simple_explanation\":\"' || kind || 'の説明' || amt || '\",' END || "
     "'\"key_benefits\":[\"' || yrs || '年\"],\"application_difficulty\":\"普通\"},"
-    "\"market_positioning\":{\"target_market_segment\":\"スタンダード\"},\"risk_assessment\":{\"flexibility_score\":\"' || CAST(1 + pno % 10 AS STRING) || '\"},"
+    "\"market_positioning\":{\"target_market_segment\":\"スタンダード\"},\"risk_assessment\":{\"flexibility_score\":\"' || CAST(1 + pno % 10 AS STRING) || '\",\"borrower_risks\":[\"' || hi || '%\"]},"
     "\"data_confidence\":{\"analysis_reliability\":\"' || CAST(pno % 10 AS STRING) || '\"}}'"
 )
 _SUMMARY = (

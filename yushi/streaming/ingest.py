@@ -10,6 +10,7 @@ never counts a page twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,26 @@ from yushi.operators import layers
 from yushi.plans import layers as plans
 
 
-def _previous_latest(spark: SparkSession, out: str, epoch: int):
-    """Newest capture time of the earlier parts, NULL for the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if epoch == 0 or not fs.exists(hadoop):
-        return F.lit(None).cast("timestamp")
-    parts = spark.read.parquet(out).where(F.col("epoch") < epoch)
-    return parts.agg(F.max("last.scraped_at")).scalar()
+COMPACTED = -1  # epoch number that no running query can have
+
+
+def _mark(out: str, epoch: int) -> str:
+    """One row with the newest capture time up to an epoch; readers of the parts skip names that begin with _."""
+    return f"{out}/_newest/epoch={epoch}"
+
+
+def _newest_before(spark: SparkSession, out: str, epoch: int):
+    """Newest capture time of the earlier parts, NULL for the first batch: the row the epoch before has left."""
+    try:
+        return spark.read.schema("newest timestamp").parquet(_mark(out, epoch - 1)).first().newest
+    except AnalysisException:
+        if epoch > 0:
+            raise
+        return None
+
+
+def _write_newest(spark: SparkSession, out: str, epoch: int, newest) -> None:
+    spark.createDataFrame([(newest,)], "newest timestamp").write.mode("overwrite").parquet(_mark(out, epoch))
 
 
 def start(pages: DataFrame, out: str, checkpoint: str, delay: str = "30 days"):
@@ -34,14 +47,18 @@ def start(pages: DataFrame, out: str, checkpoint: str, delay: str = "30 days"):
     spark = pages.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        line = _previous_latest(spark, out, epoch) - F.expr(f"INTERVAL {delay}")
+        newest = _newest_before(spark, out, epoch)
+        line = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         late = F.coalesce((F.col("scraped_at") < line).cast("long"), F.lit(0))
         marked = batch.withColumn("late", late)
         part = marked.groupBy("content_hash").agg(
             F.min(F.struct("scraped_at", "raw_id", *[c for c in plans.IDENTITY if c not in ("scraped_at", "raw_id")])).alias("first"),
             F.max(F.struct("scraped_at", "raw_id", "structured")).alias("last"),
             F.count("*").alias("copies"), F.sum("late").alias("late"))
-        part.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        path = f"{out}/epoch={epoch}"
+        part.write.mode("overwrite").parquet(path)
+        here = spark.read.parquet(path).agg(F.max("last.scraped_at").alias("m")).first().m
+        _write_newest(spark, out, epoch, max((t for t in (newest, here) if t is not None), default=None))
 
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -57,6 +74,10 @@ def late_pages(spark: SparkSession, out: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, out: str, target: str) -> None:
-    """Write the merged parts as epoch 0 of a new folder."""
-    merged = read(spark, out).withColumn("late", F.lit(0).cast("long"))
-    merged.write.mode("overwrite").parquet(f"{target}/epoch=0")
+    """Write the merged parts to a new folder, which a new query can go on with.
+
+    They stand under an epoch number no query has, late pages stay counted."""
+    parts = spark.read.parquet(out)
+    late = parts.groupBy("content_hash").agg(F.sum("late").alias("late"))
+    read(spark, out).join(late, "content_hash").write.mode("overwrite").parquet(f"{target}/epoch={COMPACTED}")
+    _write_newest(spark, target, COMPACTED, parts.agg(F.max("last.scraped_at").alias("m")).first().m)
