@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from yushi.llm.tables import arrow_map, parts, utf8
+from yushi.llm.tables import arrow_map, parts, ready, utf8
 from yushi.session import work_dir
 
 SHARD_TOKENS = 1 << 20
@@ -110,7 +110,7 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._encode(text).tobytes()
-        if self.SIMPLE.fullmatch(text):
+        if "\0" not in text and self.SIMPLE.fullmatch(text):
             return self.runs.ids(self.RUNS.findall(text.lower()))
         return self.words.ids(_ASCII_SPACE.split(text))
 
@@ -397,4 +397,5 @@ def encode_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the token shards of what is left, reported by document."""
+    ready(spark)
     return encode_report(docs)
