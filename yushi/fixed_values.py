@@ -22,7 +22,7 @@ INSTITUTIONS = [
 BOTH_TYPES = ["固定金利", "変動金利"]
 AGE_TERM = ["min_age", "max_age", "min_loan_term", "max_loan_term"]
 TERM_REPAY = ["min_loan_term", "max_loan_term", "repayment_method"]
-AGE_TERM_REPAY = AGE_TERM + ["repayment_method"]
+AGE_TERM_REPAY = ["min_age", "max_age", "min_loan_term", "max_loan_term", "repayment_method"]
 TERM_AMOUNT_RATE = [
     "min_loan_term", "max_loan_term", "min_loan_amount",
     "max_loan_amount", "min_interest_rate", "max_interest_rate",
@@ -78,7 +78,7 @@ FILE_PROFILES = [
     ("newkyoiku_s.pdf", "新教育ローン", "education", "education", BOTH_TYPES,
      ["無担保", "学費", "入学金", "授業料", "最長"], TERM_AMOUNT_RATE),
     ("kyoikucl_s.pdf", "教育カードローン", "education", "education", BOTH_TYPES,
-     ["極度額", "カード", "学費", "随時借入"], TERM_AMOUNT_RATE[2:]),
+     ["極度額", "カード", "学費", "随時借入"], ["min_loan_amount", "max_loan_amount", "min_interest_rate", "max_interest_rate"]),
     ("free_s.pdf", "フリーローン", "freeloan", "multi-purpose", ["固定金利"],
      ["使途自由", "おまとめ", "借換"], TERM_AMOUNT_RATE),
 ]

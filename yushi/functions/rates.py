@@ -142,7 +142,10 @@ def overview(html: Column) -> Column:
     """Rate range and limit named within 20 elements of an overview heading."""
     section = F.regexp_extract(
         html, r"(?is)<h[234]\b[^>]*>[^<]*(?:" + V.OVERVIEW_HEADING + r")[^<]*</h[234]\s*>(.*?)(?:<h[234]\b|$)", 1)
-    elements = F.slice(F.regexp_extract_all(section, F.lit(r"(?s)<[a-zA-Z][^>]*>([^<]*)"), F.lit(1)), 1, 20)
+    # an element's text runs to its end tag, through the elements inside; without an end tag to the next tag
+    each = r"(?is)<([a-z][a-z0-9]*)\b[^>]*>(?=(.*?)</\1\s*>|([^<]*))"
+    whole, direct = (F.slice(F.regexp_extract_all(section, F.lit(each), F.lit(k)), 1, 20) for k in (2, 3))
+    elements = F.zip_with(whole, direct, lambda w, d: F.when(w != "", F.regexp_replace(w, r"</?[a-zA-Z!?][^>]*>", "")).otherwise(d))
 
     def facts(e):
         rated = F.filter(e, lambda x: has_any(x, ["金利", "利率"]) & x.rlike(V.CELL_RANGE))

@@ -112,19 +112,35 @@ def catalogue_products(pages: DataFrame) -> DataFrame:
 
 
 def brochure_products(pages: DataFrame) -> DataFrame:
-    """Fields of brochure texts with the file's profile."""
+    """Brochure texts with the file's profile, merged with the page they belong to.
+
+    The profile's fields come from the sheet first, the others from the page first; either fills
+    what the other lacks. The sanity step and the profile's key words follow."""
     df = pages.where(c("brochure_text").isNotNull()).join(
         F.broadcast(seeds.file_profiles(pages.sparkSession)), c("brochure_file") == c("file_name"), "left")
-    df = identified(df.withColumn("sheet", T.normalize_brochure(c("brochure_text"))), "sheet")
-    df = shaping.spread(
-        df, rate=rates.from_brochure_typed(c("sheet")), amount=amounts.from_lines(c("sheet")),
-        term=terms.collect(c("sheet"), 6), age=terms.ages_loose(c("sheet")))
-    return df.select(
-        *IDS, T.name_from_brochure(c("sheet"), c("profile_name")).alias("product_name"),
-        c("profile_type").alias("loan_type"), c("profile_category").alias("category"),
-        "min_interest_rate", "max_interest_rate",
-        labels.rate_type_from_hints(c("sheet"), c("hints")).alias("interest_type"),
-        "min_loan_amount", "max_loan_amount", "min_loan_term_months", "max_loan_term_months", "min_age", "max_age")
+    df = T.with_page_text(identified(df.withColumn("sheet", T.normalize_brochure(c("brochure_text"))), "sheet"), "html_content", "page")
+    df = df.withColumns({
+        "s_rate": once(rates.from_brochure_typed(c("sheet"))), "s_amount": once(amounts.from_lines(c("sheet"))),
+        "s_term": once(terms.collect(c("sheet"), 6)), "s_age": once(terms.ages_loose(c("sheet"))),
+        "h_amount": once(amounts.collect(c("page"))),
+        "h_term": once(terms.collect(c("page"), 6)), "h_age": once(terms.ages_loose(c("page"))),
+        "h_rate": once(rates.from_context(c("page"))),
+    })
+    pairs = {
+        "min_interest_rate": ("rate", "lo"), "max_interest_rate": ("rate", "hi"), "min_loan_amount": ("amount", "lo"), "max_loan_amount": ("amount", "hi"),
+        "min_loan_term": ("term", "lo"), "max_loan_term": ("term", "hi"), "min_age": ("age", "lo"), "max_age": ("age", "hi"),
+    }
+    merged = shaping.merge_fields(
+        {k: (F.coalesce(c(f"h_{n}.{side}"), c(f"s_{n}.{side}")), c(f"s_{n}.{side}")) for k, (n, side) in pairs.items()},
+        F.coalesce("brochure_keys", F.array().cast("array<string>")))
+    df = df.withColumns({
+        **merged,
+        "product_name": T.name_from_brochure(c("sheet"), c("profile_name")), "loan_type": c("profile_type"), "category": c("profile_category"),
+        "interest_type": labels.rate_type_from_hints(c("sheet"), c("hints")), "repayment_method": labels.repayment_phrase(c("page")),
+        "special_features": labels.features_by_profile(c("sheet"), c("keywords")),
+    })
+    df = df.withColumnsRenamed({"min_loan_term": "min_loan_term_months", "max_loan_term": "max_loan_term_months"})
+    return shaping.sanity(df, c("loan_type")).select(*IDS, *PRODUCT_COLUMNS)
 
 
 PRODUCT_COLUMNS = [
