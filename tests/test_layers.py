@@ -289,3 +289,18 @@ def test_hot_group(spark):
     assert hot.copies == 1000 and hot.raw_id == 0
     newest = metrics.latest(pages, "institution_id", "scraped_at", "raw_id", ["source_url"]).where("institution_id = 1").first()
     assert newest.raw_id % 700 == max(i % 700 for i in range(3000) if i % 3 == 0 or i == 1)
+
+
+def test_search_reads_the_stored_layer_with_pushed_filters(spark):
+    plan = catalog.search_basic(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "interest_rate_min" in plan.split("PushedFilters: [")[1].split("]")[0] and "loan_type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+
+
+def test_text_search_is_a_selection(spark):
+    assert 0 < catalog.search_text(spark, SF).count() < catalog.products(spark, SF).count()
+
+
+def test_newest_row_is_picked_before_the_shuffle(spark):
+    plan = catalog.latest_per_institution(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan

@@ -58,12 +58,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def latest(df: DataFrame, group: str, at: str, key: str, columns) -> DataFrame:
-    """Newest row per group; a plain aggregate, so a hot group costs nothing extra."""
+    """Newest row per group, the smallest key in a tie.
+
+    Tasks keep one row per group before the shuffle, so a hot group costs one row per task."""
     rest = [c for c in columns if c not in (group, at, key)]
-    # the smallest key wins a tie, hence the negative
-    picked = df.groupBy(group).agg(F.max(F.struct(F.col(at), (-F.col(key)).alias("_neg"), *rest)).alias("r"))
-    return picked.select(group, F.col(f"r.{at}").alias(at), (-F.col("r._neg")).alias(key),
-                         *[F.col(f"r.{c}").alias(c) for c in rest])
+    w = Window.partitionBy(group).orderBy(F.col(at).desc(), F.col(key))
+    return df.select(group, at, key, *rest, F.row_number().over(w).alias("_place")).where("_place = 1").drop("_place")
 
 
 def newest_per_group(df: DataFrame, group: str, at: str, key: str, k: int) -> DataFrame:

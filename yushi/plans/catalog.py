@@ -113,6 +113,19 @@ def products(spark, d) -> DataFrame:
     return layers.upsert(_empty_like(rows), rows)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_products(spark, d) -> DataFrame:
+    """The product layer with ids as one job of this application has written it; searches read it with pushed filters."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STORED:
+        path = work_dir(spark, "products")
+        plans.store_products(products(spark, d), None, path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
+
+
 def integrated_products(spark, d) -> DataFrame:
     """Product layer left by the earlier run."""
     early = corpus.processed_rows(spark, d).where(corpus.INTEGRATED_WHERE).select("processed_id")
@@ -196,24 +209,35 @@ def export_json(spark, d):
 # ---------------------------------------------------------------------- search
 @query
 def search_basic(spark, d):
-    hits = search.search(products(spark, d), search.LoanQuery(max_rate=4.0))
+    hits = search.search(stored_products(spark, d), search.LoanQuery(max_rate=4.0))
     return hits.select(*product_out())
 
 
 @query
 def get_by_id(spark, d):
+    return search.get_by_id(stored_products(spark, d), "product_id", 42).select("product_id", *product_out())
+
+
+@query
+def get_page(spark, d):
     return search.get_by_id(corpus.raw_pages(spark, d), "raw_id", 42).select("raw_id", "institution_id", "product_name", "source_url")
 
 
+@query
+def store_products(spark, d):
+    """The stored layer as it is read back."""
+    return stored_products(spark, d).select("product_id", "processed_data_id", *product_out(), *product_details())
+
+
 @query
 def search_facets(spark, d):
     asked = search.LoanQuery(loan_type="フリーローン", rate=(2.0, 6.0), amount=(1_000_000, 3_000_000), term=(5, 10))
-    return search.search(products(spark, d), asked).select(*product_out())
+    return search.search(stored_products(spark, d), asked).select(*product_out())
 
 
 @query
 def search_text(spark, d):
-    hits = search.text_search(products(spark, d), ["product_name", "summary"], "教育ローンの説明", order=layers.PRODUCT_KEY, best=50)
+    hits = search.text_search(stored_products(spark, d), ["product_name", "summary"], "教育ローンの説明", order=layers.PRODUCT_KEY, best=50)
     return hits.select("institution_id", "product_name", "loan_type", "score")
 
 
@@ -228,23 +252,25 @@ def search_institutions(spark, d):
 @query
 def search_after(spark, d):
     """The page behind a product with 100万円 at most and 50 as the last id seen, by amount."""
-    return search.after(products(spark, d), "loan_amount_max", "processed_data_id", 1_000_000, 50, 20).select("processed_data_id", *product_out())
+    return search.after(stored_products(spark, d), "loan_amount_max", "processed_data_id", 1_000_000, 50, 20).select("processed_data_id", *product_out())
 
 
 @query
 def search_by_update(spark, d):
-    hits = search.search(products(spark, d), search.LoanQuery(loan_type=None))
+    hits = search.search(stored_products(spark, d), search.LoanQuery(loan_type=None))
     return search.page(hits, [c("data_updated_at").desc(), c("processed_data_id")], 20, 3).select("processed_data_id", *product_out())
 
 
 @query
 def active_products(spark, d):
-    return search.active(products(spark, d)).select(*product_out())
+    """Products of institutions with an odd id have been withdrawn here, so that the filter has something to do."""
+    known = stored_products(spark, d).withColumn("is_active", c("institution_id") % 2 == 0)
+    return search.active(known).select(*product_out())
 
 
 @query
 def search_paged(spark, d):
-    hits = search.search(products(spark, d), search.LoanQuery())
+    hits = search.search(stored_products(spark, d), search.LoanQuery())
     order = [c("interest_rate_min"), c("institution_id"), c("product_name")]
     named = hits.join(corpus.institutions(spark, d).select("institution_id", "institution_name"), "institution_id")
     return search.page(named, order, 20, 2).select(*product_out(), "institution_name")

@@ -147,6 +147,13 @@ def integrate(processed: DataFrame, structured: DataFrame, institutions: DataFra
     return {"products": stored, "history": changes, "rejects": rejects}
 
 
+def store_products(products: DataFrame, known: DataFrame | None, path: str) -> None:
+    """Write the product layer with ids, by loan type; `known` gives the ids of products stored before."""
+    if known is None:
+        known = products.sparkSession.createDataFrame([], "institution_id long, product_name string, loan_type string, product_id long")
+    layers.write_layer(layers.with_ids(products, known), path, ["loan_type"])
+
+
 def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable], run_id: str, log_path: str | None = None) -> dict[str, DataFrame]:
     """Extract every source; rows that yield no product become rejects.
 

@@ -14,6 +14,7 @@ def build(app: str = "yushi", cpus: int | str = "*") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.yushi.source.tasks", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

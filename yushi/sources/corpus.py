@@ -238,6 +238,7 @@ INSTITUTIONS = ("nation", [
 
 
 KEYS = {"orders": "o_orderkey", "part": "p_partkey"}
+SPREAD = "spark.yushi.source.tasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -245,15 +246,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Source rows on at least as many tasks as there are cores.
+    """Source rows as they are read, or spread over so many tasks as the session asks for.
 
-    One short row becomes a whole page, so a small file read by one task would
-    keep the other cores idle.  Tables with enough splits are read as they are."""
+    One short row becomes a whole page; a local session with one small file spreads
+    it over its cores, a cluster leaves the setting out."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, KEYS[name])
-    return df
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks), KEYS[name]) if tasks and name in KEYS else df
 
 
 def apply_stages(df: DataFrame, stages) -> DataFrame:
