@@ -1,10 +1,11 @@
 """Near-duplicate join on word shingles by chosen paths.
 
-Equal word sequences are one text. In each run a text with n shingles chooses those whose hash is below `rate / n`, so two texts with
-Jaccard similarity s choose a common shingle with probability 1 - exp(-s * rate); the number of runs follows from the target recall.
-A chosen shingle is a path of length one and names a bucket. A bucket of more than `LIMIT` texts is split: its texts extend their paths by shingles
-of a fixed sample, rarest in the bucket first, as many as any similar pair needs to meet again. Splitting ends where buckets are small, where
-a bucket does not shrink, or where its texts are alike on average; such large buckets are compared in pairs of blocks.
+Equal word sequences are one text. In each run a text with n shingles chooses those whose hash is below `RATE / n`; the same shingle is chosen by
+texts of like size, so similar texts choose mostly the same. A chosen shingle is a path of length one and names a bucket. Of its buckets a text
+stays in the rarest ones only, so many that two texts with `SHARED` of their choices in common meet; the number of runs follows from the target
+recall of that. A bucket of more than `LIMIT` texts is split: its texts extend their paths by shingles of a sample, again the rarest in
+the bucket and as many as that. Splitting ends where buckets are small, where one does not shrink, or where its texts are alike on
+average; such large buckets are compared in pairs of blocks.
 
 In a bucket all pairs are compared exactly, by counting common shingles, and none leaves the task: what leaves are, for each text,
 its links and one edge to the root of its local group. A pair that meets in several buckets counts in the smallest
@@ -30,18 +31,31 @@ from pyspark.sql import functions as F
 
 from yushi.llm.tables import arrow_map, parts, ready, signed, stored, utf8
 
-WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
+WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Expected number of shingles a text chooses in one run.
-RATE = 1.44
-LIMIT, BLOCK, DEPTH = 100, 1024, 4
-#: Expected size of the sample that paths are extended from; a similar pair shares at least half of it.
-SAMPLE = 40
+RATE = 2.0
+#: Similar texts share at least this part of what each chooses, and of its sample, but for one in 1 / (1 - RECALL) pairs.
+SHARED = 0.4
+LIMIT, BLOCK, DEPTH = 200, 1024, 4
+#: Expected size of the sample that paths are extended from.
+SAMPLE = 24
 ALIKE, SHRUNK = 0.5, 0.7
 _COLUMNS = 1 << 13
 
 
+def _poisson(mean: float) -> np.ndarray:
+    return np.array([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(int(mean + 12 * math.sqrt(mean) + 30))])
+
+
+def missed(chosen: float, threshold: float) -> float:
+    """Share of pairs right at the threshold that have less than `SHARED` of `chosen` expected shingles in common."""
+    common, apart = _poisson(chosen * threshold), _poisson(chosen * (1 - threshold))
+    return sum(p * common[:max(1, math.ceil(SHARED * k / (1 - SHARED)))].sum() for k, p in enumerate(apart))
+
+
 def runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 / (1 - recall)) / (threshold * RATE))
+    """Runs until the target recall."""
+    return next(r for r in range(1, 1000) if missed(r * RATE, threshold) <= 1 - recall)
 
 
 # -- shingles -------------------------------------------------------------------------------------------------------
@@ -108,22 +122,35 @@ def sketches(docs: DataFrame, n_runs: int, width: int = WIDTH) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """b, t, g: rows of buckets with two texts or more."""
+    """Rows of buckets with two texts or more, with the number of texts as g."""
     return rows.join(rows.groupBy("b").agg(F.count("*").alias("g")).filter("g >= 2"), "b")
 
 
+def _enough(n: str):
+    """Of n tokens, the rarest that similar texts can't all miss each other in."""
+    return F.col(n) - F.ceil(SHARED * F.col(n)) + 1
+
+
+def rarest(rows: DataFrame) -> DataFrame:
+    """Of each text's buckets (b, t, m of them, g texts each) the smaller ones, as many as similar texts need to meet.
+
+    Buckets with one text are no rows here, but come first in the order."""
+    w = W.partitionBy("t")
+    place = F.col("m") - F.count("*").over(w) + F.row_number().over(w.orderBy("g", "b"))
+    return rows.withColumn("place", place).filter(F.col("place") <= _enough("m"))
+
+
 def _split(big: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of large buckets (b, t, g): those to compare as they are, and the rows of their children (b, t, parent's g)."""
-    tokens = big.join(sample, "t").select("b", "t", "g", F.size("sample").alias("k"), F.explode("sample").alias("token"))
-    counts = tokens.groupBy("b", "token").agg(F.count("*").alias("c"), F.first("g").alias("g"))
+    tokens = lambda rows: rows.join(sample, "t").select("b", "t", "g", F.size("sample").alias("k"), F.explode("sample").alias("token"))
+    counts = stored(tokens(big).groupBy("b", "token").agg(F.count("*").alias("c"), F.first("g").alias("g")), "token-counts")
     alike = counts.groupBy("b").agg((F.sum(F.col("c") * F.col("c")) / (F.first("g") * F.sum("c"))).alias("share"))
-    judged = big.join(alike, "b")
+    judged = stored(big.join(alike, "b"), "judged")
     dense = judged.filter(F.col("share") >= ALIKE).select("b", "t", "g")
-    rest = alike.filter(F.col("share") < ALIKE).select("b")
     rank = F.row_number().over(W.partitionBy("b", "t").orderBy("c", "token"))
     child = (
-        tokens.join(rest, "b").join(counts.select("b", "token", "c"), ["b", "token"])
-        .withColumn("place", rank).filter("c >= 2 AND place <= floor(k / 2) + 1")
+        tokens(judged.filter(F.col("share") < ALIKE)).join(counts.select("b", "token", "c"), ["b", "token"])
+        .withColumn("place", rank).filter(F.col("place") <= _enough("k")).filter("c >= 2")
         .select(F.xxhash64("b", "token").alias("b"), "t", F.col("g").alias("parent"))
     )
     return dense, child
@@ -131,19 +158,21 @@ def _split(big: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def leaves(texts: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Rows (b, t, g) of the small buckets and of the large ones to compare in blocks."""
-    rows = stored(_sized(texts.select(F.explode("buckets").alias("b"), "t")), "buckets")
+    every = texts.select(F.explode("buckets").alias("b"), "t", F.size("buckets").alias("m"))
+    rows = stored(_sized(rarest(_sized(every)).select("b", "t")), "buckets")
     small, dense = [rows.filter(F.col("g") <= limit)], []
     sample = texts.select("t", "sample")
+    rows = rows.filter(F.col("g") > limit)
     for depth in range(DEPTH):
-        big = rows.filter(F.col("g") > limit)
-        if big.isEmpty():
+        if rows.isEmpty():
             break
-        alike, child = _split(big, sample)
-        dense.append(stored(alike, "alike"))
+        alike, child = _split(rows, sample)
+        dense.append(alike)
         sizes = child.groupBy("b").agg(F.count("*").alias("g"), F.first("parent").alias("parent")).filter("g >= 2")
         rows = stored(child.select("b", "t").join(sizes, "b"), "children")
         small.append(rows.filter(F.col("g") <= limit).select("b", "t", "g"))
-        stuck = (F.col("g") > limit) & ((F.col("g") > SHRUNK * F.col("parent")) if depth < DEPTH - 1 else F.lit(True))
+        stuck = (F.col("g") > SHRUNK * F.col("parent")) if depth < DEPTH - 1 else F.lit(True)
+        rows = rows.filter(F.col("g") > limit)
         dense.append(rows.filter(stuck).select("b", "t", "g"))
         rows = rows.filter(~stuck).select("b", "t", "g")
     union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
