@@ -55,9 +55,17 @@ def sanity(df: DataFrame, loan_type: Column) -> DataFrame:
         "max_loan_term_months": F.when(swap, c("min_loan_term_months")).otherwise(c("max_loan_term_months")),
         "min_age": F.coalesce("min_age", age[0]),
         "max_age": F.coalesce("max_age", age[1]),
+        "min_loan_amount_imputed": F.coalesce(known & no_floor, F.lit(False)),
+        "min_age_imputed": c("min_age").isNull(),
+        "max_age_imputed": c("max_age").isNull(),
     })
 
 
+def imputed_fields(names) -> Column:
+    """Names of the columns that a default has filled, in order."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{n}_imputed"), n) for n in names])), ",")
+
+
 def swap_inverted(df: DataFrame) -> DataFrame:
     """Exchange inverted rate, amount and term pairs."""
     cols = {}

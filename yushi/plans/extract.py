@@ -67,7 +67,13 @@ def bank_products(pages: DataFrame) -> DataFrame:
         "special_features": labels.with_variant_tag(once(labels.features_by_profile(body, c("keywords"))), c("variant")),
     })
     df = df.withColumnsRenamed({"min_loan_term": "min_loan_term_months", "max_loan_term": "max_loan_term_months"})
-    return shaping.sanity(df, c("loan_type")).select(*IDS, *PRODUCT_COLUMNS)
+    return _checked(df)
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """The sanity step, with the names of what it filled."""
+    out = shaping.sanity(df, c("loan_type"))
+    return out.withColumn("imputed_fields", shaping.imputed_fields(["min_loan_amount", "min_age", "max_age"])).select(*IDS, *PRODUCT_COLUMNS)
 
 
 def variant_rate(rate_text, variant):
@@ -89,7 +95,8 @@ def simple_products(pages: DataFrame) -> DataFrame:
     return df.select(
         *IDS, T.name_from_heading(c("html_content")).alias("product_name"), "category",
         "min_interest_rate", "max_interest_rate", labels.rate_type_simple(c("page")).alias("interest_type"),
-        "min_loan_amount", "max_loan_amount", "min_loan_term_months", "max_loan_term_months")
+        "min_loan_amount", "max_loan_amount", "min_loan_term_months", "max_loan_term_months",
+        shaping.imputed_fields(shaping.category_defaults(c("category"))).alias("imputed_fields"))
 
 
 def catalogue_products(pages: DataFrame) -> DataFrame:
@@ -108,7 +115,8 @@ def catalogue_products(pages: DataFrame) -> DataFrame:
     return df.select(
         *IDS, "product_name", "category", "min_interest_rate", "max_interest_rate",
         F.lit("変動金利").alias("interest_type"), "min_loan_amount", "max_loan_amount", "min_age", "max_age",
-        labels.features_listed(c("page")).alias("special_features"))
+        labels.features_listed(c("page")).alias("special_features"),
+        shaping.imputed_fields(n for n in shaping.catalogue_defaults(c("category")) if not n.endswith("requirements")).alias("imputed_fields"))
 
 
 def brochure_products(pages: DataFrame) -> DataFrame:
@@ -140,13 +148,13 @@ def brochure_products(pages: DataFrame) -> DataFrame:
         "special_features": labels.features_by_profile(c("sheet"), c("keywords")),
     })
     df = df.withColumnsRenamed({"min_loan_term": "min_loan_term_months", "max_loan_term": "max_loan_term_months"})
-    return shaping.sanity(df, c("loan_type")).select(*IDS, *PRODUCT_COLUMNS)
+    return _checked(df)
 
 
 PRODUCT_COLUMNS = [
     "product_name", "loan_type", "category", "min_interest_rate", "max_interest_rate", "interest_type",
     "min_loan_amount", "max_loan_amount", "min_loan_term_months", "max_loan_term_months",
-    "min_age", "max_age", "repayment_method", "special_features",
+    "min_age", "max_age", "repayment_method", "special_features", "imputed_fields",
 ]
 RULES = {"bank": bank_products, "simple": simple_products, "catalogue": catalogue_products, "brochure": brochure_products}
 
