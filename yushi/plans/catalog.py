@@ -296,7 +296,8 @@ def backlog(spark, d):
 
 @query
 def integrate_products(spark, d):
-    return all_product_rows(spark, d).select("processed_data_id", *product_out(), *product_details())
+    return all_product_rows(spark, d).select(
+        "processed_data_id", *product_out(), *product_details(), "product_code", "loan_amount_unit", "loan_term_unit", "ai_analysis")
 
 
 @query

@@ -102,6 +102,14 @@ def product_rows(processed: DataFrame, structured: DataFrame, rate_type: str = "
         F.coalesce(f"{s}.required_documents", F.lit("")).alias("required_documents"),
         F.coalesce(f"{s}.guarantor_info", F.lit("")).alias("guarantor_info"),
         F.coalesce(f"{s}.collateral_info", F.lit("")).alias("collateral_info"))
+    empty = F.array().cast("array<string>")
+    analysis = F.to_json(F.struct(
+        F.coalesce("a.product_analysis.executive_summary", F.lit("")).alias("executive_summary"),
+        F.coalesce("a.product_analysis.potential_concerns", empty).alias("potential_concerns"),
+        F.coalesce("a.product_analysis.best_fit_customers", empty).alias("best_fit_customers"),
+        F.coalesce("a.financial_summary.cost_simulation", F.create_map().cast("map<string,string>")).alias("cost_simulation"),
+        F.coalesce("a.actionable_insights.negotiation_points", empty).alias("negotiation_points"),
+        F.coalesce("a.actionable_insights.alternative_considerations", empty).alias("alternative_considerations")))
     return df.select(
         c("processed_id").alias("processed_data_id"), "institution_id",
         c(f"{s}.product_name").alias("product_name"), c(f"{s}.loan_category").alias("loan_type"),
@@ -115,6 +123,8 @@ def product_rows(processed: DataFrame, structured: DataFrame, rate_type: str = "
         shaping.months_to_years(c(f"{s}.max_loan_period_months")).alias("loan_term_max"),
         F.array(F.coalesce(f"{s}.repayment_method", F.lit(""))).alias("repayment_methods"),
         requirements.alias("application_requirements"), features.alias("features"),
+        F.lit(None).cast("string").alias("product_code"), F.lit("円").alias("loan_amount_unit"), F.lit("年").alias("loan_term_unit"),
+        analysis.alias("ai_analysis"),
         F.lit(True).alias("is_active"), c("processed_at").alias("data_updated_at"))
 
 
