@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from yushi.functions import shaping
+from yushi.functions import text as T
 from yushi.plans import extract
 
 CAR = ("<html><head><title>カーライフプラン プライム</title></head><body><h1>カーライフプラン プライム</h1>"
@@ -69,3 +70,36 @@ def test_swap_and_sanity(spark):
     a, b = shaping.sanity(df, F.col("t")).collect()
     assert a.min_interest_rate is None and (a.min_age, a.max_age) == (20, 80) and a.min_loan_amount == 100
     assert b.max_interest_rate is None and b.min_loan_amount == 100000 and (b.min_age, b.max_age) == (30, 75)
+
+
+def test_references_are_those_of_html(run):
+    """All names, decimal and hexadecimal references, each decoded once."""
+    import html
+
+    texts = ["a&amp;lt;b", "&copy;&middot;&#65374;&#x3000;&#37;x", "&#128;&#0;&#xD800;&bogus;&copy", "& & &;", "&NotEqualTilde; &AMP; &#x1F600;", "", None,
+             *[f"&{n}" for n in list(html.entities.html5)[::37]]]
+    assert run(T.unescape, texts) == [None if t is None else html.unescape(t) for t in texts]
+
+
+def test_no_reference_is_left_on_the_pages(spark):
+    import re
+
+    from conftest import SF
+    from yushi.plans import catalog
+
+    named = re.compile("&(?:copy|middot|amp|nbsp|quot|lt|gt);")
+    assert not any(named.search(r.raw.replace("&amp;", "")) for r in catalog.page_text(spark, SF).collect())
+
+
+def test_rate_behind_references(run):
+    from yushi.functions import rates
+
+    got = run(lambda t: rates.simple(T.fold(T.raw_text(t))), ["<p>年1.25&#37;&#65374;年3.50&#37;</p>"])
+    assert got[0] is not None
+
+
+def test_overview_reads_nested_elements(run):
+    from yushi.functions import rates
+
+    html = "<h2>商品概要</h2><p>金利 <b>1.5%</b> ～ <b>3.0%</b></p><ul><li>限度額 <em>500万円</em></li></ul><h2>x</h2>"
+    assert run(rates.overview, [html])[0] == ("1.5%-3.0%", "500万円")
