@@ -461,6 +461,25 @@ def dedup_pages(spark, d):
     return _dedup_out(plans.ingest_raw(raw_layer_rows(spark, d)))
 
 
+def _ingested(spark, d) -> dict:
+    """Pages that name their institution by a code; every fifth institution is not known yet."""
+    four = F.lpad(c("institution_id").cast("string"), 4, "0")
+    code = F.when(c("institution_id") % 5 == 0, F.concat(F.lit("N"), four)).otherwise(four)
+    rows = raw_layer_rows(spark, d).withColumns({"institution_code": code, "institution_name": F.lit("")}).drop("institution_id")
+    dim = corpus.institutions(spark, d).select("institution_id", "institution_name", F.array("institution_code").alias("codes"))
+    return plans.ingest_pages(rows, dim)
+
+
+@query
+def ingest_job(spark, d):
+    return _dedup_out(_ingested(spark, d)["raw"])
+
+
+@query
+def ingest_job_institutions(spark, d):
+    return _ingested(spark, d)["new_institutions"].select("institution_id", "institution_code")
+
+
 @query
 def dedup_by_source(spark, d):
     """Pages of different institutions or channels stay apart."""

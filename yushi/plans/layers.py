@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
 from yushi.functions import answers, labels, shaping
-from yushi.operators import layers, metrics, queues
+from yushi.operators import identity, layers, metrics, queues
 from yushi.plans.extract import identified
 from yushi.session import written
 
@@ -43,6 +43,16 @@ def ingest_raw(rows: DataFrame, layer: DataFrame | None = None, key=("content_ha
     return new if layer is None else layers.merge_versions(layer, new, key=key)
 
 
+def ingest_pages(rows: DataFrame, institutions: DataFrame, layer: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole job: institutions of the rows found or numbered anew, then the raw layer.
+
+    `rows` are raw rows with institution_code and institution_name instead of an id."""
+    known = identity.resolve_institutions(rows, institutions)
+    new = known.where("is_new").groupBy("institution_id").agg(
+        F.min("institution_code").alias("institution_code"), F.min("institution_name").alias("institution_name"))
+    return {"raw": ingest_raw(known.drop("institution_code", "institution_name", "is_new"), layer), "new_institutions": new}
+
+
 # ------------------------------------------------------------- processed layer
 def process_batch(raw: DataFrame, institutions: DataFrame, processed: DataFrame,
                   summarise: Callable, model: str, limit: int | None = 10) -> DataFrame:
