@@ -125,7 +125,7 @@ def test_filters_follow_changes(spark):
 
 
 def test_licenses(spark):
-    text = "some code\n// Licensed under the Apache License, Version 2.0.\nmore code of this file"
+    text = "some code\n// Licensed under the Apache License, Version 2.0.\n" + "more code of this file\n" * 9
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software"), (2, "a/b/c/x.py", "print()"),
         (3, "a/b/c/y.py", text), (4, "a/b/NOTES", "This work is licensed under the GNU General Public License, version 3."), (5, "z/q.py", "nothing here"), (6, None, "Released under the MIT License."),
@@ -156,8 +156,6 @@ URLS = [
 
 def test_urls(spark):
     df = spark.createDataFrame([(k % 15, u, "x", "y") for k, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
-    got = {r.url: r for r in urls.judged(df).join(df.select("page_id", "url"), "page_id").collect()}
-    del got
     rows = urls.judged(df).collect()
     assert len(rows) == len(URLS)
     index = urls.Index(urls.RULES, {})
