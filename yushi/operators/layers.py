@@ -140,3 +140,8 @@ def write_layer(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """One JSON object per row and line, absent fields left out."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)

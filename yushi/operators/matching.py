@@ -53,6 +53,19 @@ def with_profiles(df: DataFrame, url: str) -> DataFrame:
             .join(F.broadcast(seed), "profile_path", "left"))
 
 
+def with_exact_profiles(df: DataFrame, path: str) -> DataFrame:
+    """Add the profile of exactly this path (seed table of five rows)."""
+    seed = seeds.exact_profiles(df.sparkSession).select(
+        F.col("profile_path").alias(path), F.col("profile_type").alias("exact_type"), F.col("profile_category").alias("exact_category"))
+    return df.join(F.broadcast(seed), path, "left")
+
+
+def with_file_profiles(df: DataFrame, file: str) -> DataFrame:
+    """Add the profile of the brochure file (seed table of six rows)."""
+    seed = seeds.file_profiles(df.sparkSession).select(F.col("file_name").alias(file), F.col("profile_name").alias("file_product"))
+    return df.join(F.broadcast(seed), file, "left")
+
+
 # ------------------------------------------------------------ web and brochure
 def _cut(names: DataFrame, name: str, part: str, others: DataFrame, other: str) -> DataFrame:
     """Rows of names with each substring that is as long as one of the other names: linear in the name."""

@@ -16,11 +16,12 @@ from yushi.operators import identity, layers, links, matching, metrics, queues,
 from yushi.plans import extract
 from yushi.plans import layers as plans
 from yushi.session import work_dir
-from yushi.sources import corpus
+from yushi.sources import corpus, seeds
 from yushi.streaming import ingest
 
 c = F.col  # called only inside queries, when a session exists
 QUERIES: dict = {}
+SEEN_CODES = ["0117", "1250", "2020", "2260", "9999", "1105"]
 
 
 def query(fn):
@@ -202,8 +203,11 @@ def discover_links(spark, d):
 
 @query
 def export_json(spark, d):
-    out = F.struct("raw_id", "institution_id", "product_name", "source_url")
-    return corpus.raw_pages(spark, d).select("raw_id", F.to_json(out).alias("line"))
+    """Extraction results as JSON lines, written and read back."""
+    path = work_dir(spark, "export")
+    layers.write_lines(raw_layer_rows(spark, d).select("raw_id", "institution_id", "source_url", "structured"), path)
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.raw_id").cast("long").alias("raw_id"), c("value").alias("line"))
 
 
 # ---------------------------------------------------------------------- search
@@ -345,6 +349,25 @@ def url_profile(spark, d):
         labels.product_type(url, c("kind"), c("kind")).alias("product_type"))
 
 
+@query
+def seed_profiles(spark, d):
+    """Pages joined with the profiles of their exact path and of their brochure file, and catalogue products by category."""
+    slugs = F.element_at(F.array(*map(F.lit, ["car", "housing", "education", "other"])), (c("raw_id") % 4 + 1).cast("int"))
+    df = ruled_pages(spark, d).withColumn("exact_path", matching.exact_path(F.concat(F.lit("/loan/"), slugs)))
+    df = matching.with_file_profiles(matching.with_exact_profiles(df, "exact_path"), "brochure_file")
+    named = seeds.catalogue_products(spark).select(c("product_id").alias("catalogue_id"), c("name").alias("file_product"))
+    return df.join(F.broadcast(named), "file_product", "left").select(
+        "raw_id", "exact_path", "exact_type", "exact_category", "file_product", "catalogue_id")
+
+
+@query
+def seed_institutions(spark, d):
+    """Codes seen, resolved through all codes of the seed table."""
+    codes = F.element_at(F.array(*[F.lit(x) for x in SEEN_CODES]), (c("c_custkey") % len(SEEN_CODES) + 1).cast("int"))
+    seen = corpus.table(spark, d, "customer").select("c_custkey", codes.alias("institution_code"))
+    return seen.join(F.broadcast(seeds.code_aliases(spark)), "institution_code", "left").groupBy("institution_id").agg(F.count("*").alias("n"))
+
+
 @query
 def merge_fields(spark, d):
     df = matching.with_profiles(_with_clean(spark, d), "source_url").withColumn("sheet", F.coalesce("brochure_text", F.lit("")))
