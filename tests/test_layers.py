@@ -304,3 +304,9 @@ def test_text_search_is_a_selection(spark):
 def test_newest_row_is_picked_before_the_shuffle(spark):
     plan = catalog.latest_per_institution(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan
+
+
+def test_each_rule_set_reads_its_own_pages(spark):
+    plan = catalog.extract_products(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan parquet")[1:]]
+    assert len(scans) == 4 and all("source_rule" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)

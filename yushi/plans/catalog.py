@@ -956,9 +956,16 @@ def ruled_pages(spark, d):
     return corpus.raw_pages(spark, d).selectExpr("*", f"{SOURCE_RULE} AS source_rule", f"{BROCHURE_FILE} AS brochure_file")
 
 
+def stored_pages(spark, d) -> DataFrame:
+    """The pages as a capture job leaves them: one folder per rule set, so that each rule set reads its own pages only."""
+    path = work_dir(spark, "pages")
+    ruled_pages(spark, d).drop("product_name").write.partitionBy("source_rule").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query
 def extract_products(spark, d):
-    out = extract.extract_products(ruled_pages(spark, d).drop("product_name"))
+    out = extract.extract_products(stored_pages(spark, d))
     return out.select("raw_id", "institution_id", "source_rule", *extract.PRODUCT_COLUMNS)
 
 
@@ -980,7 +987,7 @@ def strict_fields(spark, d):
 
 
 def run_all_summary(spark, d):
-    pages = ruled_pages(spark, d).drop("product_name")
+    pages = stored_pages(spark, d)
     return plans.run_all({r: pages.where(c("source_rule") == r) for r in extract.RULES}, extract.RULES, "2024-01", work_dir(spark, "run-log"))
 
 
