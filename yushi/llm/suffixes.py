@@ -36,15 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yushi.llm.tables import arrow_map, packed, parts, stored, utf8
+from yushi.llm.tables import arrow_map, packed, parts, slices, stored, utf8
 from yushi.session import work_dir
 
 LENGTH, KEY = 100, 32
 BATCHES = 2
 #: Documents looked at for anchors that very many runs share, and the share of all their runs that makes one such.
 SAMPLED, HOT_SHARE, HOT_LEAST = 16, 1 / 20_000, 40
-#: Bytes hashed at a time.
-_PIECE = 1 << 20
+#: Bytes hashed at a time, and bytes of an Arrow batch whose runs are sorted together.
+_PIECE, _SLICE = 1 << 18, 16 << 20
 _AT = 128
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,7 +94,7 @@ def runs_of(data: bytes, bounds: np.ndarray, length: int = LENGTH, key: int = KE
 
 
 def batches_of_runs(texts: list[bytes], length: int = LENGTH, key: int = KEY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """anchor, content digest, number of the text, at (start * 128 + windows) for pieces of about a megabyte."""
+    """anchor, content digest, number of the text, at (start * 128 + windows) for pieces of about `_PIECE` bytes."""
 
     def done(numbers: list[int], offsets: list[int], chunks: list[bytes]):
         data = b"".join(chunks)
@@ -188,7 +188,7 @@ def batch_arrays(texts: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[
     entries gives anchor, content, doc, at of an Arrow batch in pieces."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, _SLICE)):
             found = list(entries(b))
             if not found:
                 continue
@@ -300,7 +300,7 @@ def hot_anchors(texts: DataFrame, length: int = LENGTH, key: int = KEY) -> np.nd
     """Anchors with a large share of the runs in a sample of documents; at most 1 / HOT_SHARE of them."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, _SLICE)):
             for anchor, _, _, _ in batches_of_runs([t or b"" for t in utf8(b.column(1))], length, key):
                 a, n = np.unique(anchor, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n, pa.int64())], ["anchor", "n"])
