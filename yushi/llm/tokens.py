@@ -32,8 +32,8 @@ SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Symbols fit 16 bits: the vocabulary and the rules of a shard together.
 SYMBOLS = 1 << 16
-LEAST_COUNT, PAIRS_A_ROUND, ROUNDS, LEAST_GAIN = 6, 4000, 24, 0.03
-_CACHE, _CACHED_CHARS, _PIECE = 250_000, 40, 1 << 18
+LEAST_COUNT, PAIRS_A_ROUND, ROUNDS, LEAST_GAIN = 6, 8000, 24, 0.08
+_CACHE, _CACHED_CHARS, _PIECE = 400_000, 40, 1 << 18
 _SPACES = b" \t\n\x0b\x0c\r"
 _NO_ID = 0xFFFFFFFF
 _ASCII_SPACE = re.compile(r"[\t-\r ]+")
