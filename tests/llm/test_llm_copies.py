@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -56,6 +56,42 @@ def test_decontamination_is_brute_force(spark):
     assert len(want) >= 20 and got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("same", [True, False], ids=["equal", "each_its_own"])
+@pytest.mark.parametrize("share", [0.2, 0.25, 0.3])
+def test_many_edited_copies_are_brute_force(share, same):
+    rng = random.Random(11)
+    sentence = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    items = [(k, sentence(rng.randint(20, 40))) for k in range(6)]
+    changed = lambda w: {int(k / share) for k in range(int(len(w) * share))} if same else set(rng.sample(range(len(w)), int(len(w) * share)))
+    texts = []
+    for _, w in items[:4]:
+        edited = None
+        for _ in range(400 if same else 60):
+            if edited is None or not same:
+                own = changed(w)
+                edited = ["new" if k in own else x for k, x in enumerate(w)]
+            texts.append(" ".join([*sentence(8), *edited, *sentence(8)]) if len(texts) % 20 == 0 else " ".join(["before", *edited, "behind"]))
+    # n-grams of the items in texts that hold nothing else of them: they are rarer than those of the copies
+    for _, w in items:
+        texts += [" ".join([*sentence(5), *w[k:k + 3], *sentence(5)]) for k in range(0, len(w) - 3) for _ in range(2)]
+    every = {g for _, w in items for g in D.grams(w)}
+    n = Counter(g for t in texts for g in {g for g in D.grams(D.words(t)) if g in every})
+    find = D._finder(items, D.seeds(items, {g: n[g] for g in every}))
+    got = {(i, k): s for i, k, s, *_ in find(texts, D.LEAST_SCORE)}
+    seen, want = {}, {}
+    for i, t in enumerate(texts):
+        for k, w in items:
+            if (t, k) not in seen:
+                own = D.words(t)
+                number = {x: j for j, x in enumerate({*own, *w})}
+                seen[t, k] = D.align([(np.array([number[x] for x in w]), np.array([number[x] for x in own]))])[0][0] / (D.MATCH * len(w))
+            if seen[t, k] >= D.LEAST_SCORE and any(g in every for g in D.grams(D.words(t))):
+                want[i, k] = seen[t, k]
+    assert len(want) >= (4 * 400 if same else 200) * (share < 0.3) and got == {x: s for x, s in want.items() if x in got}
+    lost = [x for x in want if x not in got]
+    assert all(not set(D.grams(items[k][1])) & set(D.grams(D.words(texts[i]))) for i, k in lost)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     docs, items = leaks(5)
     d, i = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")

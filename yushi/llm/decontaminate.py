@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of all test items are counted over the whole corpus (partial counts per task, one row per n-gram). An item is
-sought by its rare n-grams: those in at most `RARE` of the documents that hold any of its n-grams most often, and, so that no
-item goes unsought, always by its rarest `LEAST_SEEDS`, however frequent. Where a document has such a seed, a window around the seed's
-diagonal is aligned with the item, word by word; insertions, deletions and changed words cost, so edited copies score high and
-documents that share only common phrases score low. The score is the alignment's share of a perfect one.
+sought by all its n-grams that occur. Those in at most `RARE` documents, or in no more than the item's middle one, and its rarest
+`LEAST_SEEDS` are rare. Where a document has a rare one, a window around its diagonal is aligned with the item, word by word; a window with
+frequent ones only is aligned if it has enough of the item's words for the least score, which leaves out nothing that could reach it.
+So the same edited passage is found however many documents hold it. Insertions, deletions and changed words cost, so edited copies score
+high and documents that share only common phrases score low. The score is the alignment's share of a perfect one.
 
 A document is read by one task and never shuffled, so a passage in a third of all documents is no hot key. The benchmark is sent in
 blocks of at most `BLOCK_WORDS` words; a larger benchmark takes more passes, with the same result.
@@ -100,17 +101,18 @@ def seed_counts(docs: DataFrame, block: list) -> dict[tuple[str, ...], int]:
     return {g: found.get(k, 0) for k, g in enumerate(every)}
 
 
-def seeds(block: list, counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
-    """n-gram to (item number, position): rare ones of each item, and its rarest in any case."""
-    out: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+def seeds(block: list, counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[tuple[int, int, bool]]]:
+    """n-gram to (item number, position, whether it is rare for the item): all that occur in the corpus."""
+    out: dict[tuple[str, ...], list[tuple[int, int, bool]]] = defaultdict(list)
     for k, (_, w) in enumerate(block):
         own = grams(w)
-        order = sorted(set(own), key=lambda g: (counts[g], g))
-        middle = counts[order[len(order) // 2]]
-        use = {g for i, g in enumerate(order) if i < LEAST_SEEDS or counts[g] <= max(RARE, middle)}
+        order = sorted({g for g in own if counts[g]}, key=lambda g: (counts[g], g))
+        if not order:
+            continue
+        limit = max(RARE, counts[order[len(order) // 2]], counts[order[:LEAST_SEEDS][-1]])
         for pos, g in enumerate(own):
-            if g in use:
-                out[g].append((k, pos))
+            if counts[g]:
+                out[g].append((k, pos, counts[g] <= limit))
     return dict(out)
 
 
@@ -149,24 +151,24 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     return list(zip(best.tolist(), first.tolist(), end.tolist()))
 
 
-def _windows(found: list[tuple[int, tuple[int, int]]], lengths: list[int], n_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """item, first word, last word, seeds: seeds of an item on near diagonals share a window."""
-    by: dict[int, list[int]] = defaultdict(list)
-    for at, (k, pos) in found:
-        by[k].append(at - pos)
+def _windows(found: list[tuple[int, tuple[int, int, bool]]], lengths: list[int], n_words: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """item, first word, last word, seeds, whether one is rare: seeds of an item on near diagonals share a window."""
+    by: dict[int, list[tuple[int, bool]]] = defaultdict(list)
+    for at, (k, pos, rare) in found:
+        by[k].append((at - pos, rare))
     for k, diagonals in by.items():
         slack = max(4, lengths[k] // 4)
         diagonals.sort()
-        first = last = diagonals[0]
-        n = 0
-        for d in [*diagonals, None]:
+        first = last = diagonals[0][0]
+        n, some = 0, False
+        for d, rare in [*diagonals, (None, False)]:
             if d is None or d > last + slack or d > first + 4 * slack:
-                yield k, max(0, first - slack), min(n_words, last + lengths[k] + slack), n
+                yield k, max(0, first - slack), min(n_words, last + lengths[k] + slack), n, some
                 if d is None:
                     break
-                first, n = d, 0
+                first, n, some = d, 0, False
             last = d
-            n += 1
+            n, some = n + 1, some or rare
 
 
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -185,6 +187,11 @@ def _finder(block: list, table: dict):
     lookup, lengths = Lookup(table), [len(w) for _, w in block]
     number = {x: k for k, x in enumerate({x for _, w in block for x in w})}
     items = [np.array([number[x] for x in w]) for _, w in block]
+    held = [Counter(w) for _, w in block]
+
+    def shared(k: int, w: list[str]) -> int:
+        """Words that the item and the window can match at most."""
+        return (held[k] & Counter(w)).total()
 
     def find(texts: list[str | None], least: float) -> list[tuple]:
         best: dict[tuple, tuple] = {}
@@ -205,7 +212,9 @@ def _finder(block: list, table: dict):
         for i, t in enumerate(texts):
             w = words(t)
             hits = [(at, x) for at, own in lookup.hits(w) for x in own]
-            for k, a, z, n in _windows(hits, lengths, len(w)) if hits else ():
+            for k, a, z, n, rare in _windows(hits, lengths, len(w)) if hits else ():
+                if not rare and shared(k, w[a:z]) < least * lengths[k]:
+                    continue
                 todo.append((i, k, a, n, np.array([number.get(x, -3) for x in w[a:z]])))
                 if len(todo) >= 8 * _TOGETHER:
                     flush()
