@@ -140,6 +140,42 @@ def test_licenses(spark):
     assert licenses.report(edge_docs(spark)).count() == len(edge_rows())
 
 
+def test_wrapped_notices_and_licence_files(spark):
+    import textwrap
+
+    from yushi.llm.notices import HEADERS, SHORT_TEXTS, TEXTS, block_templates
+
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 50))
+    code = "\n".join(f"value_{k} = compute({k}, other) + rows[{k}]  # the next step of the plan" for k in range(60))
+    rows, want = [], {}
+
+    def add(path, text, name):
+        want[len(rows)] = name
+        rows.append((len(rows), path, text))
+
+    for k, (name, t) in enumerate(HEADERS[:2] + HEADERS[3:]):
+        for mark in ("# ", " * ", "// "):
+            add(f"src/{k}.py", f"#!/usr/bin/env python\n{mark}Copyright (C) 2019 Some Body\n{wrap(t, mark)}\n\n{code}", name)
+    whole = {n: t for n, t, w in block_templates() if w and n in TEXTS and len(t) > 2000}
+    for name in TEXTS:
+        add(f"{name}/a.txt", whole[name], name)
+        add(f"head_{name}/LICENSE", "\n".join(whole[name].split("\n")[:15]), name)
+        add(f"{name}/deep/x.py", code, None)
+    for name, t in SHORT_TEXTS:
+        add(f"{name}/t.txt", "Copyright 2011 A. Holder\n\n" + wrap(t, ""), name)
+    for line, name in (("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+                       ("# SPDX-License-Identifier: LGPL-2.1-or-later OR MIT", "LGPL-2.1 OR MIT")):
+        add("spdx/x.c", f"{line}\n{code}", name)
+    add("short/x.py", wrap(HEADERS[1][1], "# ") + "\nimport os", "Apache-2.0")
+    add("none/x.py", code + "\nwe have the rights and the permission to redistribute this copyright story about a license\n" + code, None)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {k: r.license for k, r in got.items()} == want
+    for k, path, _ in rows:
+        assert got[k].is_license_file == path.endswith((".txt", "/LICENSE")), path
+        if "/deep/" in path:
+            assert got[k].final_license == path.split("/")[0]
+
+
 def test_template_finds_itself():
     s = licenses.Scanner()
     for name, t in licenses.TEMPLATES:

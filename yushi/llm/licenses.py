@@ -1,8 +1,11 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance along directories.
 
 A statement is a line with a word of licensing in it, anywhere in the text. Its terms look up the weighted terms of the templates, and the best
-template of `LEAST_COSINE` or more is the statement's license; the best statement is the file's own license. A licence file is one whose
-statements make up at least half of its words, or one with a statement and a customary name. Files are scanned where they are read.
+template of `LEAST_COSINE` or more is the statement's license. Blocks of lines are compared in the same way with standard notices and whole licence
+texts (`notices`): windows of a template's length, wherever they begin, so notices may be wrapped and commented at will; a word's weight is its
+idf over all files. An SPDX identifier names its license outright. The best of all these is the file's own license. A licence file is one
+whose statements and licence texts make up at least half of its words, or one with a license of its own and a customary name; a notice alone makes
+none. Files are scanned where they are read.
 
 A file without one takes that of the nearest directory above it that holds a licence file. Ancestors are joined for distinct
 directories only, one row per directory and level, so a directory with a third of all files is one row until its files
@@ -18,14 +21,19 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yushi.llm.notices import block_templates
 from yushi.llm.tables import stored
 
 LEAST_COSINE, LICENSE_FILE_SHARE = 0.6, 0.5
 CUES = ("licens", "licenc", "copyright", "public domain", "redistribut", "permission is hereby", "all rights reserved", "spdx-")
+BLOCK_CUES = (*CUES, "domain", "permission", "rights", "warrant", "creative commons")
+LINE_STARTS = 400
+SPDX = re.compile(r"(?i:SPDX-License-Identifier):[ \t]*(\(?[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)")
 NAMES = r"(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$"
 
 #: What licenses and notices say of themselves.
@@ -62,10 +70,82 @@ def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[in
     return rows, idf, math.log(1 + n) + 1
 
 
+def words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def identifiers(text: str) -> list[str]:
+    """SPDX expressions of a text, with the names that the templates use."""
+    short = lambda m: re.sub(r"(-only|-or-later|\+)$", "", m[0])
+    return [re.sub(r"[A-Za-z0-9.+-]+", short, x) for x in SPDX.findall(text)]
+
+
+class Blocks:
+    """The blocks of a text that are nearest to templates: windows of as many words as a template has."""
+
+    def __init__(self, templates: list[tuple[str, str, bool]], n_files: int, held: dict[str, int]):
+        """held: files that hold a word of the templates; a word that no template has counts as one of a single file."""
+        terms = [words(t) for _, t, _ in templates]
+        self.number = {x: k for k, x in enumerate(sorted({x for t in terms for x in t}))}
+        known = np.array([held.get(x, 0) for x in self.number])
+        self.idf = np.log((1 + n_files) / (1 + np.minimum(known, n_files))) + 1
+        self.other = math.log((1 + n_files) / (1 + min(1, n_files))) + 1
+        self.templates = []
+        for (name, _, whole), t in zip(templates, terms):
+            w = np.bincount([self.number[x] for x in t], minlength=len(self.number)) * self.idf
+            self.templates.append((name, whole, len(t), np.append(w / np.sqrt(w @ w) * self.idf, 0.0)))
+        self.square = np.append(self.idf, self.other) ** 2
+
+    def find(self, lines: list[str]) -> list[tuple[float, str, bool, int, int]]:
+        """Cosine, license, whether it is a licence text, first and last line of the best block of each template that has a good one."""
+        own = [words(x) for x in lines]
+        n = sum(map(len, own))
+        if not n:
+            return []
+        other = len(self.number)
+        strange: dict[str, int] = {}
+        # words of no template are numbered behind the others, so that each counts by itself
+        ids = np.fromiter((self.number[x] if x in self.number else other + strange.setdefault(x, len(strange)) for t in own for x in t), np.int64, n)
+        line = np.repeat(np.arange(len(own)), [len(t) for t in own])
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        short = np.minimum(ids, other)
+        norms = np.concatenate([[0.0], np.cumsum(self.square[short])])
+        out = []
+        for name, whole, length, w in self.templates:
+            size = min(length, n)
+            at = np.arange(0, n - size + 1, max(1, length // 8))
+            if length <= LINE_STARTS:
+                at = np.union1d(at, starts)
+            at = np.union1d(np.minimum(at, n - size), [n - size])
+            dots = np.concatenate([[0.0], np.cumsum(w[short])])
+            dot = dots[at + size] - dots[at]
+            bound = dot / np.sqrt(norms[at + size] - norms[at])  # a word said twice makes the block longer than this
+            top, best = LEAST_COSINE, None
+            for k in np.argsort(-bound, kind="stable").tolist():
+                if bound[k] < top - 1e-6:
+                    break
+                a = int(at[k])
+                x, c = np.unique(ids[a:a + size], return_counts=True)
+                score = round(float(dot[k] / math.sqrt((c * c * self.square[np.minimum(x, other)]).sum())), 6)
+                if score > top or (best is None and score == top):
+                    top, best = score, (score, name, whole, int(line[a]), int(line[a + size - 1]))
+            if best:
+                out.append(best)
+        return out
+
+
+def texts_only(blocks: list[tuple[float, str, bool, int, int]]) -> list[tuple[int, int]]:
+    """First and last line of the licence texts, without those that are rather a notice: half of their lines or more are in a nearer one."""
+    notices = [b for b in blocks if not b[2]]
+    inside = lambda b, n: 2 * (min(b[4], n[4]) - max(b[3], n[3]) + 1) >= b[4] - b[3] + 1
+    return [b[3:] for b in blocks if b[2] and not any(n[0] > b[0] and inside(b, n) for n in notices)]
+
+
 class Scanner:
-    """Statements of a text and their cosines; nothing but the templates is kept between texts."""
+    """Statements and blocks of a text and their cosines; nothing but the templates is kept between texts."""
 
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, blocks: Blocks | None = None):
+        self.blocks = blocks
         rows, self.idf, self.other = weights(templates)
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         self.license: dict[int, str] = {}
@@ -87,26 +167,51 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[str | None, float | None, bool]:
         """License, score, and whether half of the words are statements."""
-        if not text or not any(c in text.lower() for c in CUES):
+        low = text.lower() if text else ""
+        if not any(c in low for c in BLOCK_CUES):
             return None, None, False
-        said, best = 0, (-LEAST_COSINE, None)
-        for line in text.split("\n"):
+        lines = text.split("\n")
+        said, best = set(), (-LEAST_COSINE, None)
+        for k, line in enumerate(lines):
             low = line.lower()
             if any(c in low for c in CUES):
                 score, name = self.cosine(re.findall(r"[a-z0-9]+", low))
                 if name and score >= LEAST_COSINE:
-                    said += len(line.split())
+                    said.add(k)
                     best = min(best, (-score, name)) if best[1] else (-score, name)
+        blocks = self.blocks.find(lines) if self.blocks else []
+        for score, name, *_ in blocks:
+            best = min(best, (-score, name)) if best[1] else (-score, name)
+        for first, last in texts_only(blocks):
+            said.update(range(first, last + 1))
+        for name in identifiers(text) if self.blocks else ():
+            best = min(best, (-1.0, name)) if best[1] else (-1.0, name)
         if best[1] is None:
             return None, None, False
-        return best[1], -best[0], said >= LICENSE_FILE_SHARE * len(text.split())
+        return best[1], -best[0], sum(len(lines[k].split()) for k in said) >= LICENSE_FILE_SHARE * len(text.split())
+
+
+def held(files: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
+    """Number of files, and of those that hold each word of the vocabulary."""
+
+    def run(batches):
+        for b in batches:
+            n = Counter({"": b.num_rows})
+            for t in b.column(0).to_pylist():
+                n.update(vocabulary.intersection(words(t or "")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    found = {r.term: r.n for r in files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return found.pop("", 0), found
 
 
 def own(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, path, dir, license, score, is_license_file: one row per file, decided in the task that reads it."""
+    standard = block_templates()
+    sent = files.sparkSession.sparkContext.broadcast((standard, *held(files, {x for _, t, _ in standard for x in words(t)})))
 
     def run(batches):
-        scanner, named = Scanner(templates), re.compile(NAMES)
+        scanner, named = Scanner(templates, Blocks(*sent.value)), re.compile(NAMES)
         for b in batches:
             paths = b.column(1).to_pylist()
             found = [scanner.scan(t.as_py()) for t in b.column(2)]
