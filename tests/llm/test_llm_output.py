@@ -159,6 +159,25 @@ def test_grammar_round_trip(seed):
     assert len(symbols) <= n and (n < 3000 or len(symbols) < n)
 
 
+@pytest.mark.parametrize("terminals", [300, 65_000])
+def test_grammar_is_complete(terminals):
+    rng = np.random.default_rng(4)
+    # common pairs of common pairs, and rare ones that occur a few times
+    phrases = [rng.integers(0, 290, int(rng.integers(2, 12))) for _ in range(1500)]
+    seq = np.concatenate([phrases[int(k)] for k in rng.zipf(1.3, 20_000) % 1500]).astype(np.uint32)
+    last = np.zeros(len(seq), bool)
+    last[199::200] = last[-1] = True
+    rules, symbols, still = tokens.repair(seq, last, terminals)
+    g = tokens.Grammar(rules, tokens.rule_lengths(rules, terminals), terminals)
+    assert (g.expand(symbols) == seq).all() and (np.cumsum(g.n[symbols])[still] - 1 == np.flatnonzero(last)).all()
+    pairs = Counter((a, b) for a, b, end in zip(symbols.tolist(), symbols[1:].tolist(), still.tolist()) if not end)
+    assert max(pairs.values()) < 4
+    if terminals == 65_000:
+        assert len(rules) > 536 and tokens.width(terminals, len(rules)) is np.uint32
+        row = tokens._shard(0, 0, [7, None], [seq[:5000].tobytes(), seq[5000:].tobytes()], terminals)
+        assert [x.tolist() for _, _, x in tokens._decoded(row, terminals)] == [seq[:5000].tolist(), seq[5000:].tolist()]
+
+
 def test_tokens_of_an_empty_table(spark):
     assert tokens.encode_report(empty_docs(spark)).count() == 0
 

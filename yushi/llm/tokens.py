@@ -2,7 +2,8 @@
 
 Documents are sorted by doc_id over range partitions; each partition is written as rows of one shard each. A shard holds
 about `SHARD_TOKENS` ids of consecutive documents (a longer document has a shard of its own) and its own Re-Pair grammar:
-frequent pairs of ids become nonterminals again and again, never across the end of a document. Stored are the rules, the
+frequent pairs of ids become nonterminals again and again, never across the end of a document, until no pair occurs `LEAST_COUNT` times. A
+round replaces the pairs at least half as frequent as the most frequent one. Symbols have 16 bits where a shard's fit, else 32. Stored are the rules, the
 number of ids each nonterminal stands for, the symbols, and the first symbol of each document, so one document
 decodes without the rest of its shard.
 
@@ -30,9 +31,8 @@ from yushi.session import work_dir
 
 SHARD_TOKENS = 1 << 20
 END_ID = 1
-#: Symbols fit 16 bits: the vocabulary and the rules of a shard together.
-SYMBOLS = 1 << 16
-LEAST_COUNT, PAIRS_A_ROUND, ROUNDS, LEAST_GAIN = 6, 8000, 24, 0.08
+#: A rule takes two symbols and a length, so a pair saves space from four occurrences on.
+LEAST_COUNT = 4
 _CACHE, _CACHED_CHARS, _PIECE = 400_000, 40, 1 << 18
 _SPACES = b" \t\n\x0b\x0c\r"
 _NO_ID = 0xFFFFFFFF
@@ -161,26 +161,22 @@ def encoder(path: str) -> Encoder:
 # -- grammar --------------------------------------------------------------------------------------------------------
 
 
-def _choose(s: np.ndarray, room: int) -> list[tuple[int, int]]:
+def _choose(s: np.ndarray) -> list[tuple[int, int]]:
     """Frequent pairs from the sorted pair keys; a symbol is on one side only, so occurrences never overlap."""
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     n = np.diff(np.append(at, len(s)))
-    often = np.flatnonzero(n >= LEAST_COUNT)
-    if len(often) > PAIRS_A_ROUND:
-        often = often[np.argpartition(n[often], -PAIRS_A_ROUND)[-PAIRS_A_ROUND:]]
+    often = np.flatnonzero(n >= max(LEAST_COUNT, n.max() // 2))
     often = often[np.lexsort((s[at[often]], -n[often]))]
     side: dict[int, int] = {}
     out = []
     for k in s[at[often]].tolist():
-        a, b = k >> 16, k & 0xFFFF
+        a, b = k >> 32, k & 0xFFFFFFFF
         if a == b:
             if a not in side:
                 side[a] = 3
                 out.append((a, b))
         elif side.setdefault(a, 1) == 1 and side.setdefault(b, 2) == 2:
             out.append((a, b))
-        if len(out) >= room:
-            break
     return out
 
 
@@ -188,18 +184,16 @@ def repair(seq: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarra
     """Rules (pairs), symbols, and which symbol ends a document. Rule k is symbol terminals + k."""
     seq, last = seq.astype(np.uint32), last.copy()
     rules: list[tuple[int, int]] = []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         inside = ~last[:-1]
-        key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        chosen = _choose(np.sort(key[inside]), SYMBOLS - terminals - len(rules)) if inside.any() else []
+        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        chosen = _choose(np.sort(key[inside])) if inside.any() else []
         if not chosen:
             break
-        pairs = np.array(chosen, np.uint32)
-        keys = (pairs[:, 0] << np.uint32(16)) | pairs[:, 1]
+        pairs = np.array(chosen, np.uint64)
+        keys = (pairs[:, 0] << np.uint64(32)) | pairs[:, 1]
         order = np.argsort(keys)
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+        left, right = np.zeros(terminals + len(rules), bool), np.zeros(terminals + len(rules), bool)
         left[pairs[:, 0]] = True
         right[pairs[:, 1]] = True
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inside)
@@ -216,20 +210,20 @@ def repair(seq: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarra
             stay = np.ones(len(at), bool)
             stay[same[odd]] = False
             at, k = at[stay], k[stay]
-        if not len(at):
-            break
-        gain = len(at) / len(seq)
         seq[at] = (terminals + len(rules) + k).astype(np.uint32)
         last[at] = last[at + 1]
         alive = np.ones(len(seq), bool)
         alive[at + 1] = False
         seq, last = seq[alive], last[alive]
         rules += chosen
-        if gain < LEAST_GAIN or len(rules) >= SYMBOLS - terminals:
-            break
     return np.array(rules, np.uint32).reshape(-1, 2), seq, last
 
 
+def width(terminals: int, n_rules: int) -> type:
+    """The type of a shard's stored symbols."""
+    return np.uint16 if terminals + n_rules <= 1 << 16 else np.uint32
+
+
 class Grammar:
     """All expansions of a shard's symbols, one after the other."""
 
@@ -266,12 +260,12 @@ def _shard(part: int, seq: int, ids: list[int | None], texts: list[bytes], termi
     last = np.zeros(len(flat), bool)
     last[np.cumsum(n) - 1] = True
     rules, symbols, last = repair(flat, last, terminals)
-    known = [d for d in ids if d is not None]
+    known, kind = [d for d in ids if d is not None], width(terminals, len(rules))
     return {
         "part": part, "seq": seq, "first_doc": min(known, default=None), "last_doc": max(known, default=None), "n_docs": len(ids), "n_tokens": len(flat),
         "doc_ids": np.array([d or 0 for d in ids], np.int64).tobytes(), "null_ids": np.packbits([d is None for d in ids]).tobytes(),
         "doc_tokens": n.astype(np.uint32).tobytes(), "doc_symbols": np.diff(np.flatnonzero(last), prepend=-1).astype(np.uint32).tobytes(),
-        "rules": rules.astype(np.uint16).tobytes(), "lengths": rule_lengths(rules, terminals).tobytes(), "symbols": symbols.astype(np.uint16).tobytes(),
+        "rules": rules.astype(kind).tobytes(), "lengths": rule_lengths(rules, terminals).tobytes(), "symbols": symbols.astype(kind).tobytes(),
     }
 
 
@@ -285,8 +279,6 @@ def shards(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
-        if enc.size + 1 >= SYMBOLS:
-            raise ValueError("this format takes vocabularies of less than 65,535 ids")
         end = np.array([END_ID], np.uint32).tobytes()
         ids: list[int | None] = []
         texts: list[bytes] = []
@@ -324,8 +316,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def _decoded(row: dict, terminals: int, wanted: set[int] | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """Ids before the document in its shard, doc_id, ids. Symbols of documents that are not wanted are never expanded."""
     get = lambda k, t: np.frombuffer(row[k], t)
-    g = Grammar(get("rules", np.uint16).reshape(-1, 2), get("lengths", np.uint32), terminals)
-    symbols, n_sym, n_tok = get("symbols", np.uint16), get("doc_symbols", np.uint32).astype(np.int64), get("doc_tokens", np.uint32).astype(np.int64)
+    lengths = get("lengths", np.uint32)
+    kind = width(terminals, len(lengths))
+    g = Grammar(get("rules", kind).reshape(-1, 2), lengths, terminals)
+    symbols, n_sym, n_tok = get("symbols", kind), get("doc_symbols", np.uint32).astype(np.int64), get("doc_tokens", np.uint32).astype(np.int64)
     null = np.unpackbits(get("null_ids", np.uint8))[: row["n_docs"]].astype(bool)
     ends, before = np.cumsum(n_sym), np.cumsum(n_tok) - n_tok
     for i, d in enumerate(get("doc_ids", np.int64).tolist()):
