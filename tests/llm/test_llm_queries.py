@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from yushi.llm import tables
 from yushi.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,14 @@ def test_registered():
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_mix_needs_no_python_tasks(spark, monkeypatch):
+    def sent(spark):
+        raise AssertionError("op4 runs a Python task")
+
+    monkeypatch.setattr(tables, "ready", sent)
+    assert QUERIES["op4_mix_sources"](spark, SF).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()

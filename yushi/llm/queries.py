@@ -20,7 +20,7 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_mix_sources(spark, sf_dir):
-    return mixing.report(read(spark, sf_dir, "documents"))
+    return mixing.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # no Python task, so none is made ready
 
 
 def op5_url_filter(spark, sf_dir):
