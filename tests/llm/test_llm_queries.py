@@ -24,7 +24,7 @@ def table(names, rows):
 
 
 def test_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql()) and "pipeline" in entry.queries()
     assert len(corpus_pipeline.STAGES) == 5

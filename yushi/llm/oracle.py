@@ -5,7 +5,7 @@ The others are compared with brute force in tests/llm: alignment (2), the convex
 
 from __future__ import annotations
 
-from yushi.llm import licenses, quality, urls
+from yushi.llm import collocations, licenses, quality, urls
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -123,6 +123,30 @@ SELECT d.doc_id, least(d.doc_id, coalesce(low.low, d.doc_id)) AS class_id, coale
 FROM d LEFT JOIN low ON d.doc_id = low.doc_id LEFT JOIN deg ON d.doc_id = deg.doc_id
 """
 
+def _op12() -> str:
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, len(g) AS k, g FROM (
+  SELECT lang, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i:i])) AS g FROM w
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) FROM w
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) FROM w)),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= {collocations.LEAST}),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM cand),
+scores AS (SELECT c.lang, c.k, c.g, c.a, c.cut, x.a AS l, y.a AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.a AS HUGEINT) * y.a) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.cut + 1:c.k]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_pairs AS (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM cand WHERE k = 3),
+gone AS (SELECT DISTINCT c.lang, c.g FROM cand c JOIN inner_pairs p ON p.lang = c.lang AND p.g = c.g WHERE c.k = 2 AND 100 * p.a >= {collocations.SHARE} * c.a),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, CAST(b.score AS BIGINT) AS score FROM best b ANTI JOIN gone o ON o.lang = b.lang AND o.g = b.g)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= {collocations.FIRST}
+"""
+
+
 ORACLE_SQL = {
     "op1_quality_rules": _op1(),
     "op3_license_scan": _op3(),
@@ -130,4 +154,5 @@ ORACLE_SQL = {
     "op6_repeated_substrings": _OP6,
     "op7_line_dedup": _OP7,
     "op9_jaccard_join": _OP9,
+    "op12_collocations": _op12(),
 }

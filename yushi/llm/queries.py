@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yushi.llm import decontaminate, jaccard, language, licenses, lines, mixing, quality, suffixes, tokens, urls
+from yushi.llm import alignment, collocations, decontaminate, jaccard, kernel, language, licenses, lines, mixing, quality, suffixes, tokens, urls
 from yushi.llm.oracle import ORACLE_SQL
 from yushi.llm.tables import read
 
@@ -47,6 +47,18 @@ def op10_token_output(spark, sf_dir):
     return tokens.encode_report(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark, sf_dir):
+    return kernel.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.report(read(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return alignment.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -58,6 +70,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_output": op10_token_output,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_collocations": op12_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
