@@ -1,15 +1,16 @@
 """Collocations: phrases of two or three words that are frequent and stick together, per language.
 
 *Candidates.* Level by level, as Apriori does it: a pair can be frequent only if both words are, a triple only if both its pairs are. What is
-frequent so far goes out as a bitmap of digests (at most `BITS` bits, whatever the corpus), so a position whose parts are surely rare sends nothing. Digests
-of what remains are summed; those that reach the least count form the next bitmap. Collisions only let more through. The phrases behind
-the last bitmaps are the candidates: no frequent phrase is missing.
+frequent so far goes out as a bitmap (at most `BITS` bits, whatever the corpus), so a position whose parts are surely rare sends nothing. What
+remains is summed by the digests of its words; those that reach the least count form the next bitmap and, turned into words again, the candidates. Collisions
+only let more through: no frequent phrase is missing.
 
 *Counting.* Candidates are dealt by digest to shards of about `SHARD`, and each shard becomes a double-array trie over its own words: state s goes on by word w to
 base[s] + w if check says so. Tries are built in tasks, one per shard, and broadcast a few at a time. numpy moves the states of all text positions
 one word on, level by level, and counts the accepting ones with bincount; each task sends what it counted once per shard, Spark adds up.
 
-*Texts.* All texts of an Arrow batch and language are split together, a few megabytes at a time; a long text goes on over pieces with its last two words.
+*Texts.* All texts of an Arrow batch and language are split together, a few megabytes at a time, and written once as numbers of the piece's distinct words; a long
+text goes on over pieces with its last two words.
 
 Defined results: a null or empty text has no words; a null lang is `und`; repeated rows count each; doc_id and other columns are not read; an empty table gives no
 rows. Texts without a phrase of ten occurrences give none.
@@ -23,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from yushi.llm.tables import parts, stored, utf8
 
 LEAST, LONGEST, SHARE, FIRST = 10, 3, 50, 2000
 #: Bits of a broadcast bitmap, at most; candidates of a trie; tries that are broadcast at once; bytes of text in one piece.
-BITS, SHARD, TOGETHER, PIECE = 1 << 27, 1 << 17, 8, 3 << 20
+BITS, SHARD, TOGETHER, PIECE = 1 << 27, 1 << 17, 6, 3 << 20
 RADIX = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -89,9 +91,32 @@ def pieces(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Piece]:
             yield from _split(lang, b"\n".join(some).translate(_LOWER), size)
 
 
-def over_texts(docs: DataFrame, fn: Callable[[Iterator[Piece]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+PIECES = "lang string, seen int, words binary, at binary"
+
+
+def written_pieces(docs: DataFrame) -> DataFrame:
+    """The texts as pieces, split once and written: every later pass reads numbers."""
     rows, size = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"), PIECE
-    return rows.mapInArrow(lambda batches: fn(pieces(batches, size)), schema)
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for p in pieces(batches, size):
+            row = [[p.lang], [p.seen], [z.compress(b" ".join(p.words))], [z.compress(p.at.astype(np.int32).tobytes())]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["lang", "seen", "words", "at"])
+
+    return stored(rows.mapInArrow(run, PIECES), "pieces")
+
+
+def over_pieces(written: DataFrame, fn: Callable[[Iterator[Piece]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def found(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for k in range(b.num_rows):
+                lang, seen, words, at = (b.column(i)[k].as_py() for i in range(4))
+                words = z.decompress(words)
+                yield Piece(lang, words.split(b" ") if words else [], np.frombuffer(z.decompress(at), np.int32).astype(np.int64), seen)
+
+    return written.mapInArrow(lambda batches: fn(found(batches)), schema)
 
 
 def _counted(p: Piece) -> np.ndarray:
@@ -116,28 +141,44 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Bitmap(NamedTuple):
-    """Digests that may be frequent. Full or not, it never leaves one out."""
+    """Digests that may be frequent, three bits for each. Full or not, it never leaves one out."""
 
     words: np.ndarray
 
+    @staticmethod
+    def places(digests: np.ndarray, size: int) -> list[np.ndarray]:
+        return [(digests * np.uint64(k) >> np.uint64(34)) & np.uint64(size - 1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
     def has(self, digests: np.ndarray) -> np.ndarray:
-        at = digests & np.uint64(64 * len(self.words) - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        out = np.ones(len(digests), bool)
+        for at in self.places(digests, 64 * len(self.words)):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
 def bitmap(frequent: DataFrame, bits: int = BITS) -> Bitmap:
-    """Bitmap of the column `digest`: as many rows reach the driver as the bitmap has words."""
-    size, wanted = 64, 16 * frequent.count()
+    """Bitmap of phrases given by the digests of their words (d1, d2, …): as many rows reach the driver as the bitmap has words, at most."""
+    size, wanted, names = 64, 32 * frequent.count(), [c for c in frequent.columns if c.startswith("d")]
     while size < min(bits, wanted):
         size *= 2
-    place = F.col("digest").bitwiseAND(F.lit(size - 1))
-    rows = frequent.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, CAST(digest & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+
+    def run(batches):
+        for b in batches:
+            digest = b.column(0).to_numpy().view(np.uint64)
+            for k in range(1, len(names)):
+                digest = _joined(digest, b.column(k).to_numpy().view(np.uint64))
+            at = np.unique(np.concatenate(Bitmap.places(digest, size)))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bit = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bit.view(np.int64))], ["at", "bit"])
+
+    rows = frequent.select(*names).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     words = np.zeros(size // 64, np.uint64)
     words[rows.column("at").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
     return Bitmap(words)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(written: DataFrame) -> DataFrame:
     """lang, word, f of all words."""
 
     def run(found):
@@ -147,75 +188,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words = pa.array(p.words, pa.binary()).take(pa.array(some)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([p.lang] * len(some), pa.string()), words, pa.array(n[some])], ["lang", "word", "f"])
 
-    return over_texts(docs, run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return over_pieces(written, run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
 def with_digest(words: DataFrame) -> DataFrame:
-    """The words' digests, as tasks compute them."""
+    """lang, word, f and the word's digest d1, as tasks compute it."""
 
     def run(batches):
         for b in batches:
             d = [xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang)) for lang, w in zip(utf8(b.column(0)), utf8(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(d, np.uint64).view(np.int64))], ["digest"])
-
-    return words.select("lang", "word").mapInArrow(run, "digest long")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(d, np.uint64).view(np.int64))], ["lang", "word", "f", "d1"])
 
+    return words.select("lang", "word", "f").mapInArrow(run, "lang string, word string, f long, d1 long")
 
-def _steps(p: Piece, maps: list[Bitmap]) -> list[np.ndarray | None]:
-    """For each position the digest of the phrase of 1, 2, … words that starts there; places where some part is surely rare are taken out.
 
-    Item k holds (positions, digests) of phrases of k + 1 words whose parts of k words pass maps[k - 1]."""
-    d = _digests(p)
+def _steps(p: Piece, d: np.ndarray, maps: list[Bitmap]) -> np.ndarray:
+    """Where phrases of len(maps) + 1 words start whose parts of k words all pass maps[k - 1]; d are the digests of the piece's words."""
     alive = np.flatnonzero(p.at >= 0)
-    digest = d[p.at[alive]] if len(d) else np.zeros(0, np.uint64)
-    out = [(alive, digest)]
+    digest = d[p.at[alive]]
     for k, m in enumerate(maps, 1):
         may = m.has(digest)
         starts = np.zeros(len(p.at) + 1, bool)
         starts[alive[may]] = True
-        ok = may & starts[np.minimum(alive + 1, len(p.at))] & (alive + k < len(p.at))
-        alive, digest = alive[ok], digest[ok]
-        digest = _joined(digest, d[p.at[alive + k]]) if len(alive) else digest
-        out.append((alive, digest))
-    return out
+        on = may & starts[np.minimum(alive + 1, len(p.at))]
+        alive, digest = alive[on], digest[on]
+        digest = _joined(digest, d[p.at[alive + k]])
+    return alive
 
 
-def phrase_digests(docs: DataFrame, maps: list[Bitmap]) -> DataFrame:
-    """digest, f of all phrases of len(maps) + 1 words whose parts may be frequent; f is never below the phrase's count."""
-    sent, n = docs.sparkSession.sparkContext.broadcast([m.words for m in maps]), len(maps) + 1
+def phrase_keys(written: DataFrame, maps: list[Bitmap]) -> DataFrame:
+    """d1, d2, …, f: the digests of the words of all phrases of len(maps) + 1 words whose parts may be frequent; f is never below a phrase's count."""
+    sent, n = written.sparkSession.sparkContext.broadcast([m.words for m in maps]), len(maps) + 1
+    names = [f"d{k + 1}" for k in range(n)]
 
     def run(found):
         use = [Bitmap(w) for w in sent.value]
         for p in found:
-            alive, digest = _steps(p, use)[-1]
-            key, count = np.unique(digest[alive + n > p.seen], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["digest", "f"])
-
-    return over_texts(docs, run, "digest long, f long").groupBy("digest").agg(F.sum("f").alias("f"))
-
-
-def candidates(docs: DataFrame, words: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
-    """lang, phrase: every phrase of two or three words that may be frequent, once."""
-    maps = [bitmap(with_digest(words), bits)]
-    for _ in range(LONGEST - 1):
-        maps.append(bitmap(stored(phrase_digests(docs, maps).filter(F.col("f") >= least).select("digest"), "digests"), bits))
-    sent = docs.sparkSession.sparkContext.broadcast([m.words for m in maps])
-
-    def run(found):
-        use = [Bitmap(w) for w in sent.value]
-        for p in found:
-            said: set[bytes] = set()
-            for n, (alive, digest) in enumerate(_steps(p, use[:-1])):
-                if n:
-                    alive, size, key = alive[use[n].has(digest)], len(p.words), 0  # a piece has under 2^21 distinct words
-                    for k in range(n + 1):
-                        key = key * size + p.at[alive + k]
-                    alive = alive[np.unique(key, return_index=True)[1]]
-                    at = np.stack([p.at[alive + k] for k in range(n + 1)], axis=1)
-                    said.update(b" ".join([p.words[x] for x in row]) for row in at.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([p.lang] * len(said), pa.string()), pa.array(list(said), pa.binary()).cast(pa.string())], ["lang", "phrase"])
-
-    return over_texts(docs, run, "lang string, phrase string").distinct()
+            d = _digests(p)
+            alive = _steps(p, d, use) if len(d) else np.zeros(0, np.int64)
+            alive = alive[alive + n > p.seen]
+            key, size = p.at[alive], max(len(p.words), 1)  # a piece has under 2^21 distinct words
+            for k in range(1, n):
+                key = key * size + p.at[alive + k]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            columns = [d[p.at[alive[first] + k]].view(np.int64) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, count.astype(np.int64))], [*names, "f"])
+
+    return over_pieces(written, run, ", ".join(f"{c} long" for c in [*names, "f"])).groupBy(*names).agg(F.sum("f").alias("f"))
+
+
+def candidates(written: DataFrame, words: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
+    """lang, phrase: every phrase of two or three words that may be frequent, once.
+
+    Digests turn into words again by joins with the frequent words; where two words of a language share a digest, both phrases are candidates."""
+    known = stored(with_digest(words), "word-digests")
+    maps, out = [bitmap(known, bits)], None
+    for n in range(2, LONGEST + 1):
+        keys = stored(phrase_keys(written, maps).filter(F.col("f") >= least).drop("f"), "phrase-keys")
+        if n < LONGEST:
+            maps.append(bitmap(keys, bits))
+        named = keys
+        for k in range(1, n + 1):
+            own = known.select(F.col("d1").alias(f"d{k}"), F.col("lang"), F.col("word").alias(f"w{k}"))
+            named = named.join(own, [f"d{k}"] if k == 1 else [f"d{k}", "lang"])
+        named = named.select("lang", F.concat_ws(" ", *[f"w{k}" for k in range(1, n + 1)]).alias("phrase"))
+        out = named if out is None else out.unionAll(named)
+    return out.distinct()
 
 
 # -- tries ----------------------------------------------------------------------------------------------------------
@@ -226,7 +264,7 @@ class Trie(NamedTuple):
 
     A word is its number in `words` as digits of RADIX, the highest first, so a state has few children and they lie close together."""
 
-    words: list[str]
+    words: list
     base: np.ndarray
     check: np.ndarray
 
@@ -309,45 +347,59 @@ def build(phrases: list[list[str]]) -> tuple[Trie, np.ndarray]:
     return Trie(words, base, check), place[node]
 
 
-TRIE = "shard int, lang array<string>, phrase array<string>, state binary, words array<string>, base binary, check binary"
+TRIE = "shard int, lang array<string>, phrase array<string>, state binary, words binary, base binary, check binary"
+
+
+def _language(lang: str) -> str:
+    """A language as the first word of its phrases; no word of a text has a space."""
+    return " " + lang.encode().hex()
 
 
 def tries(found: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard: its phrases with their states, and its trie."""
     n = max(1, -(-found.count() // shard))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n)).cast("int"))
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.list_(pa.string())), ("phrase", pa.list_(pa.string())), ("state", pa.binary()), ("words", pa.list_(pa.string())), ("base", pa.binary()), ("check", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.list_(pa.string())), ("phrase", pa.list_(pa.string())), ("state", pa.binary()), ("words", pa.binary()), ("base", pa.binary()), ("check", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         langs, phrases = table.column("lang").to_pylist(), table.column("phrase").to_pylist()
-        trie, states = build([[" " + lang, *p.split(" ")] for lang, p in zip(langs, phrases)])
-        row = {"shard": table.column("shard")[0].as_py(), "lang": langs, "phrase": phrases, "state": states.astype(np.int32).tobytes(), "words": trie.words, "base": trie.base.tobytes(), "check": trie.check.tobytes()}
+        trie, states = build([[_language(lang), *p.split(" ")] for lang, p in zip(langs, phrases)])
+        row = {"shard": table.column("shard")[0].as_py(), "lang": langs, "phrase": phrases, "state": states.astype(np.int32).tobytes(), "words": "\n".join(trie.words).encode(), "base": trie.base.tobytes(), "check": trie.check.tobytes()}
         return pa.Table.from_pylist([row], schema=schema)
 
     return dealt.groupBy("shard").applyInArrow(run, TRIE)
 
 
-def counts(docs: DataFrame, built: DataFrame, n_shards: int, together: int = TOGETHER) -> DataFrame:
+def counts(written: DataFrame, built: DataFrame, n_shards: int, together: int = TOGETHER) -> DataFrame:
     """shard, state, f of all accepting states, `together` tries in one pass over the texts."""
-    spark, passes = docs.sparkSession, []
+    spark, passes = written.sparkSession, []
     for first in range(0, max(1, n_shards), together):
-        rows = built.filter(F.col("shard").between(first, first + together - 1)).select("shard", "words", "base", "check", "state").collect()
+        rows = built.filter(F.col("shard").between(first, first + together - 1)).select("shard", "words", "base", "check", "state").toArrow().to_pylist()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast([(r.shard, r.words, *(np.frombuffer(bytes(x), np.int32) for x in (r.base, r.check, r.state))) for r in rows])
+        sent = spark.sparkContext.broadcast([tuple(r.values()) for r in rows])
 
         def run(found, sent=sent):
-            use = [(shard, Trie(words, base, check), {w.encode(): k for k, w in enumerate(words)}, accepting) for shard, words, base, check, accepting in sent.value]
+            use, number = [], {}
+            for shard, words, base, check, state in sent.value:
+                words = words.split(b"\n")
+                own = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+                base, check, state = (np.frombuffer(x, np.int32) for x in (base, check, state))
+                use.append((shard, Trie(words, base, check), own, state))
+            numbers = np.full((len(use), len(number) + 1), -1, np.int64)  # a word's number in each trie
+            for k, (_, _, own, _) in enumerate(use):
+                numbers[k, own] = np.arange(len(own))
             totals = [np.zeros(len(t.check), np.int64) for _, t, _, _ in use]
             for p in found:
-                for (_, trie, number, _), total in zip(use, totals):
-                    if b" " + p.lang.encode() in number:
-                        _count(p, trie, number, total)
+                known = np.fromiter((number.get(w, -1) for w in (*p.words, _language(p.lang).encode())), np.int64, len(p.words) + 1)
+                for (_, trie, _, _), own, total in zip(use, numbers, totals):
+                    if own[known[-1]] >= 0:
+                        _count(p, trie, np.append(own[known[:-1]], -1), own[known[-1:]], total)
             for (shard, _, _, accepting), total in zip(use, totals):
                 some = accepting[total[accepting] > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, np.int32)), pa.array(some.astype(np.int64)), pa.array(total[some])], ["shard", "state", "f"])
 
-        passes.append(over_texts(docs, run, "shard int, state long, f long"))
+        passes.append(over_pieces(written, run, "shard int, state long, f long"))
     if not passes:
         return spark.createDataFrame([], "shard int, state long, f long")
     out = passes[0]
@@ -356,12 +408,17 @@ def counts(docs: DataFrame, built: DataFrame, n_shards: int, together: int = TOG
     return out.groupBy("shard", "state").agg(F.sum("f").alias("f"))
 
 
-def _count(p: Piece, trie: Trie, number: dict[bytes, int], total: np.ndarray) -> None:
-    """Adds the states of all phrases of a piece: every position takes the steps of its words at once, the first word's once per distinct word."""
-    known = np.append(np.fromiter((number.get(w, -1) for w in p.words), np.int64, len(p.words)), -1)
+def _count(p: Piece, trie: Trie, known: np.ndarray, lang: np.ndarray, total: np.ndarray) -> None:
+    """Adds the states of all phrases of a piece: every position takes the steps of its words at once, the first word's once per distinct word.
+
+    `known` numbers the piece's words in the trie, -1 stands for those it hasn't and for cuts; `lang` is the number of the language."""
     digits = trie.digits(known)
-    root = trie.word(np.zeros(1, np.int64), trie.digits(np.array([number[b" " + p.lang.encode()]])))
-    first = np.where(known >= 0, trie.word(np.repeat(root, len(known)), digits), -1) if root[0] >= 0 else np.full(len(known), -1)
+    root = trie.word(np.zeros(1, np.int64), trie.digits(lang))
+    if root[0] < 0:
+        return
+    first = np.full(len(known), -1)
+    some = np.flatnonzero(known >= 0)
+    first[some] = trie.word(np.repeat(root, len(some)), digits[some])
     state = first[p.at]
     at = np.flatnonzero(state >= 0)
     state, known_at = state[at], known[p.at]
@@ -374,7 +431,7 @@ def _count(p: Piece, trie: Trie, number: dict[bytes, int], total: np.ndarray) ->
         total += np.bincount(state[at + k >= p.seen], minlength=len(total))
 
 
-def phrase_counts(docs: DataFrame, found: DataFrame, shard: int = SHARD, together: int = TOGETHER) -> DataFrame:
+def phrase_counts(written: DataFrame, found: DataFrame, shard: int = SHARD, together: int = TOGETHER) -> DataFrame:
     """lang, phrase, a of all candidates that occur."""
     built = stored(tries(found, shard), "tries")
     n = built.agg(F.max("shard")).first()[0]
@@ -386,7 +443,7 @@ def phrase_counts(docs: DataFrame, found: DataFrame, shard: int = SHARD, togethe
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(langs), b.column(0)[k].as_py(), np.int32)), langs, phrases, pa.array(np.frombuffer(b.column(3)[k].as_py(), np.int32).astype(np.int64))], ["shard", "lang", "phrase", "state"])
 
     names = built.select("shard", "lang", "phrase", "state").mapInArrow(named, "shard int, lang string, phrase string, state long")
-    return names.join(counts(docs, built, 0 if n is None else n + 1, together), ["shard", "state"]).select("lang", "phrase", F.col("f").alias("a"))
+    return names.join(counts(written, built, 0 if n is None else n + 1, together), ["shard", "state"]).select("lang", "phrase", F.col("f").alias("a"))
 
 
 # -- scores ---------------------------------------------------------------------------------------------------------
@@ -425,9 +482,10 @@ def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, first: int =
 
 def report(docs: DataFrame, least: int = LEAST, first: int = FIRST, bits: int = BITS, shard: int = SHARD, together: int = TOGETHER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best collocations of each language."""
-    words = stored(word_counts(docs), "words")
+    written = written_pieces(docs)
+    words = stored(word_counts(written), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = stored(words.filter(F.col("f") >= least), "frequent-words")
-    found = stored(candidates(docs, frequent, least, bits).repartition(parts(docs)), "candidates")
-    phrases = stored(phrase_counts(docs, found, shard, together).filter(F.col("a") >= least), "phrases")
+    found = stored(candidates(written, frequent, least, bits).repartition(parts(docs)), "candidates")
+    phrases = stored(phrase_counts(written, found, shard, together).filter(F.col("a") >= least), "phrases")
     return ranked(phrases, frequent, totals, first)
