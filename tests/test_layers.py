@@ -174,6 +174,48 @@ def test_resolve_with_seed(spark):
     assert got["", ""].institution_id is None
 
 
+SAID = "institution_code string, institution_name string"
+
+
+def test_new_institutions_share_codes_or_names(spark):
+    seen = spark.createDataFrame([("9001", "X"), ("9002", "X"), ("", "X"), (None, "Y"), ("9003", None), ("9003", "Y"), ("9004", "")], SAID)
+    got = {(r.institution_code, r.institution_name): r.institution_id for r in identity.resolve_institutions(seen, seeds.institutions(spark)).collect()}
+    assert got["9001", "X"] == got["9002", "X"] == got["", "X"] and got[None, "Y"] == got["9003", None] == got["9003", "Y"]
+    assert sorted(set(got.values())) == [7, 8, 9]
+
+
+def test_components_against_union_find(spark):
+    """A chain of 50 codes and names, a hot node with 300 others, single nodes, random edges."""
+    import random
+
+    rng = random.Random(7)
+    edges = [(f"0c{k // 2}", f"1c{(k + 1) // 2}") for k in range(99)] + [(f"0h{k}", "1hot") for k in range(300)] + [("1hot", "0h7"), ("0s", "0s")]
+    edges += [(f"0r{rng.randint(0, 120)}", f"1r{rng.randint(0, 120)}") for _ in range(90)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    got = {r.node: r.root for r in identity.components(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
+    assert got == {x: find(x) for x in root}
+    assert len({v for k, v in got.items() if k[1] == "c"}) == 1
+    assert identity.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_a_name_that_a_third_of_all_rows_share(spark):
+    pages = spark.range(3000).selectExpr("CAST(id AS STRING) AS institution_code", "IF(id % 3 = 0, '信金', concat('n', id)) AS institution_name")
+    dim = spark.createDataFrame([(5, "信用", ["0000x"])], "institution_id long, institution_name string, codes array<string>")
+    out = identity.resolve_institutions(pages, dim)
+    assert out.count() == 3000 and out.where("institution_name = '信金'").select("institution_id").distinct().count() == 1
+    assert out.agg(F.max("institution_id")).first()[0] == 5 + 2001
+
+
 def test_name_match_against_pairs(spark):
     """The substring join finds what comparing all pairs finds."""
     web = [(1, 10, "とうしんカーライフプラン"), (1, 11, "教育ローン"), (1, 12, "新教育ローン"), (2, 13, "フリーローン"), (1, 9, "ローン")]

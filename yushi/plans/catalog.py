@@ -304,12 +304,17 @@ def integrate_products(spark, d):
         "processed_data_id", *product_out(), *product_details(), "product_code", "loan_amount_unit", "loan_term_unit", "ai_analysis")
 
 
+#: Codes and names as pages give them: some without a code, some without a name, and names that several codes share.
+SEEN_CODE = ("CASE WHEN c_custkey % 11 = 3 THEN '' WHEN c_custkey % 5 = 0 THEN 'Z' || CAST(c_custkey AS STRING) "
+             "ELSE lpad(CAST(c_nationkey + 10 * (c_custkey % 3) AS STRING), 4, '0') END")
+SEEN_NAME = ("CASE WHEN c_custkey % 4 = 0 THEN 'NATION_' || CAST(c_nationkey AS STRING) WHEN c_custkey % 7 = 2 THEN '' "
+             "WHEN c_custkey % 13 = 1 THEN '新' || CAST(c_custkey AS STRING) ELSE '新' || CAST(c_nationkey % 9 AS STRING) || '-' || CAST(c_custkey % 6 AS STRING) END")
+
+
 @query
 def resolve_institutions(spark, d):
-    rows = corpus.table(spark, d, "customer").selectExpr(
-        "c_custkey",
-        "lpad(CAST(c_nationkey + 10 * (c_custkey % 3) AS STRING), 4, '0') AS institution_code",
-        "CASE WHEN c_custkey % 4 = 0 THEN concat('NATION_', c_nationkey) ELSE concat('新', c_nationkey, '-', c_custkey % 3) END AS institution_name")
+    """Institutions of customers, unknown ones by what their codes and names have in common."""
+    rows = corpus.table(spark, d, "customer").selectExpr("c_custkey", f"{SEEN_CODE} AS institution_code", f"{SEEN_NAME} AS institution_name")
     dim = corpus.institutions(spark, d).select(
         "institution_id", F.concat(F.lit("NATION_"), c("institution_id").cast("string")).alias("institution_name"),
         F.array("institution_code").alias("codes"))

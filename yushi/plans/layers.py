@@ -47,10 +47,11 @@ def ingest_pages(rows: DataFrame, institutions: DataFrame, layer: DataFrame | No
     """The whole job: institutions of the rows found or numbered anew, then the raw layer.
 
     `rows` are raw rows with institution_code and institution_name instead of an id."""
-    known = identity.resolve_institutions(rows, institutions)
-    new = known.where("is_new").groupBy("institution_id").agg(
-        F.min("institution_code").alias("institution_code"), F.min("institution_name").alias("institution_name"))
-    return {"raw": ingest_raw(known.drop("institution_code", "institution_name", "is_new"), layer), "new_institutions": new}
+    known = identity.institution_map(rows, institutions)
+    first = lambda c: F.min(F.nullif(F.col(c), F.lit(""))).alias(c)
+    new = known.where("is_new").groupBy("institution_id").agg(first("institution_code"), first("institution_name"))
+    found = identity.with_institutions(rows, known).drop("institution_code", "institution_name", "is_new")
+    return {"raw": ingest_raw(found, layer), "new_institutions": new}
 
 
 # ------------------------------------------------------------- processed layer
