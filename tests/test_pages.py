@@ -81,6 +81,29 @@ def test_references_are_those_of_html(run):
     assert run(T.unescape, texts) == [None if t is None else html.unescape(t) for t in texts]
 
 
+def test_references_of_any_length(run):
+    """Random strings of references, whole, cut short, glued to other words, with any number of digits."""
+    import html
+    import random
+
+    assert run(T.unescape, ["&#0000000065;", "&#x000000041;b", "&copy2024", "&notit;", "&#99999999999;"]) == ["A", "Ab", "©2024", "¬it;", "\ufffd"]
+    rng = random.Random(11)
+    names = list(html.entities.html5)
+    parts = ["&", ";", "#", "x", "0", "65", " ", "copy", "amp", "é", "<b", "=", "&#", "&#x", "&#X"]
+
+    def piece():
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice(parts)
+        if kind < 0.6:
+            return "&" + rng.choice(names) + rng.choice(["", ";", "2024", "x", " "])
+        code = rng.choice([rng.randint(0, 300), rng.randint(0, 0x120000), rng.choice([0xFDD0, 0xFFFE, 0x1FFFF, 0xD800, 10**12])])
+        return rng.choice([f"&#{code:0{rng.randint(1, 14)}d}", f"&#x{code:0{rng.randint(1, 14)}x}", f"&#X{code:X}"]) + rng.choice(["", ";", "g"])
+
+    texts = ["".join(piece() for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    assert run(T.unescape, texts) == [html.unescape(t) for t in texts]
+
+
 def test_no_reference_is_left_on_the_pages(spark):
     import re
 

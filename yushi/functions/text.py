@@ -98,7 +98,9 @@ def normalize_rate_page(text: Column) -> Column:
 
 
 # named, decimal and hexadecimal references; a final semicolon is part of the name
-_REFERENCE = "&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+_REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});?"
+# names that need no semicolon, the longest first: a longer word may begin with one
+_BARE = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 _FREQUENT = ["amp;", "nbsp;", "lt;", "gt;", "quot;", "yen;", "copy;", "middot;", "apos;", "hellip;", "times;"]
 
 
@@ -115,17 +117,26 @@ def _windows_1252() -> Column:
 
 
 def _character(code: Column) -> Column:
+    """The character of a number; control characters and code points that are none give nothing, numbers out of range the mark for it."""
     plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     bad = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-    return F.when(bad, chr(0xFFFD)).otherwise(F.coalesce(F.try_element_at(_windows_1252(), code.cast("string")), plain))
+    none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+    return F.when(bad, chr(0xFFFD)).when(none, "").otherwise(F.coalesce(F.try_element_at(_windows_1252(), code.cast("string")), plain))
 
 
 def _decoded(reference: Column) -> Column:
-    """The characters of one reference, itself if there is no such name."""
+    """The characters of one reference, itself if there is no such name.
+
+    Numbers have any number of digits; a word that is no name is read as the longest name it begins with, if that needs no semicolon."""
     digits = F.rtrim(F.lower(reference), F.lit(";"))
-    number = (F.when(digits.startswith("&#x"), F.conv(F.substring(digits, 4, 8), 16, 10)).otherwise(F.substring(digits, 3, 9))).try_cast("bigint")
-    name = F.substring(reference, 2, 40)
-    return F.when(reference.startswith("&#"), _character(number)).otherwise(F.coalesce(F.try_element_at(_names(), name), reference))
+    hexadecimal = digits.startswith("&#x")
+    rest = F.ltrim(F.when(hexadecimal, F.substring(digits, 4, 1 << 30)).otherwise(F.substring(digits, 3, 1 << 30)), F.lit("0"))
+    short = F.when(F.length(rest) <= 8, rest)  # a longer number is no code point
+    number = F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
+    name, bare = F.substring(reference, 2, 40), F.regexp_extract(reference, _BARE, 1)
+    known = F.try_element_at(_names(), name)
+    begun = F.when(bare != "", F.concat(F.try_element_at(_names(), bare), F.substring(reference, F.length(bare) + 2, F.lit(40))))
+    return F.when(reference.startswith("&#"), _character(number)).otherwise(F.coalesce(known, begun, reference))
 
 
 def unescape(text: Column) -> Column:

@@ -1,9 +1,11 @@
 """Layer tables: content dedup, product upsert, change history, staged writes.
 
-All merges are one union and one group-by with min / max over ordered structs:
-partial aggregation shrinks a hot key before the shuffle, so a page copied into
-a third of the corpus or a product updated by a third of the rows costs one row
-per task.
+Merges choose their winners by numbers of fixed width: time and id of a version become one
+decimal, so the first and the last of a key are a hash aggregation over narrow
+rows, and partial aggregation shrinks a hot key before the shuffle. The wide columns are fetched
+afterwards, for the winners only, by key and number: versions of a hot key have different
+numbers and spread over all tasks. Nothing wide is sorted. Inputs are read once for each set of columns, so
+pass stored tables, of which a scan reads no more than these.
 """
 
 from __future__ import annotations
@@ -17,19 +19,36 @@ from yushi import fixed_values as V
 from yushi.operators.identity import dense_ids
 
 
+def _place(at: Column, no: Column) -> Column:
+    """Time in microseconds and id in one number, in the order (time, id); a missing time comes first."""
+    wide = lambda x, n: x.cast(f"decimal({n},0)")
+    micros = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(-(10**17)))
+    shifted = wide(no, 19) + wide(F.lit(str(2**63)), 20)
+    return (wide(micros, 18) * wide(F.lit("2" + "0" * 19), 20) + shifted).cast("decimal(38,0)")
+
+
+def _fetched(won: DataFrame, rows: DataFrame, key, place: str) -> DataFrame:
+    """The rows of `rows` (key, place, more) whose place has won, in a join that hashes the winners."""
+    names = {k: f"_key{n}" for n, k in enumerate(key)}
+    rows = rows.withColumnsRenamed({**names, place: "_place"})
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()] + [F.col(place) == F.col("_place")]
+    return won.hint("shuffle_hash").join(rows, same).drop(*names.values(), "_place")
+
+
 # -------------------------------------------------------------- content dedup
 def page_versions(pages: DataFrame, identity, payload, key=("content_hash",)) -> DataFrame:
     """Partial form of the raw layer: per key the first identity, the last payload.
 
-    `min` and `max` compare (scraped_at, raw_id) first, which is unique, so the
-    columns behind it only travel along.  Page bodies stay in the page store;
-    the layer carries hash and length and points to the body by raw_id."""
-    order = ["scraped_at", "raw_id"]
-    return pages.groupBy(*key).agg(
-        F.min(F.struct(*order, *[c for c in identity if c not in order])).alias("first"),
-        F.max(F.struct(*order, *[c for c in payload if c not in order])).alias("last"),
-        F.count("*").alias("copies"),
-    )
+    (scraped_at, raw_id) names a capture: rows that repeat one are equal and become one version, `copies`
+    counts them all. Page bodies stay in the page store; the layer carries hash and length and
+    points to the body by raw_id."""
+    order, place = ["scraped_at", "raw_id"], _place(F.col("scraped_at"), F.col("raw_id"))
+    struct = lambda cols: F.struct(*order, *[c for c in cols if c not in order])
+    won = pages.groupBy(*key).agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("copies"))
+    first = pages.select(*key, place.alias("_first"), struct(identity).alias("first"))
+    last = pages.select(*key, place.alias("_last"), struct(payload).alias("last"))
+    both = _fetched(_fetched(won, first, key, "_first"), last, key, "_last")
+    return both.select(*key, "first", "last", "copies").distinct()
 
 
 def merge_versions(*parts: DataFrame, key=("content_hash",)) -> DataFrame:
@@ -53,30 +72,24 @@ def as_layer(versions: DataFrame, key=("content_hash",)) -> DataFrame:
 PRODUCT_KEY = ["institution_id", "product_name", "loan_type"]
 
 
-def _applied(order: str) -> list[Column]:
-    """Sort columns that put the version applied last at the end."""
-    at, no = F.unix_micros(F.col("data_updated_at").cast("timestamp")), F.col("processed_data_id")
-    return [at, no] if order == "newest" else [-at, -no]
-
-
 def upsert(current: DataFrame, incoming: DataFrame, order: str = "newest") -> DataFrame:
     """Products after applying all incoming versions.
 
     The version applied first opens a product and fixes the columns an update
     leaves alone; the one applied last gives the refreshed columns.  `newest`
-    applies in time order, `literal` newest first, so that the oldest wins."""
+    applies in time order, `literal` newest first, so that the oldest wins. Equal rows count once."""
     refreshed = [c for c in V.UPSERT_REFRESHED if c not in PRODUCT_KEY]
     kept = [c for c in incoming.columns if c not in refreshed and c not in PRODUCT_KEY]
-    zero = F.lit(0).cast("bigint")
-    old = current.withColumn("_ord", F.struct(F.lit(0).alias("new"), zero.alias("at"), zero.alias("no")))
-    at, no = _applied(order)
-    new = incoming.withColumn("_ord", F.struct(F.lit(1).alias("new"), at.alias("at"), no.alias("no")))
-    both = old.select(*PRODUCT_KEY, *kept, *refreshed, "_ord").unionByName(
-        new.select(*PRODUCT_KEY, *kept, *refreshed, "_ord"))
-    merged = both.groupBy(*PRODUCT_KEY).agg(
-        F.min(F.struct("_ord", *kept)).alias("opened"), F.max(F.struct("_ord", *refreshed)).alias("latest"))
-    return merged.select(*PRODUCT_KEY, *[F.col(f"opened.{c}").alias(c) for c in kept],
-                         *[F.col(f"latest.{c}").alias(c) for c in refreshed])
+    columns = [*PRODUCT_KEY, *kept, *refreshed]
+    place = _place(F.col("data_updated_at"), F.col("processed_data_id"))
+    # what is stored already was applied before anything that comes in
+    old = current.select(*columns, F.lit("-" + "9" * 38).cast("decimal(38,0)").alias("_at"))
+    both = old.unionByName(incoming.select(*columns, (place if order == "newest" else -place).alias("_at")))
+    won = both.groupBy(*PRODUCT_KEY).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    opened = both.select(*PRODUCT_KEY, F.col("_at").alias("_first"), *kept)
+    latest = both.select(*PRODUCT_KEY, F.col("_at").alias("_last"), *refreshed)
+    merged = _fetched(_fetched(won, opened, PRODUCT_KEY, "_first"), latest, PRODUCT_KEY, "_last")
+    return merged.select(*columns).distinct()
 
 
 def with_ids(products: DataFrame, known: DataFrame) -> DataFrame:
@@ -94,24 +107,29 @@ def _plain(column: Column, kind: str) -> Column:
     return F.to_json(column) if kind.startswith(("struct", "array", "map")) else column.cast("string")
 
 
-def history(versions: DataFrame, fields) -> DataFrame:
+def history(versions: DataFrame, fields, last: DataFrame | None = None) -> DataFrame:
     """What changed from each version of a product to the next, every version counted.
 
+    `last` holds the last version of each product before these (the stored products), so a run compares only what came in.
     The step before a version is looked for inside its month; the first version of a month
     looks at the last of the month before that has any.  So no window holds more than
     one product's month, or one row per month, however often a product changes."""
     order = ["data_updated_at", "processed_data_id"]
     kinds = {f: versions.schema[f].dataType.simpleString() for f in fields}
-    rows = versions.select(*PRODUCT_KEY, F.date_trunc("month", "data_updated_at").alias("_month"), F.struct(
-        F.unix_micros(F.col("data_updated_at").cast("timestamp")).alias("at"), F.col("processed_data_id").alias("no"),
-        F.col("data_updated_at").alias("changed_at"), *[_plain(F.col(f), kinds[f]).alias(f) for f in fields]).alias("v"))
+
+    def narrow(df, new):
+        return df.select(*PRODUCT_KEY, F.date_trunc("month", "data_updated_at").alias("_month"), F.struct(
+            F.unix_micros(F.col("data_updated_at").cast("timestamp")).alias("at"), F.lit(new).alias("new"), F.col("processed_data_id").alias("no"),
+            F.col("data_updated_at").alias("changed_at"), *[_plain(F.col(f), kinds[f]).alias(f) for f in fields]).alias("v"))
+
+    rows = narrow(versions, True) if last is None else narrow(last, False).unionByName(narrow(versions, True))
     month = [*PRODUCT_KEY, "_month"]
-    within = Window.partitionBy(*month).orderBy("v.at", "v.no")
+    within = Window.partitionBy(*month).orderBy("v.at", "v.new", "v.no")
     across = Window.partitionBy(*PRODUCT_KEY).orderBy("_month")
-    steps = rows.withColumn("inner_old", F.lag("v").over(within))
-    last = rows.withColumn("_back", F.row_number().over(Window.partitionBy(*month).orderBy(F.col("v.at").desc(), F.col("v.no").desc())))
-    before = last.where("_back = 1").select(*month, F.lag("v").over(across).alias("month_old")).where(F.col("month_old").isNotNull())
-    pairs = (steps.join(before, month, "left").withColumn("old", F.coalesce("inner_old", "month_old"))
+    steps = rows.select("*", F.lag("v").over(within).alias("inner_old"), F.lead(F.lit(1)).over(within).alias("_next"))
+    ends = steps.where("_next IS NULL").select(*month, "v")
+    before = ends.select(*month, F.lag("v").over(across).alias("month_old")).where(F.col("month_old").isNotNull())
+    pairs = (steps.where("v.new").join(before, month, "left").withColumn("old", F.coalesce("inner_old", "month_old"))
              .where(F.col("old").isNotNull()))
     entries = F.array_compact(F.array(*[
         F.when(~F.col(f"old.{c}").eqNullSafe(F.col(f"v.{c}")),

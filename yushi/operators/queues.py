@@ -38,6 +38,29 @@ def unintegrated(processed: DataFrame, institutions: DataFrame, products: DataFr
     return _newest(todo.join(names, "institution_id"), "processed_at", "processed_id", limit)
 
 
+BUCKETS = 16
+
+
+def stored_by_id(rows: DataFrame, path: str, table: str, key: str = "processed_id", mode: str = "overwrite") -> DataFrame:
+    """Rows stored in buckets of an id, so that joins on it with other such tables need no exchange."""
+    rows.write.mode(mode).bucketBy(BUCKETS, key).sortBy(key).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def record(ids: DataFrame, path: str, table: str) -> None:
+    """Add the ids a run has taken to the ledger; an id that is there twice does no harm."""
+    stored_by_id(ids.select("processed_id"), path, table, mode="append")
+
+
+def open_rows(processed: DataFrame, ledger: DataFrame, institutions: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Completed rows that no run has taken yet, newest first, by the ledger of consumed ids.
+
+    Unlike the ids that products carry, the ledger knows later versions of a product too."""
+    todo = processed.where("processing_status = 'completed'").join(ledger.select("processed_id").hint("merge"), "processed_id", "left_anti")
+    names = institutions.select("institution_id", "institution_name")
+    return _newest(todo.join(names, "institution_id"), "processed_at", "processed_id", limit)
+
+
 def backlog(raw: DataFrame, processed: DataFrame) -> DataFrame:
     return raw.select("raw_id").join(processed.select("raw_id"), "raw_id", "left_anti").agg(
         F.count("*").alias("backlog"))

@@ -59,17 +59,12 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.filter(pieces, lambda p: p != ""))
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """Bigram index (bigram, document) for corpora searched many times."""
-    return docs.select(key, F.explode(bigrams(text)).alias("bigram"))
-
-
 def text_search(docs: DataFrame, texts: list[str], words: str, exact: bool = False,
                 share: float = 0.5, order: list[str] | None = None, best: int | None = None) -> DataFrame:
     """Documents with at least `share` of the query's bigrams, the number they have as score.
 
-    The query is one short literal, so each row scores itself: no index, no
-    join and no shuffle for a single search.  `exact` asks for the whole phrase; `best` keeps
+    The query is one short literal, so each row scores itself: for tables searched
+    once or small ones; `textindex` is for those searched many times.  `exact` asks for the whole phrase; `best` keeps
     so many of the highest scores, ties by the columns in `order`."""
     body = F.concat_ws(" ", *texts)
     if exact:
@@ -83,13 +78,6 @@ def text_search(docs: DataFrame, texts: list[str], words: str, exact: bool = Fal
     return found.orderBy(F.col("score").desc(), *(order or [])).limit(best)
 
 
-def indexed_search(index: DataFrame, key: str, words: str, share: float = 0.5) -> DataFrame:
-    """The same scores from stored `postings`: only the query's bigrams are read."""
-    asked = sorted({words[i:i + 2] for i in range(max(1, len(words) - 1))})
-    hits = index.where(F.col("bigram").isin(asked)).groupBy(key).agg(F.count("*").alias("score"))
-    return hits.where(F.col("score") >= F.ceil(F.lit(share * len(asked))))
-
-
 def page(df: DataFrame, order: list[Column], size: int, number: int = 1) -> DataFrame:
     """One page by number; use `after` to go deep."""
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)

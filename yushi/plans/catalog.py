@@ -12,10 +12,10 @@ from yushi import fixed_values as V
 from yushi.functions import amounts, answers, grids, labels, rates, shaping, terms
 from yushi.functions import text as T
 from yushi.functions.regex import all_hits, no_pair, once
-from yushi.operators import identity, layers, links, matching, metrics, queues, search
+from yushi.operators import identity, layers, links, matching, metrics, queues, search, textindex
 from yushi.plans import extract
 from yushi.plans import layers as plans
-from yushi.session import work_dir
+from yushi.session import work_dir, written
 from yushi.sources import corpus, seeds
 from yushi.streaming import ingest
 
@@ -100,38 +100,82 @@ def all_product_rows(spark, d) -> DataFrame:
     return plans.product_rows(done, structured_rows(spark, d))
 
 
-def product_versions(spark, d) -> DataFrame:
-    return plans.split_rejects(all_product_rows(spark, d))[0]
-
-
 def _empty_like(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
 def products(spark, d) -> DataFrame:
     """Product layer after integrating every completed row."""
-    rows = product_versions(spark, d)
+    rows = product_versions(spark, d).drop("early")
     return layers.upsert(_empty_like(rows), rows)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def stored_products(spark, d) -> DataFrame:
-    """The product layer with ids as one job of this application has written it; searches read it with pushed filters."""
-    at = (spark.sparkContext.applicationId, d)
+def _state(spark, d, *tables: str) -> tuple:
+    """What the files of the tables are now: a changed input is another state."""
+    marks = F.xxhash64("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").cast("decimal(38,0)")
+    return tuple(tuple(corpus.table(spark, d, t).agg(F.count("*"), F.sum(marks)).first()) for t in tables)
+
+
+def _job(spark, d, name: str, write) -> str:
+    """The folder that a job has written for the tables as they are; it runs again when they have changed."""
+    at = (spark.sparkContext.applicationId, d, name, _state(spark, d, "orders"))
     if at not in _STORED:
-        path = work_dir(spark, "products")
-        plans.store_products(products(spark, d), None, path)
+        path = work_dir(spark, name)
+        write(path)
         _STORED[at] = path
-    return spark.read.parquet(_STORED[at])
+    return _STORED[at]
+
+
+def stored_products(spark, d) -> DataFrame:
+    """The product layer with ids as a job has written it; searches read it with pushed filters."""
+    rows = lambda: plans.withdraw(products(spark, d), F.expr(corpus.WITHDRAWN))
+    return spark.read.parquet(_job(spark, d, "products", lambda path: plans.store_products(rows(), None, path)))
+
+
+SEARCHED = ["product_name", "summary"]
+
+
+def product_index(spark, d) -> str:
+    """The text index of the stored products."""
+    return _job(spark, d, "product-index", lambda path: textindex.build(stored_products(spark, d), "product_id", SEARCHED, path))
+
+
+def product_versions(spark, d) -> DataFrame:
+    """All storable product rows as a job has written them; `early` marks those of the earlier run."""
+    def write(path):
+        early = corpus.processed_rows(spark, d).where(corpus.INTEGRATED_WHERE).select(c("processed_id").alias("processed_data_id"), F.lit(True).alias("early"))
+        rows = plans.split_rejects(all_product_rows(spark, d))[0].join(early, "processed_data_id", "left")
+        rows.withColumn("early", F.coalesce("early", F.lit(False))).write.parquet(path)
+
+    return spark.read.parquet(_job(spark, d, "versions", write))
 
 
 def integrated_products(spark, d) -> DataFrame:
-    """Product layer left by the earlier run."""
-    early = corpus.processed_rows(spark, d).where(corpus.INTEGRATED_WHERE).select("processed_id")
-    rows = product_versions(spark, d).join(early.select(c("processed_id").alias("processed_data_id")), "processed_data_id", "left_semi")
-    return layers.upsert(_empty_like(rows), rows)
+    """Product layer left by the earlier run, with ids."""
+    def write(path):
+        rows = product_versions(spark, d).where("early").drop("early")
+        plans.store_products(layers.upsert(_empty_like(rows), rows), None, path)
+
+    return spark.read.parquet(_job(spark, d, "integrated", write))
+
+
+def _by_id(spark, d, name: str, rows) -> DataFrame:
+    """A table in buckets of processed_id, as a job has written it."""
+    path = _job(spark, d, name, lambda path: queues.stored_by_id(rows(), path, path.rsplit("/", 1)[1].replace("-", "_")))
+    return spark.table(path.rsplit("/", 1)[1].replace("-", "_"))
+
+
+def processed_table(spark, d) -> DataFrame:
+    columns = ["processed_id", "raw_id", "institution_id", "processing_status", "processed_at"]
+    return _by_id(spark, d, "processed", lambda: corpus.processed_rows(spark, d).select(*columns))
+
+
+def ledger(spark, d) -> DataFrame:
+    """Ids that the earlier run has taken."""
+    return _by_id(spark, d, "ledger", lambda: corpus.processed_rows(spark, d).where(corpus.INTEGRATED_WHERE).select("processed_id"))
 
 
 def product_out() -> list:
@@ -241,8 +285,9 @@ def search_facets(spark, d):
 
 @query
 def search_text(spark, d):
-    hits = search.text_search(stored_products(spark, d), ["product_name", "summary"], "教育ローンの説明", order=layers.PRODUCT_KEY, best=50)
-    return hits.select("institution_id", "product_name", "loan_type", "score")
+    """Products by the text index, ranked by how rare what they share with the query is."""
+    hits = textindex.best(stored_products(spark, d), "product_id", product_index(spark, d), "教育ローンの説明300", 50, layers.PRODUCT_KEY, share=0.4)
+    return hits.select("institution_id", "product_name", "loan_type", "n_bigrams", "score")
 
 
 @query
@@ -267,9 +312,7 @@ def search_by_update(spark, d):
 
 @query
 def active_products(spark, d):
-    """Products of institutions with an odd id have been withdrawn here, so that the filter has something to do."""
-    known = stored_products(spark, d).withColumn("is_active", c("institution_id") % 2 == 0)
-    return search.active(known).select(*product_out())
+    return search.active(stored_products(spark, d)).select(*product_out())
 
 
 @query
@@ -287,10 +330,20 @@ def queue_process(spark, d):
     return out.select("raw_id", "institution_id", "institution_name", "source_url", _day("scraped_at").alias("scraped_on"))
 
 
+def _queue_out(out: DataFrame) -> DataFrame:
+    return out.select("processed_id", "raw_id", "institution_id", "institution_name", _day("processed_at").alias("processed_on"))
+
+
 @query
 def queue_integrate(spark, d):
-    out = queues.unintegrated(processed_layer(spark, d), corpus.institutions(spark, d), integrated_products(spark, d))
-    return out.select("processed_id", "raw_id", "institution_id", "institution_name", _day("processed_at").alias("processed_on"))
+    """By the ledger of consumed ids: no version comes up twice."""
+    return _queue_out(queues.open_rows(processed_table(spark, d), ledger(spark, d), corpus.institutions(spark, d)))
+
+
+@query
+def queue_integrate_literal(spark, d):
+    """By the ids that products carry: later versions of a product come up again."""
+    return _queue_out(queues.unintegrated(processed_table(spark, d), corpus.institutions(spark, d), integrated_products(spark, d)))
 
 
 @query
@@ -486,7 +539,7 @@ def _dedup_out(versions: DataFrame) -> DataFrame:
 
 @query
 def dedup_pages(spark, d):
-    return _dedup_out(plans.ingest_raw(raw_layer_rows(spark, d)))
+    return _dedup_out(plans.ingest_raw(written(raw_layer_rows(spark, d), "raw-rows")))
 
 
 def _ingested(spark, d) -> dict:
@@ -495,7 +548,7 @@ def _ingested(spark, d) -> dict:
     code = F.when(c("institution_id") % 5 == 0, F.concat(F.lit("N"), four)).otherwise(four)
     rows = raw_layer_rows(spark, d).withColumns({"institution_code": code, "institution_name": F.lit("")}).drop("institution_id")
     dim = corpus.institutions(spark, d).select("institution_id", "institution_name", F.array("institution_code").alias("codes"))
-    return plans.ingest_pages(rows, dim)
+    return plans.ingest_pages(written(rows, "raw-rows"), dim)
 
 
 @query
@@ -511,7 +564,7 @@ def ingest_job_institutions(spark, d):
 @query
 def dedup_by_source(spark, d):
     """Pages of different institutions or channels stay apart."""
-    rows = raw_layer_rows(spark, d, "variant")
+    rows = written(raw_layer_rows(spark, d, "variant"), "raw-rows")
     key = ("institution_id", "source_url", "variant", "content_hash")
     versions = layers.page_versions(rows, ["raw_id", "content_length", "scraped_at"], ["structured"], key)
     return layers.as_layer(versions, key).select(*key, "raw_id", "copies", _day("updated_at").alias("updated_on"))
@@ -542,7 +595,8 @@ def recent_samples(spark, d):
 
 
 def _upserted(spark, d, order):
-    return layers.upsert(integrated_products(spark, d), product_versions(spark, d), order).select(
+    rows = product_versions(spark, d).drop("early")
+    return layers.upsert(integrated_products(spark, d).select(*rows.columns), rows, order).select(
         "processed_data_id", *product_out(), *product_details())
 
 
@@ -563,11 +617,14 @@ def integration_rejects(spark, d):
 
 @query
 def product_history(spark, d):
-    out = layers.history(product_versions(spark, d), plans.HISTORY_FIELDS)
+    return _history_out(layers.history(product_versions(spark, d), plans.HISTORY_FIELDS))
+
+
+def _history_out(out: DataFrame, *more: str) -> DataFrame:
     joined = lambda m: F.array_join(F.transform("changed_fields", lambda k: F.coalesce(F.try_element_at(c(m), k), F.lit("-"))), "|")
     return out.select(*layers.PRODUCT_KEY, "processed_data_id", F.array_join("changed_fields", "|").alias("changed_fields"),
                       joined("old_values").alias("old_values"), joined("new_values").alias("new_values"),
-                      _day("changed_at").alias("changed_on"))
+                      _day("changed_at").alias("changed_on"), *more)
 
 
 # ------------------------------------------------------------------------ text
@@ -1010,13 +1067,20 @@ def process_batch(spark, d):
 
 
 def _integrated(spark, d) -> dict:
-    return plans.integrate(processed_layer(spark, d), structured_rows(spark, d), corpus.institutions(spark, d), integrated_products(spark, d))
+    """A run over everything that the ledger of the earlier run lacks."""
+    return plans.integrate(processed_layer(spark, d), structured_rows(spark, d), corpus.institutions(spark, d), integrated_products(spark, d), ledger=ledger(spark, d))
 
 
 @query
 def integrate_job(spark, d):
-    """Products after a run over everything the earlier run has left."""
-    return _integrated(spark, d)["products"].select("processed_data_id", *product_out(), *product_details())
+    """Products after the run."""
+    return _integrated(spark, d)["products"].select("product_id", "processed_data_id", *product_out(), *product_details())
+
+
+@query
+def integrate_job_history(spark, d):
+    """What the run has changed, with the ids of the stored products."""
+    return _history_out(_integrated(spark, d)["history"], "product_id")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
@@ -154,18 +154,27 @@ HISTORY_FIELDS = [
 
 
 def integrate(processed: DataFrame, structured: DataFrame, institutions: DataFrame, products: DataFrame,
-              order: str = "newest", limit: int | None = None) -> dict[str, DataFrame]:
-    """One run: queue, product rows, upsert, what changed, and what was rejected."""
-    queue = queues.unintegrated(processed, institutions, products, limit).drop("institution_name")
-    good, rejects = split_rejects(product_rows(queue, structured))
-    stored = layers.upsert(products.select(*good.columns), good, order)
-    known = products.select(*layers.PRODUCT_KEY, "product_id") if "product_id" in products.columns else None
-    if known is not None:
-        stored = layers.with_ids(stored, known)
-    changes = layers.history(products.select(*good.columns).unionByName(good), HISTORY_FIELDS)
-    if known is not None:
+              order: str = "newest", limit: int | None = None, ledger: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One run: queue, product rows, upsert, what changed, what was rejected, and the ids that were taken.
+
+    The product rows of the queue are written once; everything else reads them and the stored products. With a
+    `ledger` of consumed ids the queue is what it lacks, else what no product carries."""
+    queue = (queues.unintegrated(processed, institutions, products, limit) if ledger is None
+             else queues.open_rows(processed, ledger, institutions, limit)).drop("institution_name")
+    rows = written(product_rows(queue, structured), "product-rows")
+    good, rejects = split_rejects(rows)
+    old = products.select(*good.columns)
+    stored = layers.upsert(old, good, order)
+    changes = layers.history(good, HISTORY_FIELDS, last=old)
+    if "product_id" in products.columns:
+        stored = written(layers.with_ids(stored, products.select(*layers.PRODUCT_KEY, "product_id")), "products")
         changes = changes.join(stored.select(*layers.PRODUCT_KEY, "product_id"), layers.PRODUCT_KEY, "left")
-    return {"products": stored, "history": changes, "rejects": rejects}
+    return {"products": stored, "history": changes, "rejects": rejects, "taken": rows.select(c("processed_data_id").alias("processed_id"))}
+
+
+def withdraw(products: DataFrame, gone: Column) -> DataFrame:
+    """Products whose offer has ended stay in the layer, marked as not active."""
+    return products.withColumn("is_active", c("is_active") & ~F.coalesce(gone, F.lit(False)))
 
 
 def store_products(products: DataFrame, known: DataFrame | None, path: str) -> None:
@@ -175,19 +184,21 @@ def store_products(products: DataFrame, known: DataFrame | None, path: str) -> N
     layers.write_layer(layers.with_ids(products, known), path, ["loan_type"])
 
 
-def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable], run_id: str, log_path: str | None = None) -> dict[str, DataFrame]:
-    """Extract every source; rows that yield no product become rejects.
+def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable], run_id: str, log_path: str | None = None) -> dict:
+    """Extract every source once; rows that yield no product become rejects.
 
-    A source is one branch of the plan, its bad rows are data and not errors, so
-    no source can stop another.  With `log_path` the run's log rows are appended there."""
+    A source is one branch of the plan, its bad rows are data and not errors, so no source can stop another. What was extracted is
+    written once: products, rejects and log read it, and `counters` were observed by that write. With `log_path` the log lies there in
+    one folder per run, so the same run id again replaces its rows and totals stay right."""
     out = None
     for name, pages in sources.items():
         part = rules[name](pages)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    ok = c("product_name").isNotNull()
+    ok, seen = c("product_name").isNotNull(), Observation()
+    out = written(out.observe(seen, F.count("*").alias("total"), F.count_if(ok).alias("ok")), "extracted")
     log = out.select(F.lit(run_id).alias("run_id"), c("scraped_at").alias("ts"), c("source_rule").alias("source_no"),
                      ok.cast("int").alias("ok"))
     if log_path:
-        log.write.mode("append").parquet(log_path)
+        layers.write_layer(log, log_path, ["run_id"])
         log = out.sparkSession.read.schema(log.schema).parquet(log_path).where(c("run_id") == run_id)
-    return {"products": out.where(ok), "rejects": out.where(~ok), "log": log, "summary": metrics.run_summary(log)}
+    return {"products": out.where(ok), "rejects": out.where(~ok), "log": log, "summary": metrics.run_summary(log), "counters": seen.get}

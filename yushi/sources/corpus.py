@@ -181,6 +181,9 @@ PROCESSED_WHERE = "priority <> '5-LOW'"
 # completed rows of the most urgent pages were integrated by an earlier run
 INTEGRATED_WHERE = "processing_status = 'completed' AND priority = '1-URGENT'"
 
+# institutions that offer no loans any more; their products stay stored, marked as not active
+WITHDRAWN = "institution_id % 2 = 1"
+
 # ------------------------------------------------------------ brochure tables
 GRIDS = ("part", [
     {

@@ -40,11 +40,24 @@ def _write_newest(spark: SparkSession, out: str, epoch: int, newest) -> None:
     spark.createDataFrame([(newest,)], "newest timestamp").write.mode("overwrite").parquet(_mark(out, epoch))
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Does the folder or file exist, wherever Spark's readers find it?"""
+    try:
+        return bool(spark.read.format("binaryFile").load(path).select("path").take(1))
+    except AnalysisException:
+        return False
+
+
 def start(pages: DataFrame, out: str, checkpoint: str, delay: str = "30 days"):
     """Run over everything available now; `pages` is a streaming DataFrame of
     raw rows (see `plans.layers.raw_rows`).  Pages older than the newest earlier
-    capture minus `delay` are merged like others and counted as late."""
+    capture minus `delay` are merged like others and counted as late.
+
+    A query without its checkpoint would number its parts from 0 again and overwrite those that are
+    there, so it refuses; compact the folder and go on in the new one."""
     spark = pages.sparkSession
+    if _there(spark, f"{out}/epoch=0") and not _there(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{out} has parts of a query whose checkpoint is not {checkpoint}; compact it to a new folder first")
 
     def write(batch: DataFrame, epoch: int) -> None:
         newest = _newest_before(spark, out, epoch)
