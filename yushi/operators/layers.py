@@ -10,8 +10,10 @@ pass stored tables, of which a scan reads no more than these.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,49 @@ def write_layer(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def write_version(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Write a layer as a new version; readers see it whole or not at all.
+
+    The rows go to a folder of their own. Only when all are there, a manifest with the next number names it: a job that dies before
+    leaves the old version in force, one that dies after has nothing left to do. With `partition_by`, partitions that df does not
+    have stay as they are in the version before. Two writers of the same number can't both succeed."""
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    old = _manifest(spark, path)
+    if partition_by is None:
+        df.write.parquet(f"{path}/{version}")
+        entries = [(version, None)]
+    else:
+        df.write.partitionBy(partition_by).parquet(f"{path}/{version}")
+        # as many rows as the layer has partitions
+        new = [r[0] for r in spark.read.schema(df.schema).parquet(f"{path}/{version}").select(F.col(partition_by).cast("string")).distinct().collect()]
+        entries = [(version, p) for p in new] + [(v, p) for v, p in old[1] if p not in new]
+    rows = spark.createDataFrame([(old[0] + 1, v, p) for v, p in entries], "number long, version string, part string")
+    rows.coalesce(1).write.mode("error").parquet(f"{path}/_manifest/{old[0] + 1:012d}")
+
+
+def _manifest(spark, path: str) -> tuple[int, list[tuple[str, str | None]]]:
+    """Number and entries of the version in force."""
+    try:
+        rows = spark.read.schema("number long, version string, part string").parquet(f"{path}/_manifest/*").collect()
+    except AnalysisException:
+        return 0, []
+    last = max((r.number for r in rows), default=0)
+    return last, [(r.version, r.part) for r in rows if r.number == last]
+
+
+def read_version(spark, path: str, partition_by: str | None = None) -> DataFrame:
+    """The version in force. Versions that still hold partitions are read as one table each, so filters on the partition prune all of them."""
+    _, entries = _manifest(spark, path)
+    out = None
+    for version in sorted({v for v, _ in entries}):
+        rows, own = spark.read.parquet(f"{path}/{version}"), [p for v, p in entries if v == version]
+        if partition_by and len({v for v, _ in entries}) > 1:
+            named = F.col(partition_by).cast("string").isin([p for p in own if p is not None])
+            rows = rows.where(named | F.col(partition_by).isNull() if None in own else named)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """One JSON object per row and line, absent fields left out."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)

@@ -22,9 +22,42 @@ class LoanQuery:
     term: tuple[int, int] | None = None
 
 
-def _overlaps(lo: str, hi: str, wanted) -> Column:
+#: Ranges of a product: smallest and largest bound as stored, and what stands for a bound that is missing.
+RANGES = {"rate": ("interest_rate_min", "interest_rate_max", "double", -1e18, 1e18),
+          "amount": ("loan_amount_min", "loan_amount_max", "bigint", -(2**62), 2**62),
+          "term": ("loan_term_min", "loan_term_max", "int", -(2**30), 2**30)}
+
+
+def with_open_ends(products: DataFrame) -> DataFrame:
+    """Products with their ranges as rate_from, rate_to, …: a missing bound is one that no search is beyond.
+
+    Conditions on these columns are plain comparisons, which the scan uses to skip row groups."""
+    out = {}
+    for name, (lo, hi, kind, least, most) in RANGES.items():
+        out[f"{name}_from"] = F.coalesce(F.col(lo).cast(kind), F.lit(least).cast(kind))
+        out[f"{name}_to"] = F.coalesce(F.col(hi).cast(kind), F.lit(most).cast(kind))
+    return products.withColumns(out)
+
+
+def curve() -> Column:
+    """Place of a product on a curve through rates, amounts and terms: products that are near each other in all three are near here.
+
+    Lower bounds in 256 steps each, their bits interleaved; the steps only decide how rows lie, never what is found."""
+    step = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x))).cast("int")
+    parts = [step(F.col("rate_from") * 12), step(F.log2(F.greatest(F.col("amount_from"), F.lit(1))) * 6), step(F.col("term_to").cast("double") * 5)]
+    out = F.lit(0)
+    for bit in range(8):
+        for k, x in enumerate(parts):
+            out = out + F.shiftleft(F.shiftright(x, bit).bitwiseAND(F.lit(1)), 3 * bit + k)
+    return out
+
+
+def _overlaps(products: DataFrame, name: str, wanted) -> DataFrame:
     """Interval overlap; an open side of a product does not exclude it."""
-    return (F.coalesce(F.col(lo) <= wanted[1], F.lit(True))) & (F.coalesce(F.col(hi) >= wanted[0], F.lit(True)))
+    if f"{name}_from" in products.columns:
+        return products.where((F.col(f"{name}_from") <= wanted[1]) & (F.col(f"{name}_to") >= wanted[0]))
+    lo, hi = RANGES[name][:2]
+    return products.where(F.coalesce(F.col(lo) <= wanted[1], F.lit(True)) & F.coalesce(F.col(hi) >= wanted[0], F.lit(True)))
 
 
 def search(products: DataFrame, query: LoanQuery) -> DataFrame:
@@ -35,12 +68,9 @@ def search(products: DataFrame, query: LoanQuery) -> DataFrame:
         products = products.where(F.col("institution_id") == query.institution_id)
     if query.max_rate is not None:
         products = products.where(F.col("interest_rate_min") <= query.max_rate)
-    if query.rate:
-        products = products.where(_overlaps("interest_rate_min", "interest_rate_max", query.rate))
-    if query.amount:
-        products = products.where(_overlaps("loan_amount_min", "loan_amount_max", query.amount))
-    if query.term:
-        products = products.where(_overlaps("loan_term_min", "loan_term_max", query.term))
+    for name, wanted in (("rate", query.rate), ("amount", query.amount), ("term", query.term)):
+        if wanted:
+            products = _overlaps(products, name, wanted)
     return products
 
 
@@ -79,7 +109,7 @@ def text_search(docs: DataFrame, texts: list[str], words: str, exact: bool = Fal
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int = 1) -> DataFrame:
-    """One page by number; use `after` to go deep."""
+    """One page by number; use `after` or `pages` to go deep."""
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 

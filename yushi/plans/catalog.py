@@ -13,6 +13,7 @@ from yushi.functions import amounts, answers, grids, labels, rates, shaping, ter
 from yushi.functions import text as T
 from yushi.functions.regex import all_hits, no_pair, once
 from yushi.operators import identity, layers, links, matching, metrics, queues, search, textindex
+from yushi.operators import pages as ordered_pages
 from yushi.plans import extract
 from yushi.plans import layers as plans
 from yushi.session import work_dir, written
@@ -132,7 +133,7 @@ def _job(spark, d, name: str, write) -> str:
 def stored_products(spark, d) -> DataFrame:
     """The product layer with ids as a job has written it; searches read it with pushed filters."""
     rows = lambda: plans.withdraw(products(spark, d), F.expr(corpus.WITHDRAWN))
-    return spark.read.parquet(_job(spark, d, "products", lambda path: plans.store_products(rows(), None, path)))
+    return plans.read_products(spark, _job(spark, d, "products", lambda path: plans.store_products(rows(), None, path)))
 
 
 SEARCHED = ["product_name", "summary"]
@@ -159,7 +160,7 @@ def integrated_products(spark, d) -> DataFrame:
         rows = product_versions(spark, d).where("early").drop("early")
         plans.store_products(layers.upsert(_empty_like(rows), rows), None, path)
 
-    return spark.read.parquet(_job(spark, d, "integrated", write))
+    return plans.read_products(spark, _job(spark, d, "integrated", write))
 
 
 def _by_id(spark, d, name: str, rows) -> DataFrame:
@@ -310,6 +311,17 @@ def search_by_update(spark, d):
     return search.page(hits, [c("data_updated_at").desc(), c("processed_data_id")], 20, 3).select("processed_data_id", *product_out())
 
 
+BY_UPDATE = ["data_updated_at", "processed_data_id"]
+
+
+@query
+def search_page_number(spark, d):
+    """Page 30 of all versions of products by their update, found through the directory."""
+    order = [c(x) for x in BY_UPDATE]
+    path = _job(spark, d, "ordered", lambda path: ordered_pages.store(product_versions(spark, d).drop("early"), order, path, 16))
+    return ordered_pages.page(spark, path, order, 20, 30).select("processed_data_id", *product_out())
+
+
 @query
 def active_products(spark, d):
     return search.active(stored_products(spark, d)).select(*product_out())
@@ -572,11 +584,11 @@ def dedup_by_source(spark, d):
 
 @query
 def ingest_stream(spark, d):
-    """The whole extraction arrives in several files; each is a micro-batch."""
+    """The whole extraction arrives in twelve files, four of them in each micro-batch."""
     source, out, check = (work_dir(spark, f"raw-layer{x}") for x in ("-in", "", "-check"))
     rows = raw_layer_rows(spark, d)
-    rows.repartitionByRange(3, "scraped_at").write.parquet(source)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows.repartitionByRange(12, "scraped_at").write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
     ingest.start(arriving, out, check).awaitTermination()
     return _dedup_out(ingest.read(spark, out))
 

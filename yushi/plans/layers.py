@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yushi import fixed_values as V
 from yushi.functions import answers, labels, shaping
-from yushi.operators import identity, layers, metrics, queues
+from yushi.operators import identity, layers, metrics, queues, search
 from yushi.plans.extract import identified
 from yushi.session import written
 
@@ -178,10 +178,19 @@ def withdraw(products: DataFrame, gone: Column) -> DataFrame:
 
 
 def store_products(products: DataFrame, known: DataFrame | None, path: str) -> None:
-    """Write the product layer with ids, by loan type; `known` gives the ids of products stored before."""
+    """Write a version of the product layer with ids, by loan type; `known` gives the ids of products stored before.
+
+    Rows of a type lie along `search.curve`, so that row groups hold narrow ranges of rate, amount and term; where a type
+    is large, it is cut into several files along the curve."""
     if known is None:
         known = products.sparkSession.createDataFrame([], "institution_id long, product_name string, loan_type string, product_id long")
-    layers.write_layer(layers.with_ids(products, known), path, ["loan_type"])
+    rows = search.with_open_ends(layers.with_ids(products, known)).withColumn("_place", search.curve())
+    placed = rows.repartitionByRange("loan_type", "_place").sortWithinPartitions("loan_type", "_place").drop("_place")
+    layers.write_version(placed, path, "loan_type")
+
+
+def read_products(spark, path: str) -> DataFrame:
+    return layers.read_version(spark, path, "loan_type")
 
 
 def run_all(sources: dict[str, DataFrame], rules: dict[str, Callable], run_id: str, log_path: str | None = None) -> dict:

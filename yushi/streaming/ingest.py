@@ -11,7 +11,7 @@ never counts a page twice.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from yushi.operators import layers
@@ -69,8 +69,9 @@ def start(pages: DataFrame, out: str, checkpoint: str, delay: str = "30 days"):
             F.max(F.struct("scraped_at", "raw_id", "structured")).alias("last"),
             F.count("*").alias("copies"), F.sum("late").alias("late"))
         path = f"{out}/epoch={epoch}"
-        part.write.mode("overwrite").parquet(path)
-        here = spark.read.parquet(path).agg(F.max("last.scraped_at").alias("m")).first().m
+        seen = Observation()
+        part.observe(seen, F.max("last.scraped_at").alias("newest")).write.mode("overwrite").parquet(path)
+        here = seen.get["newest"]
         _write_newest(spark, out, epoch, max((t for t in (newest, here) if t is not None), default=None))
 
     return (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
