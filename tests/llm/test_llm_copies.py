@@ -250,3 +250,13 @@ def test_one_of_each(spark):
     classes = brute_classes(rows)
     assert {r.doc_id for r in J.one_of_each(documents(spark, rows)).collect()} == {c[1] for c in classes}
     assert J.one_of_each(empty_docs(spark)).count() == 0 and J.report(empty_docs(spark)).count() == 0
+
+
+def test_windows_in_a_row_are_one_entry():
+    at = lambda pos, n: pos * S._AT + n
+    rows = [(1, at(5 + k, 1)) for k in range(300)] + [(2, at(305, 1)), (2, at(307, 1)), (3, at(9, 60)), (3, at(69, 1)), (3, at(70, 1)), (3, at(71, 4))]
+    random.Random(1).shuffle(rows)
+    doc, where = S._stretches(np.array([d for d, _ in rows]), np.array([a for _, a in rows]))
+    assert list(zip(doc.tolist(), where.tolist())) == [(1, at(5, 127)), (1, at(132, 127)), (1, at(259, 46)), (2, at(305, 1)), (2, at(307, 1)), (3, at(9, 60)), (3, at(69, 2)), (3, at(71, 4))]
+    empty = np.zeros(0, np.int64)
+    assert [len(x) for x in S._stretches(empty, empty)] == [0, 0]

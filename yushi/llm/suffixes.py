@@ -40,7 +40,7 @@ from yushi.llm.tables import arrow_map, packed, parts, slices, stored, utf8
 from yushi.session import work_dir
 
 LENGTH, KEY = 100, 32
-BATCHES = 2
+BATCHES = 4
 #: Documents looked at for anchors that very many runs share, and the share of all their runs that makes one such.
 SAMPLED, HOT_SHARE, HOT_LEAST = 16, 1 / 20_000, 40
 #: Bytes hashed at a time, and bytes of an Arrow batch whose runs are sorted together.
@@ -171,6 +171,18 @@ def _parts_of(anchor: np.ndarray, content: np.ndarray, hot: np.ndarray, n: int)
     return ((x >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
+def _stretches(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single windows that follow one another in a document as one entry of up to _AT - 1 windows; longer runs stay as they are."""
+    order = np.lexsort((at, doc))
+    doc, pos, n = doc[order], at[order] // _AT, at[order] % _AT
+    follows = np.zeros(len(doc), bool)
+    follows[1:] = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (n[1:] == 1) & (n[:-1] == 1)
+    first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(doc)))) if len(doc) else np.zeros(0, np.int64)
+    start = np.flatnonzero((np.arange(len(doc)) - first) % (_AT - 1) == 0)
+    size = np.diff(np.append(start, len(doc)))
+    return doc[start], pos[start] * _AT + np.where(n[start] == 1, size, n[start])
+
+
 KINDS = "kind string, doc long, at long, anchor long, part int, fresh boolean, doc0 long, blob binary"
 
 
@@ -196,7 +208,7 @@ def batch_arrays(texts: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[
             order, first = _first([anchor, content], doc, at)
             again = order[~first]
             if len(again):
-                yield _rows("repeat", doc=doc[again], at=at[again])
+                yield _rows("repeat", **dict(zip(("doc", "at"), _stretches(doc[again], at[again]))))
             own = order[first]
             if len(own):
                 anchor, content, doc, at = anchor[own], content[own], doc[own], at[own]
@@ -222,7 +234,7 @@ def scan(rows: DataFrame, hot: np.ndarray, n_parts: int, keep: bool) -> DataFram
         order, first = _first([anchor, content], doc, at)
         again = order[~first & fresh[order]]
         if len(again):
-            yield _rows("repeat", doc=doc[again], at=at[again])
+            yield _rows("repeat", **dict(zip(("doc", "at"), _stretches(doc[again], at[again]))))
         own = order[first]
         anchor, content, doc, at, fresh = anchor[own], content[own], doc[own], at[own], fresh[own]
         group = np.cumsum(np.concatenate([[0], (anchor[1:] != anchor[:-1]).astype(np.int64)])) if len(own) else own
