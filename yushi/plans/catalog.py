@@ -316,10 +316,10 @@ BY_UPDATE = ["data_updated_at", "processed_data_id"]
 
 @query
 def search_page_number(spark, d):
-    """Page 30 of all versions of products by their update, found through the directory."""
+    """Page 10 of all versions of products by their update, found through the directory."""
     order = [c(x) for x in BY_UPDATE]
     path = _job(spark, d, "ordered", lambda path: ordered_pages.store(product_versions(spark, d).drop("early"), order, path, 16))
-    return ordered_pages.page(spark, path, order, 20, 30).select("processed_data_id", *product_out())
+    return ordered_pages.page(spark, path, order, 20, 10).select("processed_data_id", *product_out())
 
 
 @query
