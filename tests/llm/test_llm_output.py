@@ -178,6 +178,41 @@ def test_grammar_is_complete(terminals):
         assert [x.tolist() for _, _, x in tokens._decoded(row, terminals)] == [seq[:5000].tolist(), seq[5000:].tolist()]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_grammar_is_that_of_recounting(seed):
+    """Every round counts all pairs anew, here."""
+    rng = np.random.default_rng(seed)
+    n, terminals = int(rng.integers(1, 600)), int(rng.integers(1, 12))
+    seq, last = rng.integers(0, terminals, n).astype(np.uint32), rng.random(n) < 0.05
+    last[-1] = True
+    docs = [x.tolist() for x in np.split(seq, np.flatnonzero(last) + 1)[:-1]]
+    want = []
+    while True:
+        counts = Counter(p for d in docs for p in zip(d, d[1:]))
+        floor = max(tokens.LEAST_COUNT, max(counts.values(), default=0) // 2)
+        side, new = {}, {}
+        for (a, b), _ in sorted(((p, c) for p, c in counts.items() if c >= floor), key=lambda x: (-x[1], x[0])):
+            if a == b:
+                if a not in side:
+                    side[a] = 3
+                    new[(a, b)] = terminals + len(want) + len(new)
+            elif side.setdefault(a, 1) == 1 and side.setdefault(b, 2) == 2:
+                new[(a, b)] = terminals + len(want) + len(new)
+        if not new:
+            break
+        want += new
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                pair = tuple(d[i:i + 2])
+                out.append(new.get(pair, d[i]))
+                i += 2 if pair in new else 1
+            docs[k] = out
+    rules, symbols, still = tokens.repair(seq, last, terminals)
+    assert [tuple(r) for r in rules.tolist()] == want
+    assert symbols.tolist() == [x for d in docs for x in d] and np.diff(np.flatnonzero(still), prepend=-1).tolist() == [len(d) for d in docs]
+
+
 def test_tokens_of_an_empty_table(spark):
     assert tokens.encode_report(empty_docs(spark)).count() == 0
 

@@ -52,12 +52,12 @@ class Cache:
 
     def ids(self, tokens: list[str]) -> bytes:
         young, old = self.young, self.old
-        new = [w for w in set(tokens) if w not in young]
+        new = set(tokens).difference(young)
         if new:
             if len(young) + len(new) > _CACHE:
                 self.old, old = young, young
                 self.young = young = {}
-                new = list(set(tokens))
+                new = set(tokens)
             known = self.fixed | {w: old[w] for w in new if w in old}
             young.update(known)
             unknown = [w for w in new if w not in known]
@@ -78,7 +78,7 @@ class Encoder:
     Texts with a special token's string are encoded in one piece."""
 
     SIMPLE = re.compile(r"[\x00-\x7f\xc0-\xff]*")
-    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z\xdf-\xf6\xf8-\xff0-9]+")
+    RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z\xdf-\xf6\xf8-\xff0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -139,7 +139,7 @@ class Encoder:
                 out[k] = raw[a:b]
 
         for k, r in enumerate(raws):
-            if len(r) > _PIECE or b"\0" in r or b"<|" in r or not self.SIMPLE.fullmatch(r.decode()):
+            if len(r) > _PIECE or b"\0" in r or b"<|" in r or not (r.isascii() or self.SIMPLE.fullmatch(r.decode())):
                 out[k] = self.ids(r)
                 continue
             some.append(k)
@@ -161,62 +161,123 @@ def encoder(path: str) -> Encoder:
 # -- grammar --------------------------------------------------------------------------------------------------------
 
 
-def _choose(s: np.ndarray) -> list[tuple[int, int]]:
-    """Frequent pairs from the sorted pair keys; a symbol is on one side only, so occurrences never overlap."""
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    n = np.diff(np.append(at, len(s)))
-    often = np.flatnonzero(n >= max(LEAST_COUNT, n.max() // 2))
-    often = often[np.lexsort((s[at[often]], -n[often]))]
+def _choose(often: np.ndarray, n: np.ndarray) -> list[int]:
+    """Which of the frequent pairs (keys, counts) a round replaces; a symbol is on one side only, so occurrences never overlap."""
     side: dict[int, int] = {}
     out = []
-    for k in s[at[often]].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
+    order = np.lexsort((often, -n))
+    for k, key in zip(order.tolist(), often[order].tolist()):
+        a, b = key >> 32, key & 0xFFFFFFFF
         if a == b:
             if a not in side:
                 side[a] = 3
-                out.append((a, b))
+                out.append(k)
         elif side.setdefault(a, 1) == 1 and side.setdefault(b, 2) == 2:
-            out.append((a, b))
+            out.append(k)
     return out
 
 
+class Pairs:
+    """Pairs that occur `LEAST_COUNT` times or more, with their counts and places.
+
+    Replacements change the pairs beside them only. What they make holds a new symbol, so no pair ever becomes more frequent,
+    and one that is rare when it comes up is never looked at again. `pair` names the pair at a place, -1 one that is rare or gone."""
+
+    def __init__(self, n: int):
+        self.pair = np.full(n, -1, np.int32)
+        self.key, self.n, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.places, self.used = np.zeros(0, np.int32 if n < 1 << 31 else np.int64), 0
+
+    def add(self, at: np.ndarray, key: np.ndarray, symbols: int) -> None:
+        """The pairs that now stand at some places, each of two of so many symbols."""
+        if len(self.pair) <= 1 << 24 and symbols <= 1 << 20:  # pair and place fit one number
+            both = np.sort(((key >> np.uint64(32)) << np.uint64(44)) | ((key & np.uint64(0xFFFFFFFF)) << np.uint64(24)) | at.astype(np.uint64))
+            key, at = ((both >> np.uint64(44)) << np.uint64(32)) | ((both >> np.uint64(24)) & np.uint64(0xFFFFF)), (both & np.uint64(0xFFFFFF)).astype(np.int32)
+        else:
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(edge, len(key)))
+        often = n >= LEAST_COUNT
+        stay = np.repeat(often, n)
+        n, at, edge = n[often], at[stay], edge[often]
+        self.pair[at] = np.repeat(np.arange(len(self.n), len(self.n) + len(n), dtype=np.int32), n)
+        self.key, self.first = np.append(self.key, key[edge]), np.append(self.first, self.used + np.cumsum(n) - n)
+        self.n = np.append(self.n, n)
+        if self.used + len(at) > len(self.places):
+            self.places = np.concatenate([self.places[:self.used], np.zeros(max(len(at), self.used), self.places.dtype)])
+        self.places[self.used:self.used + len(at)] = at
+        self.used += len(at)
+        self.size = np.diff(np.append(self.first, self.used))
+
+    def drop(self, at: np.ndarray) -> None:
+        """Places, each once, whose pairs are no more."""
+        old = self.pair[at]
+        old = old[old >= 0]
+        self.n -= np.bincount(old, minlength=len(self.n))
+        self.pair[at] = -1
+
+    def frequent(self) -> np.ndarray:
+        return np.flatnonzero(self.n >= max(LEAST_COUNT, self.n.max(initial=0) // 2))
+
+    def where(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of some pairs, and the pair's index in `pairs`."""
+        n = self.size[pairs]
+        k = np.repeat(np.arange(len(pairs)), n)
+        at = self.places[np.repeat(self.first[pairs] - (np.cumsum(n) - n), n) + np.arange(len(k))]
+        here = self.pair[at] == pairs[k]
+        return at[here], k[here]
+
+
 def repair(seq: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs), symbols, and which symbol ends a document. Rule k is symbol terminals + k."""
-    seq, last = seq.astype(np.uint32), last.copy()
-    rules: list[tuple[int, int]] = []
-    while len(seq) > 1:
-        inside = ~last[:-1]
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        chosen = _choose(np.sort(key[inside])) if inside.any() else []
-        if not chosen:
+    seq, last, n = seq.astype(np.uint32), last.copy(), len(seq)
+    index = np.int32 if n < 1 << 31 else np.int64
+    after, before = np.arange(1, n + 1, dtype=index), np.arange(-1, n - 1, dtype=index)
+    alive, pairs, rules = np.ones(n, bool), Pairs(n), [np.zeros(0, np.uint64)]
+    seen, made = np.zeros(n, index), terminals
+
+    def key(at):
+        return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]]
+
+    def once(*places):
+        at = np.concatenate(places)
+        rank = np.arange(len(at), dtype=index)
+        seen[at] = rank
+        return at[seen[at] == rank]
+
+    inside = np.flatnonzero(~last[:-1]).astype(index)
+    pairs.add(inside, key(inside), made)
+    while True:
+        often = pairs.frequent()
+        chosen = often[_choose(pairs.key[often], pairs.n[often])]
+        if not len(chosen):
             break
-        pairs = np.array(chosen, np.uint64)
-        keys = (pairs[:, 0] << np.uint64(32)) | pairs[:, 1]
-        order = np.argsort(keys)
-        left, right = np.zeros(terminals + len(rules), bool), np.zeros(terminals + len(rules), bool)
-        left[pairs[:, 0]] = True
-        right[pairs[:, 1]] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inside)
-        k = np.searchsorted(keys[order], key[at])
-        k[k == len(keys)] = 0
-        hit = keys[order][k] == key[at]
-        at, k = at[hit], order[k[hit]]
-        same = np.flatnonzero(seq[at] == seq[at + 1])
+        at, k = pairs.where(chosen)
+        same = np.flatnonzero(seq[at] == seq[after[at]])
         if len(same):  # in a run of one symbol every second pair counts
+            same = same[np.argsort(at[same])]
             pos = at[same]
-            new = np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (seq[pos[1:]] != seq[pos[:-1]])])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))
-            odd = (pos - pos[first]) % 2 == 1
+            new = np.concatenate([[True], (pos[1:] != after[pos[:-1]]) | (seq[pos[1:]] != seq[pos[:-1]])])
+            rank = np.arange(len(pos))
+            odd = (rank - np.maximum.accumulate(np.where(new, rank, 0))) % 2 == 1
             stay = np.ones(len(at), bool)
             stay[same[odd]] = False
             at, k = at[stay], k[stay]
-        seq[at] = (terminals + len(rules) + k).astype(np.uint32)
-        last[at] = last[at + 1]
-        alive = np.ones(len(seq), bool)
-        alive[at + 1] = False
-        seq, last = seq[alive], last[alive]
-        rules += chosen
-    return np.array(rules, np.uint32).reshape(-1, 2), seq, last
+        gone, left = after[at], before[at]
+        pairs.drop(once(at, gone, left[left >= 0]))
+        seq[at], last[at], alive[gone] = made + k, last[gone], False
+        follow = after[gone]
+        after[at] = follow
+        before[follow[follow < n]] = at[follow < n]
+        left = before[at]
+        left = left[left >= 0]
+        new = once(at[~last[at]], left[~last[left]])
+        rules.append(pairs.key[chosen])
+        made += len(chosen)
+        pairs.add(new, key(new), made)
+    keys = np.concatenate(rules)
+    return np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), seq[alive], last[alive]
 
 
 def width(terminals: int, n_rules: int) -> type:
