@@ -118,12 +118,43 @@ def test_cuckoo_filter():
 def test_filters_follow_changes(spark):
     keys = lines.count_lines(documents(spark, corpus(80, seed=6))).select("k1", "k2").cache()
     half = keys.filter("k1 % 2 = 0")
-    family = lines.update(lines.filters(keys, 3), half.limit(0), half, 3)
+    family = lines.update(lines.filters(keys, 3), keys.filter("k1 % 2 <> 0"), half.limit(0), half, 3)
     by = {r.shard: lines.Cuckoo(r.n_buckets, np.frombuffer(r.cells, np.uint16).reshape(-1, 4)) for r in family.collect()}
     stay = keys.filter("k1 % 2 <> 0").toPandas()
     assert all(by[(a >> 20) % 3].holds(np.array([a]), np.array([b]))[0] for a, b in zip(stay.k1, stay.k2))
 
 
+def known(family, keys, n_shards):
+    by = {r.shard: lines.Cuckoo(r.n_buckets, np.frombuffer(r.cells, np.uint16).reshape(-1, 4)) for r in family.collect()}
+    return [(a >> 20) % n_shards in by and bool(by[(a >> 20) % n_shards].holds(np.array([a]), np.array([b]))[0]) for a, b in keys]
+
+
+def test_filters_grow_when_they_run_over(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b)) for a, b in rng.integers(-2**62, 2**62, (2900, 2))]
+    keys = spark.createDataFrame(rows, "k1 long, k2 long")
+    first, more = spark.createDataFrame(rows[:900], keys.schema), spark.createDataFrame(rows[900:], keys.schema)
+    assert all(known(lines.update(lines.filters(first, 1), keys, more, more.limit(0), 1), rows, 1))
+    assert all(known(lines.update(lines.filters(first, 7).filter("shard = 0"), keys.filter(lines._shard(7) == 0), more.filter(lines._shard(7) == 0), more.limit(0), 7), [r for r in rows if (r[0] >> 20) % 7 == 0], 7))
+
+
+def test_batches_come_and_go(spark):
+    """After each batch the table is that of the documents then there, the filters know every line to act on, and a document that is not named keeps its text."""
+    rows = corpus(90, seed=13) + [(None, "a line that many documents have, with or without an id")] + [(k, "a line that many documents have, with or without an id") for k in (200, 201)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    table, family, there = lines.holders(make([])), lines.filters(lines.count_lines(make([])).select("k1", "k2"), 2), []
+    texts = {}
+    for batch, delete in ((rows[:50], False), (rows[50:], False), (rows[20:60] + rows[-1:], True), ([], True)):
+        table, family, again = lines.apply_batch(table, family, make(batch), 2, delete)
+        there = [r for r in there if r not in batch] if delete else there + batch
+        assert tuples(table, "k1", "k2", "doc_id", "n") == tuples(lines.holders(make(there)), "k1", "k2", "doc_id", "n")
+        assert all(known(family, [(r.k1, r.k2) for r in lines.hot_keys(table).collect()], 2))
+        named, before = {r.doc_id for r in again.collect()}, texts
+        texts = {d: x for d, *x in brute_lines(there)}
+        assert {d for d in texts if texts[d] != before.get(d)} <= named <= set(texts)
+        assert not batch or any(d in before and texts[d] != before[d] for d in texts) or not before
+
+
 def test_licenses(spark):
     text = "some code\n// Licensed under the Apache License, Version 2.0.\n" + "more code of this file\n" * 9
     rows = [

@@ -175,25 +175,54 @@ def filters(keys: DataFrame, n_shards: int) -> DataFrame:
     return keys.select(_shard(n_shards).alias("shard"), "k1", "k2").groupBy("shard").applyInArrow(build, "shard int, n_buckets long, cells binary")
 
 
-def update(family: DataFrame, new: DataFrame, gone: DataFrame, n_shards: int) -> DataFrame:
-    """The filters after some keys came and others went (each key once); only the shards' own keys meet in a task."""
+def update(family: DataFrame, keys: DataFrame, new: DataFrame, gone: DataFrame, n_shards: int) -> DataFrame:
+    """The filters after some keys came and others went (each key once). A shard that runs over is built anew from `keys`,
+    the exact keys after the change: an insertion that finds no place has moved other entries out already."""
     s = _shard(n_shards).alias("shard")
     changes = new.select(s, "k1", "k2", F.lit(True).alias("come")).unionByName(gone.select(s, "k1", "k2", F.lit(False).alias("come")))
 
     def change(key, old, rows):
         shard = (old if old.num_rows else rows)["shard"][0].as_py()
-        f = Cuckoo(1)
+        come = rows["come"].to_numpy(zero_copy_only=False).astype(bool)
+        k1, k2 = rows["k1"].to_numpy(), rows["k2"].to_numpy()
         if old.num_rows:
             cells = np.frombuffer(old["cells"][0].as_py(), np.uint16).reshape(-1, SLOTS).copy()
             f = Cuckoo(old["n_buckets"][0].as_py(), cells)
-        come = rows["come"].to_numpy(zero_copy_only=False).astype(bool)
-        k1, k2 = rows["k1"].to_numpy(), rows["k2"].to_numpy()
-        for a, b in zip(k1[~come].tolist(), k2[~come].tolist()):
-            f.delete(a, b)
-        full = not all([f.insert(a, b) for a, b in zip(k1[come].tolist(), k2[come].tolist())])
+            for a, b in zip(k1[~come].tolist(), k2[~come].tolist()):
+                f.delete(a, b)
+            full = not all(f.insert(a, b) for a, b in zip(k1[come].tolist(), k2[come].tolist()))
+        else:
+            f, full = Cuckoo.holding(k1[come], k2[come]), False
         return pa.table({"shard": pa.array([shard], pa.int32()), "n_buckets": pa.array([f.n], pa.int64()), "cells": [f.cells.tobytes()], "rebuild": [full]})
 
-    return family.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, "shard int, n_buckets long, cells binary, rebuild boolean")
+    changed = family.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, "shard int, n_buckets long, cells binary, rebuild boolean")
+    changed = stored(changed, "filters")
+    over = keys.withColumn("shard", s).join(changed.filter("rebuild").select("shard"), "shard", "left_semi")
+    return changed.filter("NOT rebuild").drop("rebuild").unionByName(filters(over, n_shards))
+
+
+def hot_keys(table: DataFrame) -> DataFrame:
+    """k1, k2, n_docs, max_doc of the lines to act on."""
+    return counts_of(table).filter(F.col("n_docs") >= LEAST_DOCS)
+
+
+def apply_batch(table: DataFrame, family: DataFrame, batch: DataFrame, n_shards: int, delete: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The reference table and the filters after a batch of documents came or, with `delete`, went, and doc_id of all documents whose lines must
+    be decided again: those of an inserted batch, and every holder of a line that became or ceased to be one to act on, or has another
+    largest holder. Only keys of the batch are compared. Deleted documents must be in the table, with the texts they came with.
+
+    A null doc_id is a holder as any other; an empty batch changes nothing; no other column than doc_id and text is read."""
+    more = stored(holders(batch), "batch-lines")
+    after = stored((remove if delete else add)(table, more), "lines")
+    touched = more.select("k1", "k2").distinct()
+    old = hot_keys(table.join(touched, ["k1", "k2"], "left_semi")).select("k1", "k2", F.lit(True).alias("was"), F.col("max_doc").alias("old_max"))
+    new = hot_keys(after.join(touched, ["k1", "k2"], "left_semi")).select("k1", "k2", F.lit(True).alias("is"), F.col("max_doc").alias("new_max"))
+    moved = stored(old.join(new, ["k1", "k2"], "full").filter("was IS NULL OR is IS NULL OR NOT old_max <=> new_max"), "line-moves")
+    filtered = update(family, hot_keys(after).select("k1", "k2"), moved.filter("was IS NULL"), moved.filter("is IS NULL"), n_shards)
+    again = after.join(moved.select("k1", "k2"), ["k1", "k2"], "left_semi").select("doc_id")
+    if not delete:
+        again = again.unionByName(batch.select(F.col("doc_id").cast("long").alias("doc_id")))
+    return after, stored(filtered, "filters"), again.distinct()
 
 
 def shards_for(n_keys: int) -> int:
