@@ -252,6 +252,25 @@ def test_one_of_each(spark):
     assert J.one_of_each(empty_docs(spark)).count() == 0 and J.report(empty_docs(spark)).count() == 0
 
 
+def test_one_of_each_without_ids_and_with_other_columns(spark):
+    """Near copies whose ids are null, or equal, are one group; columns of any name come through."""
+    base = [f"w{k}" for k in range(150)]
+    rows = [(None, " ".join([*base[:20 * k], f"x{k}", *base[20 * k + 1:]])) for k in range(5)]  # any two share 136 or more of 156 shingles
+    other = [" ".join(f"{w}{k}" for k in range(120)) for w in ("a", "b")]
+    rows += [(7, other[0]), (7, other[0] + " end"), (7, other[1]), (7, other[1]), (8, other[1]), (None, other[1] + " end"), (None, None), (None, " "), (None, " ")]
+    names = ["stays", "stay_t", "T", "t_", "place", "place_", "own", "keep_id", "Keep_T", "label", "rep", "first"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    for n in (1, 3):
+        df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema).repartition(n)
+        kept = J.one_of_each(df)
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got)
+        assert sorted(str(r.doc_id) for r in got) == ["7", "7", "None", "None", "None", "None"]
+        assert sum(not (r.text or "").split() for r in got) == 3
+        assert {r.text.split()[0][0] for r in got if r.doc_id == 7} == {"a", "b"}
+
+
 def test_windows_in_a_row_are_one_entry():
     at = lambda pos, n: pos * S._AT + n
     rows = [(1, at(5 + k, 1)) for k in range(300)] + [(2, at(305, 1)), (2, at(307, 1)), (3, at(9, 60)), (3, at(69, 1)), (3, at(70, 1)), (3, at(71, 4))]

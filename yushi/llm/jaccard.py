@@ -340,8 +340,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """doc_id, t, class_id, n_links: one row for each row of docs."""
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and t, rep, label, n_links of each text with words: rep is its smallest doc_id, label names its group."""
     sk = stored(sketches(docs, runs(threshold, recall), width), "sketches")
     words = sk.filter(F.col("t").isNotNull())
     texts = stored(words.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"), F.first("sample").alias("sample")), "texts")
@@ -349,10 +349,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     met = stored(meet(docs, texts, places, threshold, width), "met")
     label = components(met.filter(F.col("root").isNotNull()).select(F.col("t").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("t").agg(F.sum("links").alias("links"))
-    known = (
+    return sk, (
         texts.select("t", "rep", "copies").join(links, "t", "left").join(label.withColumnRenamed("node", "t"), "t", "left")
         .select("t", "rep", F.coalesce("label", "t").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, t, class_id, n_links: one row for each row of docs. `how` goes to `labelled`."""
+    sk, known = labelled(docs, **how)
+    words = sk.filter(F.col("t").isNotNull())
     names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = known.join(names, "label").select("t", "class_id", "n_links")
     found = words.select("doc_id", "t").join(named, "t", "left").select("doc_id", "t", "class_id", "n_links")
@@ -375,22 +381,34 @@ def with_key(docs: DataFrame, name: str) -> DataFrame:
     return arrow_map(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until docs has no such column in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one row of each class: the one with the smallest doc_id, and one of repeated rows."""
-    key = "t"
-    while key in docs.columns:
-        key += "_"
-    first = classes(docs).filter(F.col("t").isNotNull()).groupBy("class_id", "doc_id", "t").agg(F.lit(True).alias("stays"))
-    first = first.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stay_id"), F.col("t").alias("stay_t"), "stays")
-    rows = with_key(docs, key)
-    joined = rows.join(first, F.col(key).eqNullSafe(F.col("stay_t")) & rows["doc_id"].cast("long").eqNullSafe(F.col("stay_id")), "left")
-    apart = F.row_number().over(W.partitionBy(key, rows["doc_id"]).orderBy(F.lit(0)))
+    """The rows of docs with one row of each group: of the text with the smallest doc_id (null last, then the smaller digest), and one of repeated rows.
+
+    Groups go by their texts, so null and equal ids don't matter. Rows without words all stay. Any column may have any name but doc_id and text."""
+    key, own, keep_t, keep_id, place = fresh(docs, "t", "own", "keep_t", "keep_id", "place")
+    _, known = labelled(docs)
+    first = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "t")).alias("first"))
+    first = first.select(F.col("first.t").alias(keep_t), F.col("first.rep").alias(keep_id))
     wordless = F.col(key).isNull()
-    marked = joined.filter(wordless | F.col("stays")).withColumn("place_", apart)
-    return marked.filter(wordless | (F.col("place_") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = with_key(docs, key).withColumn(own, F.when(wordless, F.monotonically_increasing_id()))
+    joined = rows.join(first, (F.col(key) == F.col(keep_t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)), "left")
+    kept = joined.filter(wordless | F.col(keep_t).isNotNull())
+    kept = kept.withColumn(place, F.row_number().over(W.partitionBy(key, own).orderBy("doc_id"))).filter(F.col(place) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies."""
+    """Pipeline stage: one document of each group of near copies, see `one_of_each`; an empty table stays empty."""
     ready(spark)
     return one_of_each(docs)
