@@ -5,7 +5,8 @@ texts of like size, so similar texts choose mostly the same. A chosen shingle is
 stays in the rarest ones only, so many that two texts with `SHARED` of their choices in common meet; the number of runs follows from the target
 recall of that. A bucket of more than `LIMIT` texts is split: its texts extend their paths by shingles of a sample, again the rarest in
 the bucket and as many as that. Splitting ends where buckets are small, where one does not shrink, or where its texts are alike on
-average; such large buckets are compared in pairs of blocks.
+average; such large buckets are compared in pairs of blocks. Blocks are cut by their texts' number and by their shingles, and a bucket of few
+but very long texts is cut like a large one, so what a task holds at once does not grow with the group or its texts.
 
 In a bucket all pairs are compared exactly, by counting common shingles, and none leaves the task: what leaves are, for each text,
 its links and one edge to the root of its local group. A pair that meets in several buckets counts in the smallest
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from yushi.llm.tables import arrow_map, parts, ready, signed, stored, utf8
+from yushi.llm.tables import arrow_map, by_place, parts, ready, signed, slices, stored, utf8
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Expected number of shingles a text chooses in one run.
@@ -37,10 +38,12 @@ RATE = 2.0
 #: Similar texts share at least this part of what each chooses, and of its sample, but for one in 1 / (1 - RECALL) pairs.
 SHARED = 0.4
 LIMIT, BLOCK, DEPTH = 200, 1024, 4
+#: Shingles of a block, all its texts together (eight bytes each): a bucket with more is cut.
+SHINGLES = 1 << 22
 #: Expected size of the sample that paths are extended from.
 SAMPLE = 24
 ALIKE, SHRUNK = 0.5, 0.7
-_COLUMNS = 1 << 13
+_COLUMNS, _AT_ONCE = 1 << 13, 1 << 20
 
 
 def _poisson(mean: float) -> np.ndarray:
@@ -122,8 +125,8 @@ def sketches(docs: DataFrame, n_runs: int, width: int = WIDTH) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two texts or more, with the number of texts as g."""
-    return rows.join(rows.groupBy("b").agg(F.count("*").alias("g")).filter("g >= 2"), "b")
+    """Rows of buckets with two texts or more, with the number of texts as g and of their shingles as s."""
+    return rows.join(rows.groupBy("b").agg(F.count("*").alias("g"), F.sum("n").alias("s")).filter("g >= 2"), "b")
 
 
 def _enough(n: str):
@@ -141,49 +144,49 @@ def rarest(rows: DataFrame) -> DataFrame:
 
 
 def _split(big: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of large buckets (b, t, g): those to compare as they are, and the rows of their children (b, t, parent's g)."""
-    tokens = lambda rows: rows.join(sample, "t").select("b", "t", "g", F.size("sample").alias("k"), F.explode("sample").alias("token"))
+    """Of large buckets (b, t, n, g, s): those to compare as they are, and the rows of their children (b, t, n, parent's g)."""
+    tokens = lambda rows: rows.join(sample, "t").select("b", "t", "n", "g", F.size("sample").alias("k"), F.explode("sample").alias("token"))
     counts = stored(tokens(big).groupBy("b", "token").agg(F.count("*").alias("c"), F.first("g").alias("g")), "token-counts")
     alike = counts.groupBy("b").agg((F.sum(F.col("c") * F.col("c")) / (F.first("g") * F.sum("c"))).alias("share"))
     judged = stored(big.join(alike, "b"), "judged")
-    dense = judged.filter(F.col("share") >= ALIKE).select("b", "t", "g")
+    dense = judged.filter(F.col("share") >= ALIKE).select("b", "t", "g", "s")
     rank = F.row_number().over(W.partitionBy("b", "t").orderBy("c", "token"))
     child = (
         tokens(judged.filter(F.col("share") < ALIKE)).join(counts.select("b", "token", "c"), ["b", "token"])
         .withColumn("place", rank).filter(F.col("place") <= _enough("k")).filter("c >= 2")
-        .select(F.xxhash64("b", "token").alias("b"), "t", F.col("g").alias("parent"))
+        .select(F.xxhash64("b", "token").alias("b"), "t", "n", F.col("g").alias("parent"))
     )
     return dense, child
 
 
-def leaves(texts: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Rows (b, t, g) of the small buckets and of the large ones to compare in blocks."""
-    every = texts.select(F.explode("buckets").alias("b"), "t", F.size("buckets").alias("m"))
-    rows = stored(_sized(rarest(_sized(every)).select("b", "t")), "buckets")
-    small, dense = [rows.filter(F.col("g") <= limit)], []
+def leaves(texts: DataFrame, limit: int = LIMIT, shingles_most: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Rows (b, t) of the small buckets, and (b, t, g, s) of those to compare in blocks: large ones, and few texts with very many shingles."""
+    every = texts.select(F.explode("buckets").alias("b"), "t", F.size("buckets").alias("m"), "n")
+    rows = stored(_sized(rarest(_sized(every)).select("b", "t", "n")), "buckets")
+    few, light = F.col("g") <= limit, F.col("s") <= shingles_most
+    small, dense = [rows.filter(few & light).select("b", "t")], [rows.filter(few & ~light).select("b", "t", "g", "s")]
     sample = texts.select("t", "sample")
-    rows = rows.filter(F.col("g") > limit)
+    rows = rows.filter(~few)
     for depth in range(DEPTH):
         if rows.isEmpty():
             break
         alike, child = _split(rows, sample)
         dense.append(alike)
-        sizes = child.groupBy("b").agg(F.count("*").alias("g"), F.first("parent").alias("parent")).filter("g >= 2")
-        rows = stored(child.select("b", "t").join(sizes, "b"), "children")
-        small.append(rows.filter(F.col("g") <= limit).select("b", "t", "g"))
+        sizes = child.groupBy("b").agg(F.count("*").alias("g"), F.sum("n").alias("s"), F.first("parent").alias("parent")).filter("g >= 2")
+        rows = stored(child.select("b", "t", "n").join(sizes, "b"), "children")
+        small.append(rows.filter(few & light).select("b", "t"))
         stuck = (F.col("g") > SHRUNK * F.col("parent")) if depth < DEPTH - 1 else F.lit(True)
-        rows = rows.filter(F.col("g") > limit)
-        dense.append(rows.filter(stuck).select("b", "t", "g"))
-        rows = rows.filter(~stuck).select("b", "t", "g")
+        dense.append(rows.filter((few & ~light) | (~few & stuck)).select("b", "t", "g", "s"))
+        rows = rows.filter(~few & ~stuck).select("b", "t", "n", "g", "s")
     union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
-    return union(small), union(dense or [rows.filter(F.lit(False))])
+    return union(small), union(dense)
 
 
-def work(small: DataFrame, dense: DataFrame, block: int = BLOCK) -> DataFrame:
+def work(small: DataFrame, dense: DataFrame, block: int = BLOCK, shingles_most: int = SHINGLES) -> DataFrame:
     """w, t, side, leaves: which texts meet where. Small buckets with the same texts meet once, with all their ids."""
     sets = small.groupBy("b").agg(F.sort_array(F.collect_list("t")).alias("ts")).groupBy("ts").agg(F.sort_array(F.collect_list("b")).alias("leaves"))
     few = sets.select(F.element_at("leaves", 1).alias("w"), F.explode("ts").alias("t"), F.lit(0).alias("side"), "leaves")
-    n = F.ceil(F.col("g") / block).cast("int")
+    n = F.ceil(F.greatest(F.col("g") / block, F.col("s") / shingles_most)).cast("int")
     own = dense.withColumn("n", n).withColumn("i", F.pmod(F.xxhash64("t"), F.col("n")).cast("int"))
     pairs = own.select("b", "t", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
@@ -196,11 +199,22 @@ def work(small: DataFrame, dense: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Numbers of common elements of all pairs."""
+    """Numbers of common elements of all pairs of sorted sets of hashes; many elements are taken range by range of their values."""
     n = len(sets)
     if n == 2:
         k = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[len(sets[0]), k], [k, len(sets[1])]])
+    ranges = max(1, -(-sum(map(len, sets)) // _AT_ONCE))
+    edges = np.array([k * 2**64 // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    out = np.zeros((n, n), np.int64)
+    for k in range(ranges):
+        out += _common([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)])
+    return out
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    n = len(sets)
     values = np.concatenate(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
@@ -251,9 +265,9 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def compare(members: list[tuple], threshold: float, width: int) -> Iterator[tuple[bytes, bytes | None, int]]:
-    """members: (t, side, leaves of the bucket, copies, all leaves of the text, words). Yields t, root, links."""
-    sets = [shingles(m[5], width) for m in members]
+def compare(members: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes | None, int]]:
+    """members: (t, side, leaves of the bucket, copies, all leaves of the text, shingles). Yields t, root, links."""
+    sets = [m[5] for m in members]
     inter = common(sets)
     n = np.array([len(s) for s in sets])
     linked = inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9
@@ -293,19 +307,20 @@ def meet(docs: DataFrame, texts: DataFrame, places: DataFrame, threshold: float,
         z = zstandard.ZstdDecompressor()
 
         def found(members: dict) -> pa.RecordBatch:
-            rows = list(compare([(*m[:5], z.decompress(m[5]).split()) for m in members.values()], threshold, width)) if len(members) > 1 else []
+            rows = list(compare(list(members.values()), threshold)) if len(members) > 1 else []
             cols = list(zip(*rows)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["t", "root", "links"])
 
         at, members = None, {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             cols = [c.to_pylist() for c in b.columns]
-            for w, t, *rest in zip(*cols):
+            for w, t, *rest, body in zip(*cols):
                 if w != at:
                     if members:
                         yield found(members)
                     at, members = w, {}
-                members[(t, rest[0])] = (t, *rest)
+                # a text is words for a moment only; what stays are its shingles
+                members[(t, rest[0])] = (t, *rest, shingles(z.decompress(body).split(), width))
         if members:
             yield found(members)
 
@@ -340,12 +355,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def labelled(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK,
+             shingles_most: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and t, rep, label, n_links of each text with words: rep is its smallest doc_id, label names its group."""
     sk = stored(sketches(docs, runs(threshold, recall), width), "sketches")
     words = sk.filter(F.col("t").isNotNull())
-    texts = stored(words.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"), F.first("sample").alias("sample")), "texts")
-    places = work(*leaves(texts, limit), block)
+    texts = stored(words.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"), F.first("sample").alias("sample"), F.first("n").alias("n")), "texts")
+    places = work(*leaves(texts, limit, shingles_most), block, shingles_most)
     met = stored(meet(docs, texts, places, threshold, width), "met")
     label = components(met.filter(F.col("root").isNotNull()).select(F.col("t").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("t").agg(F.sum("links").alias("links"))
@@ -396,6 +412,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with one row of each group: of the text with the smallest doc_id (null last, then the smaller digest), and one of repeated rows.
 
     Groups go by their texts, so null and equal ids don't matter. Rows without words all stay. Any column may have any name but doc_id and text."""
+    names, docs = docs.columns, by_place(docs)
     key, own, keep_t, keep_id, place = fresh(docs, "t", "own", "keep_t", "keep_id", "place")
     _, known = labelled(docs)
     first = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "t")).alias("first"))
@@ -405,7 +422,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     joined = rows.join(first, (F.col(key) == F.col(keep_t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)), "left")
     kept = joined.filter(wordless | F.col(keep_t).isNotNull())
     kept = kept.withColumn(place, F.row_number().over(W.partitionBy(key, own).orderBy("doc_id"))).filter(F.col(place) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from yushi.llm.tables import ready, utf8
+from yushi.llm.tables import by_place, ready, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaim", "n_marks"]
 
@@ -156,9 +156,10 @@ def passes(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs that the policy accepts, with the columns of docs."""
+    columns, docs = docs.columns, by_place(docs)
     rows, names = measured(docs)
     wanted = fail_bits(names).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
-    return rows.filter(wanted).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.filter(wanted).select(*docs.columns).toDF(*columns)
 
 
 def patterns(led: DataFrame) -> DataFrame:

@@ -79,6 +79,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def by_place(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with columns named after their place, but for `keep`: Arrow functions over whole rows don't take names with a dot."""
+    return docs.toDF(*[c if c in keep else f"column_{k}" for k, c in enumerate(docs.columns)])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's long."""
     return np.ascontiguousarray(x, dtype=np.uint64).view(np.int64)
