@@ -7,6 +7,9 @@ frequent ones only is aligned if it has enough of the item's words for the least
 So the same edited passage is found however many documents hold it. Insertions, deletions and changed words cost, so edited copies score
 high and documents that share only common phrases score low. The score is the alignment's share of a perfect one.
 
+Windows are aligned in groups of bounded size, one very long window alone; its memory grows with its length, its time with the square of the item's.
+A window that shares too few words with its item for the least score is left out before, which loses nothing.
+
 A document is read by one task and never shuffled, so a passage in a third of all documents is no hot key. The benchmark is sent in
 blocks of at most `BLOCK_WORDS` words; a larger benchmark takes more passes, with the same result.
 
@@ -27,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from yushi.llm.tables import read
+from yushi.llm.tables import by_place, read
 
 WIDTH, LEAST_SCORE = 3, 0.5
 RARE, LEAST_SEEDS = 8.0, 12
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_TOGETHER = 512
+#: Alignments at once: at most so many pairs, and so many cells of a row over all of them, or one pair.
+_TOGETHER, _CELLS = 512, 1 << 18
+#: Words of an item from which a window must share enough of them before it is aligned, with rare seeds too.
+LONG_ITEM = 256
 
 
 def words(text: str | None) -> list[str]:
@@ -151,6 +157,20 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     return list(zip(best.tolist(), first.tolist(), end.tolist()))
 
 
+def together(todo: list[tuple], lengths: list[int]) -> Iterator[list[tuple]]:
+    """Windows (text, item, first word, seeds, words) of like size, in groups that are aligned at once."""
+    group, widest = [], 0
+    for x in sorted(todo, key=lambda x: (lengths[x[1]], len(x[4]))):
+        wide = max(widest, len(x[4]))
+        if group and (len(group) == _TOGETHER or (len(group) + 1) * wide > _CELLS):
+            yield group
+            group, wide = [], len(x[4])
+        group.append(x)
+        widest = wide
+    if group:
+        yield group
+
+
 def _windows(found: list[tuple[int, tuple[int, int, bool]]], lengths: list[int], n_words: int) -> Iterator[tuple[int, int, int, int, bool]]:
     """item, first word, last word, seeds, whether one is rare: seeds of an item on near diagonals share a window."""
     by: dict[int, list[tuple[int, bool]]] = defaultdict(list)
@@ -198,9 +218,7 @@ def _finder(block: list, table: dict):
         todo: list[tuple] = []
 
         def flush():
-            todo.sort(key=lambda x: (lengths[x[1]], len(x[4])))
-            for at in range(0, len(todo), _TOGETHER):
-                some = todo[at:at + _TOGETHER]
+            for some in together(todo, lengths):
                 for (i, k, first, n, y), (s, a, z) in zip(some, align([(items[k], y) for _, k, _, _, y in some])):
                     score = s / (MATCH * lengths[k])
                     key = (i, block[k][0])
@@ -209,15 +227,18 @@ def _finder(block: list, table: dict):
                         best[key] = row
             todo.clear()
 
+        held_words = 0
         for i, t in enumerate(texts):
             w = words(t)
             hits = [(at, x) for at, own in lookup.hits(w) for x in own]
             for k, a, z, n, rare in _windows(hits, lengths, len(w)) if hits else ():
-                if not rare and shared(k, w[a:z]) < least * lengths[k]:
+                if (not rare or lengths[k] > LONG_ITEM) and shared(k, w[a:z]) < least * lengths[k]:
                     continue
                 todo.append((i, k, a, n, np.array([number.get(x, -3) for x in w[a:z]])))
-                if len(todo) >= 8 * _TOGETHER:
+                held_words += z - a
+                if len(todo) >= 8 * _TOGETHER or held_words > 8 * _CELLS:
                     flush()
+                    held_words = 0
         flush()
         return [(i, item, s, n, -a, z) for (i, item), (s, n, a, z) in best.items()]
 
@@ -242,7 +263,8 @@ def _matches(docs: DataFrame, block: list, least: float) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs without a match, with the columns of docs; decided row by row."""
-    out, at = docs, docs.columns.index("text")
+    names, out = docs.columns, by_place(docs)
+    at, schema = names.index("text"), StructType(out.schema.fields)
     for block in blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast((block, seeds(block, seed_counts(docs, block))))
 
@@ -252,8 +274,8 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> Data
                 bad = {r[0] for r in find(b.column(at).to_pylist(), least)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, StructType(docs.schema.fields))
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*names)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
