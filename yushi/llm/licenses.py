@@ -32,7 +32,6 @@ from yushi.llm.tables import stored
 LEAST_COSINE, LICENSE_FILE_SHARE = 0.6, 0.5
 CUES = ("licens", "licenc", "copyright", "public domain", "redistribut", "permission is hereby", "all rights reserved", "spdx-")
 BLOCK_CUES = (*CUES, "domain", "permission", "rights", "warrant", "creative commons")
-LINE_STARTS = 400
 SPDX = re.compile(r"(?i:SPDX-License-Identifier):[ \t]*(\(?[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)")
 NAMES = r"(?i)^(licen[cs]e|copying|copyright|notice)([.-].*)?$"
 
@@ -114,9 +113,7 @@ class Blocks:
         for name, whole, length, w in self.templates:
             size = min(length, n)
             at = np.arange(0, n - size + 1, max(1, length // 8))
-            if length <= LINE_STARTS:
-                at = np.union1d(at, starts)
-            at = np.union1d(np.minimum(at, n - size), [n - size])
+            at = np.union1d(np.minimum(np.union1d(at, starts), n - size), [n - size])
             dots = np.concatenate([[0.0], np.cumsum(w[short])])
             dot = dots[at + size] - dots[at]
             bound = dot / np.sqrt(norms[at + size] - norms[at])  # a word said twice makes the block longer than this
