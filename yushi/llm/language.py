@@ -4,8 +4,8 @@ For each language a raw-content zstandard dictionary is made from labelled docum
 but letters as spaces, is cut into pieces of `PIECE` bytes, each piece is compressed with every language's dictionary, and the language with the smallest sum wins. A
 narrow margin between the two smallest sums is a rejection.
 
-Fitting takes at most `SAMPLE_ROWS` labelled rows and `DICT_BYTES` bytes for each language, chosen by a hash of doc_id; the rest of the
-training rows is not needed. Every whole text is then classified.
+Fitting takes at most `SAMPLE_ROWS` labelled rows and `DICT_BYTES` bytes for each language, chosen by a hash of doc_id; with so many
+languages that they would pass `ALL_DICTS` bytes together, each gets an equal part of that. The rest of the training rows is not needed. Every whole text is then classified.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any training rows so is every text; ties go to
 the smaller language name; null doc_ids are never learned from and not held out; repeated rows are classified one by one.
@@ -48,13 +48,15 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     # ids and sizes are ranked, not texts; the few chosen ids then fetch theirs
     few = rows.select("doc_id", "lang", F.octet_length("text").alias("n")).withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= SAMPLE_ROWS)
     near = few.withColumn("before", F.sum("n").over(W.partitionBy("lang").orderBy("k")) - F.col("n")).filter(F.col("before") < DICT_BYTES)
-    ids = stored(near.select("doc_id", "lang", "k"), "sample")
+    chosen = stored(near.select("doc_id", "lang", "k", "before"), "sample")
+    # what each language may have is known before any text is fetched
+    most = min(DICT_BYTES, ALL_DICTS // max(1, chosen.select("lang").distinct().count()))
+    ids = chosen.filter(F.col("before") < most).drop("before")
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, ["doc_id", "lang"])
-    cut = texts.select("lang", "k", F.substring(F.col("text").cast("binary"), 1, DICT_BYTES).alias("text"))
+    cut = texts.select("lang", "k", F.substring(F.col("text").cast("binary"), 1, most).alias("text"))
     by: dict[str, list[bytes]] = {}
     for r in cut.groupBy("lang", "k").agg(F.min("text").alias("text")).orderBy("lang", "k").toLocalIterator():
         by.setdefault(r.lang, []).append(plain(bytes(r.text).decode(errors="ignore")))
-    most = min(DICT_BYTES, ALL_DICTS // max(1, len(by)))
     return {lang: b"\n".join(texts)[:most] for lang, texts in by.items()}
 
 
