@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, t string, copies int, body string, bucket int, row string, doc int, a int, kept boolean"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, t string, copies int, body string, bucket int, row string, doc int, a int, kept boolean, `with.dot` int"
 
 LONG = " ".join(f"word{i % 977} and{i % 31}" for i in range(30_000))
 
@@ -15,7 +15,7 @@ def edge_rows():
         (8, "The same line of more than twenty signs", "en", ""), (9, "x\nThe same line of more than twenty signs", "en", "s3"), (10, "tie tie tie tie tie tie tie tie tie tie tie tie", "en", "s3"),
         (11, "tie tie tie tie tie tie tie tie tie tie tie tie", "en", "s3"), (12, "NUL \0 and \x1c and \x85 and \xa0 marks<|endoftext|>end", "fr", "s3"), (-1, "negative id", "fr", "s3"),
     ]
-    return [(d, t, lang, src, None, 7, 9, "t", 3, "b", 1, "r", 2, 5, None) for d, t, lang, src in texts]
+    return [(d, t, lang, src, None, 7, 9, "t", 3, "b", 1, "r", 2, 5, None, 6) for d, t, lang, src in texts]
 
 
 def edge_docs(spark):

@@ -92,6 +92,43 @@ def test_many_edited_copies_are_brute_force(share, same):
     assert all(not set(D.grams(items[k][1])) & set(D.grams(D.words(texts[i]))) for i, k in lost)
 
 
+def test_long_items_are_brute_force(monkeypatch):
+    """Items longer than the bound for their windows: edited copies are found with the same scores, in groups of few cells."""
+    rng = random.Random(4)
+    sentence = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, sentence(D.LONG_ITEM + 60 * k + 30)) for k in range(2)]
+    texts = []
+    for _, w in items:
+        for share in (0.0, 0.1, 0.3):
+            texts.append([*sentence(40), *[f"new{rng.random()}" if rng.random() < share else x for x in w], *sentence(40)])
+        texts += [w[:len(w) // 3] + sentence(400), sentence(300), [x for x in w if rng.random() < 0.8]]
+    n = Counter(g for t in texts for g in set(D.grams(t)))
+    counts = {g: n[g] for _, w in items for g in D.grams(w)}
+    joined = [" ".join(t) for t in texts]
+    want = {}
+    for i, t in enumerate(map(D.words, joined)):
+        for k, w in items:
+            number = {x: j for j, x in enumerate({*t, *w})}
+            s = D.align([(np.array([number[x] for x in w]), np.array([number[x] for x in t]))])[0][0] / (D.MATCH * len(w))
+            if s >= D.LEAST_SCORE:
+                want[i, k] = s
+    assert len(want) >= 6
+    for cells in (1 << 18, 2000):
+        monkeypatch.setattr(D, "_CELLS", cells)
+        got = {(i, k): s for i, k, s, *_ in D._finder(items, D.seeds(items, counts))(joined, D.LEAST_SCORE)}
+        assert got == want
+
+
+def test_groups_of_windows_are_bounded(monkeypatch):
+    monkeypatch.setattr(D, "_CELLS", 1000)
+    rng = random.Random(1)
+    todo = [(k, 0, 0, 1, np.zeros(rng.choice([10, 90, 300, 5000]), int)) for k in range(200)]
+    groups = list(D.together(todo, [20]))
+    assert sorted(x[0] for g in groups for x in g) == list(range(200))
+    assert all(len(g) == 1 or len(g) * max(len(x[4]) for x in g) <= 1000 for g in groups) and len(groups) < 170
+    assert list(D.together([], [])) == []
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     docs, items = leaks(5)
     d, i = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
@@ -225,6 +262,32 @@ def test_large_groups(spark, limit, block):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("most", [700, 4000])
+def test_texts_with_many_shingles_are_cut(spark, most):
+    """Few but long texts, and large groups, are compared in blocks of bounded shingles with the same links."""
+    rng = random.Random(9)
+    long = [f"l{rng.randrange(10**6)}" for _ in range(1500)]
+    rows = near_copies(60)
+    for k in range(8):
+        own = list(long)
+        for _ in range(k):
+            own[rng.randrange(1500)] = f"y{rng.randrange(10**6)}"
+        rows.append((1000 + k, " ".join(own)))
+    got = tuples(J.classes(documents(spark, rows), limit=20, block=16, shingles_most=most), "doc_id", "class_id", "n_links")
+    assert got == brute_classes(rows)
+
+
+def test_common_by_ranges(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = J._mixed(np.arange(5000, dtype=np.uint64))
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 40, 3000, 700, 2500, 0, 900)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for at_once in (1 << 20, 1000, 37):
+        monkeypatch.setattr(J, "_AT_ONCE", at_once)
+        got = J.common(sets)
+        assert (got == want)[~np.eye(len(sets), dtype=bool)].all()  # a set with itself is no pair
+
+
 def test_recall(spark):
     """Single pairs right at the threshold: what one run misses, the others find."""
     rng = random.Random(2)
@@ -258,7 +321,7 @@ def test_one_of_each_without_ids_and_with_other_columns(spark):
     rows = [(None, " ".join([*base[:20 * k], f"x{k}", *base[20 * k + 1:]])) for k in range(5)]  # any two share 136 or more of 156 shingles
     other = [" ".join(f"{w}{k}" for k in range(120)) for w in ("a", "b")]
     rows += [(7, other[0]), (7, other[0] + " end"), (7, other[1]), (7, other[1]), (8, other[1]), (None, other[1] + " end"), (None, None), (None, " "), (None, " ")]
-    names = ["stays", "stay_t", "T", "t_", "place", "place_", "own", "keep_id", "Keep_T", "label", "rep", "first"]
+    names = ["stays", "stay_t", "T", "t_", "place", "place_", "own", "keep_id", "Keep_T", "label", "rep", "first", "a.b", "column_0"]
     schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
     for n in (1, 3):
         df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema).repartition(n)

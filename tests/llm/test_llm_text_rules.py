@@ -1,11 +1,16 @@
 """Quality ledger, line dedup, license scan, URL filter, language ID."""
 
 import hashlib
+import random
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from cases import corpus, documents, edge_docs, edge_rows, empty_docs, tuples
@@ -207,6 +212,18 @@ def test_wrapped_notices_and_licence_files(spark):
             assert got[k].final_license == path.split("/")[0]
 
 
+def test_whole_licences_behind_any_number_of_lines():
+    """A licence of thousands of words is found word for word at every line it can begin at."""
+    standard = licenses.block_templates()
+    name, text, _ = max(standard, key=lambda x: len(x[1]))
+    assert len(licenses.words(text)) > 2000
+    blocks = licenses.Blocks(standard, 10, {})
+    for before in (1, 3, 50, 77):
+        lines = [*(f"first words {k}" for k in range(before)), *text.split("\n"), "words behind"]
+        score, found, whole, first, last = max(blocks.find(lines))
+        assert score > 0.999999 and found == name and whole and first >= before and last < len(lines) - 1
+
+
 def test_template_finds_itself():
     s = licenses.Scanner()
     for name, t in licenses.TEMPLATES:
@@ -247,6 +264,88 @@ def test_rare_tokens_find_what_all_rules_find():
         assert index.judge(u) == every.judge(u)
 
 
+def many_rules(rng):
+    """Thousands of site rules on hosts below one another, words, and expressions without any literal."""
+    part = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    hosts = [".".join(part() for _ in range(rng.randint(1, 3))) + ".com" for _ in range(3000)]
+    rules = [urls.site(rng.choice(["allow", "block"]), f"{h}/{rng.choice(['', part() + '/', part()])}") for h in hosts]
+    rules += [urls.word("block", f"word{k}") for k in range(500)] + [urls.Rule("digits", r"[0-9]{6}", "block", (), "url"), urls.Rule("let", "a", "allow", (), "url")]
+    rng.shuffle(rules)
+    made = [f"http://{rng.choice(hosts) if rng.random() < 0.6 else part() + '.org'}/{part()}/{rng.choice(['', f'word{rng.randrange(900)}', str(rng.randrange(10**7))])}" for _ in range(300)]
+    return rules, made + URLS
+
+
+def brute_verdict(rules, url):
+    host, path = urls.split(url)
+    if url is None:
+        return "", "", None, "allow", None
+    best = None
+    for r in rules:
+        at, _, start = r.name.partition("/")
+        if r.on == "site" and host and (host == at or host.endswith("." + at)) and path.startswith("/" + start):
+            if best is None or (len(r.name), len(at)) > (len(best.name), len(best.name.partition("/")[0])):
+                best = r
+    if best:
+        return host, path, best.name, best.verdict, None
+    low = url.translate(urls._UPPER)
+    worst = next((r.name for r in rules if r.on == "url" and r.verdict == "block" and re.search(r.pattern, low)), None)
+    return host, path, None, "block" if worst else "allow", worst
+
+
+@pytest.mark.parametrize("most", [urls.BLOCK_CHARS, 60_000])
+def test_thousands_of_rules_are_brute_force(spark, most):
+    rules, made = many_rules(random.Random(6))
+    assert (len(list(urls.blocks(rules, most))) > 2) == (most < urls.BLOCK_CHARS)
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").repartition(3)
+    got = {r.page_id: tuple(r)[1:] for r in urls.judged(df, rules, most).collect()}
+    want = {k: brute_verdict(rules, u) for k, u in enumerate(made)}
+    assert got == want and {v[3] for v in want.values()} == {"allow", "block"} and sum(v[4] is not None for v in want.values()) > 10
+
+
+def test_rules_of_any_number(spark):
+    df = spark.createDataFrame([(1, "http://a.com/"), (2, None)], "page_id long, url string")
+    assert tuples(urls.judged(df, []), "page_id", "rule", "verdict") == [(1, None, "allow"), (2, None, "allow")]
+    index = urls.Index([urls.word("block", f"w{k}") for k in range(9)], {})
+    assert not index.compiled and index.judge("http://a.com/w3")[4] == "w3" and list(index.compiled) == [3]
+
+
+def brute_languages(rows, most):
+    """Dictionaries and sizes in plain Python: doc_id, language, margin."""
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4
+    place = lambda d: int.from_bytes(xxhash.xxh64(struct.pack("<q", d), seed=42).digest(), "big", signed=True)
+    packers = {}
+    for lang in sorted({lang for d, t, lang in rows if t and lang and fold(d) != 2}):
+        content, size = [], 0
+        for d, t in sorted(((d, t) for d, t, x in rows if t and x == lang and fold(d) != 2), key=lambda x: (place(x[0]), x[0]))[:language.SAMPLE_ROWS]:
+            if size >= most:
+                break
+            size += len(t.encode())
+            content.append(language.plain(t.encode()[:most].decode(errors="ignore")))
+        d = zstandard.ZstdCompressionDict(b"\n".join(content)[:most], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[lang] = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    out = []
+    for d, t, _ in rows:
+        sizes = []
+        if t and any(c.isalpha() for c in t):
+            b = language.plain(t)
+            sizes = sorted((sum(len(z.compress(b[i:i + language.PIECE])) for i in range(0, len(b), language.PIECE)), lang) for lang, z in packers.items())
+        out.append((d, sizes[0][1], round((sizes[1][0] - sizes[0][0]) / sizes[1][0], 9)) if len(sizes) > 1 else (d, "und", 0.0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("all_dicts", [language.ALL_DICTS, 20_000])
+def test_language_is_brute_force(spark, monkeypatch, all_dicts):
+    monkeypatch.setattr(language, "ALL_DICTS", all_dicts)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in df.collect()]
+    n = len({x for d, t, x in rows if t and x and zlib.crc32(str(d).encode()) % 4 != 2})
+    most = min(language.DICT_BYTES, all_dicts // n)
+    content = language.fit(df.filter(language.fold() != 2))
+    assert len(content) == n and max(map(len, content.values())) <= most and (all_dicts > 10**6 or sum(map(len, content.values())) > all_dicts // 2)
+    got = sorted((r.doc_id, r.lang_pred, round(r.margin, 9)) for r in language.report(df).collect())
+    assert got == brute_languages(rows, most)
+
+
 def test_language(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.report(df).join(df.select("doc_id", "lang"), "doc_id").collect()
