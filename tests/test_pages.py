@@ -126,3 +126,9 @@ def test_overview_reads_nested_elements(run):
 
     html = "<h2>商品概要</h2><p>金利 <b>1.5%</b> ～ <b>3.0%</b></p><ul><li>限度額 <em>500万円</em></li></ul><h2>x</h2>"
     assert run(rates.overview, [html])[0] == ("1.5%-3.0%", "500万円")
+
+
+def test_references_need_their_semicolon_where_a_cut_text_says_so(run):
+    texts = ["and&amp", "a&ampTo", "&amp;amp", "&lt;&copy2024", "&#65;&#66", "&notit;"]
+    assert run(lambda t: T.unescape(t, bare=False), texts) == ["and&amp", "a&ampTo", "&amp", "<&copy2024", "A&#66", "&notit;"]
+    assert run(lambda t: T.split_text(t, bare=False), ["<p>and&amp</p><p>To&amp;</p>"]) == ["and&amp\nTo&"]
