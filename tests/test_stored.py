@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from yushi.operators import layers, pages, search
 from yushi.plans import catalog
+from yushi.sources import corpus
 
 
 def values(df):
@@ -112,3 +113,15 @@ def test_page_numbers_equal_a_full_sort(spark, tmp_path):
     assert len(parts) == 12 and max(parts.values()) < 6_000  # the hot value, a third of all rows, is cut
     plan = pages.page(spark, str(tmp_path / "o"), order, 3, 4_321)._jdf.queryExecution().executedPlan().toString()
     assert "_part" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Exchange rangepartitioning" not in plan
+
+
+def test_the_queue_goes_by_the_ids_that_products_carry(spark):
+    """Versions of the earlier run that no product carries come up again, in the SQL too."""
+    from yushi.check_sql import checks
+
+    got = [r.processed_id for r in catalog.queue_integrate(spark, SF).collect()]
+    carried = {r.processed_data_id for r in catalog.integrated_products(spark, SF).select("processed_data_id").collect()}
+    done = corpus.processed_rows(spark, SF).where("processing_status = 'completed'").join(corpus.institutions(spark, SF), "institution_id", "left_semi")
+    todo = [r.processed_id for r in done.orderBy(F.col("processed_at").desc(), "processed_id").select("processed_id").collect() if r.processed_id not in carried]
+    assert got == todo[:10]
+    assert "priority" not in checks()["queue_integrate"].rsplit(" d ON d.done", 1)[1]
