@@ -125,3 +125,11 @@ def test_the_queue_goes_by_the_ids_that_products_carry(spark):
     todo = [r.processed_id for r in done.orderBy(F.col("processed_at").desc(), "processed_id").select("processed_id").collect() if r.processed_id not in carried]
     assert got == todo[:10]
     assert "priority" not in checks()["queue_integrate"].rsplit(" d ON d.done", 1)[1]
+
+
+def test_rejects_of_the_earlier_run_are_rejected_again(spark):
+    early = corpus.processed_rows(spark, SF).where(corpus.INTEGRATED_WHERE).select(F.col("processed_id").alias("processed_data_id"))
+    rejects = catalog.integrate_job_rejects(spark, SF)
+    everything = catalog.integration_rejects(spark, SF)
+    again = rejects.join(early, "processed_data_id", "left_semi").count()
+    assert again > 0 and again == everything.join(early, "processed_data_id", "left_semi").count()
