@@ -32,3 +32,19 @@ def test_source_rows_are_spread_without_a_setting(spark):
     finally:
         spark.conf.set(corpus.SPREAD, tasks)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_rule_set_sees_each_different_page_once(spark):
+    from yushi.plans import extract
+
+    seen = []
+
+    def rule(pages):
+        seen.append(pages.count())
+        return pages.select("raw_id", "institution_id", "scraped_at", F.length("html_content").alias("n"))
+
+    rows = [(i, i % 3, i, "u", "r", h, None, None, None, v) for i, (h, v) in enumerate([("a", None), ("a", None), ("a", "web"), ("", None), (None, None)])]
+    pages = spark.createDataFrame(rows, "raw_id long, institution_id long, scraped_at long, source_url string, source_rule string, html_content string, "
+                                        "brochure_text string, brochure_file string, rate_page_text string, variant string")
+    out = extract.once_per_page(rule)(pages).orderBy("raw_id").collect()
+    assert seen == [4] and [tuple(r) for r in out] == [(0, 0, 0, 1), (1, 1, 1, 1), (2, 2, 2, 1), (3, 0, 3, 0), (4, 1, 4, None)]
