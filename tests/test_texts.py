@@ -48,3 +48,8 @@ def test_a_rule_set_sees_each_different_page_once(spark):
                                         "brochure_text string, brochure_file string, rate_page_text string, variant string")
     out = extract.once_per_page(rule)(pages).orderBy("raw_id").collect()
     assert seen == [4] and [tuple(r) for r in out] == [(0, 0, 0, 1), (1, 1, 1, 1), (2, 2, 2, 1), (3, 0, 3, 0), (4, 1, 4, None)]
+
+
+def test_grids_are_normalised_once_by_all_tasks(spark):
+    plan = catalog._web_products(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")
