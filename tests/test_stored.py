@@ -133,3 +133,12 @@ def test_rejects_of_the_earlier_run_are_rejected_again(spark):
     everything = catalog.integration_rejects(spark, SF)
     again = rejects.join(early, "processed_data_id", "left_semi").count()
     assert again > 0 and again == everything.join(early, "processed_data_id", "left_semi").count()
+
+
+def test_a_bucket_is_one_file_whatever_the_number_of_tasks(spark, tmp_path):
+    from yushi.operators import queues
+
+    rows = spark.range(1000).withColumnRenamed("id", "processed_id").repartition(7)
+    stored = queues.stored_by_id(rows, str(tmp_path / "b"), "one_file_a_bucket")
+    assert len(list((tmp_path / "b").glob("part-*.parquet"))) == queues.BUCKETS and stored.count() == 1000
+    spark.sql("DROP TABLE one_file_a_bucket")

@@ -50,6 +50,26 @@ def test_a_rule_set_sees_each_different_page_once(spark):
     assert seen == [4] and [tuple(r) for r in out] == [(0, 0, 0, 1), (1, 1, 1, 1), (2, 2, 2, 1), (3, 0, 3, 0), (4, 1, 4, None)]
 
 
+def _below(plan: str, node: str) -> str:
+    """What a plan's text shows from the first such node on."""
+    return plan[plan.index(node):]
+
+
+def test_a_filter_on_what_patterns_find_stays_behind_the_distinct_pages(spark):
+    rows = corpus.raw_pages(spark, SF).select("raw_id", "html_content")
+    found = texts.per_text(rows, "html_content", lambda df: df.withColumn("name", F.regexp_extract("html_content", "<h1>(.+?)</h1>", 1)))
+    plan = found.where("name <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan and "regexp_extract" not in _below(plan, "Aggregate [_digest")
+
+
+def test_products_of_pages_leave_no_pattern_to_the_scan(spark):
+    from yushi.plans import layers
+
+    rows = layers.split_rejects(catalog.all_product_rows(spark, SF))[0]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan and "regexp_extract" not in _below(plan, "Aggregate [_digest")
+
+
 def test_grids_are_normalised_once_by_all_tasks(spark):
     plan = catalog._web_products(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")

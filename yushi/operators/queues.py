@@ -42,8 +42,10 @@ BUCKETS = 16
 
 
 def stored_by_id(rows: DataFrame, path: str, table: str, key: str = "processed_id", mode: str = "overwrite") -> DataFrame:
-    """Rows stored in buckets of an id, so that joins on it with other such tables need no exchange."""
-    rows.write.mode(mode).bucketBy(BUCKETS, key).sortBy(key).option("path", path).saveAsTable(table)
+    """Rows stored in buckets of an id, so that joins on it with other such tables need no exchange.
+
+    One task writes a bucket, so a write adds as many files as there are buckets, not as many for each task."""
+    rows.repartition(BUCKETS, key).write.mode(mode).bucketBy(BUCKETS, key).sortBy(key).option("path", path).saveAsTable(table)
     return rows.sparkSession.table(table)
 
 
