@@ -144,6 +144,23 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert np.frombuffer(enc.ids(t.encode()), np.uint32).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("room", [16, 1024])
+def test_runs_of_many_texts_are_looked_up_together(monkeypatch, room):
+    """The library is asked once for the new runs of all texts, not for known ones, and a table that is full changes nothing."""
+    monkeypatch.setattr(tokens, "_RUNS", room)
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    asked, learn = [], enc.runs.learn
+    monkeypatch.setattr(enc.runs, "learn", lambda new: asked.append(new) or learn(new))
+    texts = ["one two, three's 12", "", "x" * 16 + " " + "x" * 17 + "é" * 40, "it'll \"'s !'s ''s 'd's 'say", "One TWO"]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in enc.many([t.encode() for t in texts])] == want
+    if room == 1024:
+        assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
+    for _, t in corpus(40, seed=9) + [(0, "".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}7" for k in range(700)))]:
+        assert np.frombuffer(enc.many([t.encode()])[0], np.uint32).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
