@@ -150,6 +150,34 @@ def test_collocations_against_plain_counts(spark, monkeypatch, bits, shard, toge
     assert got.columns == PHRASE and got.count() > 150 and tuples(got, *PHRASE) == plain_collocations(rows, 10)
 
 
+def test_texts_are_read_as_often_with_many_tries_as_with_one(spark, monkeypatch):
+    reads, over = [], collocations.over_pieces
+    monkeypatch.setattr(collocations, "over_pieces", lambda *a: reads.append(a[-1]) or over(*a))
+    rows = spoken()
+    few = tuples(collocations.report(lang_docs(spark, rows)), *PHRASE)
+    n = len(reads)
+    assert tuples(collocations.report(lang_docs(spark, rows), shard=10, together=2), *PHRASE) == few == plain_collocations(rows, 10)
+    assert n == 4 and len(reads) == 2 * n  # words, pairs, triples, counts
+
+
+def test_a_piece_sends_its_phrases_by_shard_in_rows_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(collocations, "ROW", 3)
+    text = b"a b c d e f g a b c. a b a b"
+    piece = next(collocations._split("en", text, 1 << 20))
+    may = collocations.Bitmap(np.full(1, ~np.uint64(0)))  # lets all through
+    words, f, key = collocations._seen(piece, collocations._digests(piece), may)
+    rows = collocations._rows(piece, words, f, collocations._shard(key, 2))
+    got = Counter()
+    for r in rows.to_pylist():
+        own = r["words"].split(b"\n")
+        a, b, c = (np.frombuffer(r[x], np.uint16) for x in "abc")
+        assert 0 < len(a) <= 3 and len(own) == len(set(own)) and r["shard"] in (0, 1) and r["kind"] == 1
+        for x, y, z, n in zip(a, b, c, np.frombuffer(r["f"], np.int32)):
+            got[tuple(own[k] for k in (x, y, z) if k != collocations.NONE)] += int(n)
+    want = Counter(tuple(p[i:i + k]) for p in ([x.encode() for x in s.split()] for s in text.decode().split(".")) for k in (2, 3) for i in range(len(p) - k + 1))
+    assert got == want and len(rows) > 4
+
+
 def test_collocations_keep_the_first_of_each_language(spark):
     rows = spoken(150, 8)
     assert tuples(collocations.report(lang_docs(spark, rows), least=2, first=7), *PHRASE) == plain_collocations(rows, 2, 7)

@@ -5,9 +5,10 @@ frequent so far goes out as a bitmap (at most `BITS` bits, whatever the corpus),
 remains is summed by the digests of its words; those that reach the least count form the next bitmap and, turned into words again, the candidates. Collisions
 only let more through: no frequent phrase is missing.
 
-*Counting.* Candidates are dealt by digest to shards of about `SHARD`, and each shard becomes a double-array trie over its own words: state s goes on by word w to
-base[s] + w if check says so. Tries are built in tasks, one per shard, and broadcast a few at a time. numpy moves the states of all text positions
-one word on, level by level, and counts the accepting ones with bincount; each task sends what it counted once per shard, Spark adds up.
+*Counting.* Candidates are dealt by digest to shards of at most about `SHARD`, and each shard becomes a double-array trie over its own words: state s goes on by word w
+to base[s] + w if check says so. The texts are read once: each piece looks its phrases up in a bitmap of the candidates and sends those that pass, with their words and once
+per piece, to the task of their shard, which builds the trie. There numpy moves the states of all phrases that came one word on, level by level, and counts the accepting
+ones with bincount. So a phrase meets one trie, however many there are.
 
 *Texts.* All texts of an Arrow batch and language are split together, a few megabytes at a time, and written once as numbers of the piece's distinct words; a long
 text goes on over pieces with its last two words.
@@ -23,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from yushi.llm.tables import parts, stored, utf8
 
 LEAST, LONGEST, SHARE, FIRST = 10, 3, 50, 2000
-#: Bits of a broadcast bitmap, at most; candidates of a trie; tries that are broadcast at once; bytes of text in one piece.
+#: Bits of a broadcast bitmap, at most; candidates of a trie; tries of a task, one after the other; bytes of text in one piece.
 BITS, SHARD, TOGETHER, PIECE = 1 << 27, 1 << 17, 6, 3 << 20
 RADIX = 64
 
@@ -347,7 +349,9 @@ def build(phrases: list[list[str]]) -> tuple[Trie, np.ndarray]:
     return Trie(words, base, check), place[node]
 
 
-TRIE = "shard int, lang array<string>, phrase array<string>, state binary, words binary, base binary, check binary"
+#: Rows on their way to a shard: a candidate (kind 0, its phrase in words) or phrases seen in a piece (kind 1: their words by lines, the numbers of the
+#: first, second and third words in these, and how often each phrase was seen).
+TO_SHARD, ROW, NONE = "shard int, kind int, lang string, words binary, a binary, b binary, c binary, f binary", 20_000, 65_535
 
 
 def _language(lang: str) -> str:
@@ -355,95 +359,188 @@ def _language(lang: str) -> str:
     return " " + lang.encode().hex()
 
 
-def tries(found: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row per shard: its phrases with their states, and its trie."""
-    n = max(1, -(-found.count() // shard))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n)).cast("int"))
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.list_(pa.string())), ("phrase", pa.list_(pa.string())), ("state", pa.binary()), ("words", pa.binary()), ("base", pa.binary()), ("check", pa.binary())])
-
-    def run(table: pa.Table) -> pa.Table:
-        langs, phrases = table.column("lang").to_pylist(), table.column("phrase").to_pylist()
-        trie, states = build([[_language(lang), *p.split(" ")] for lang, p in zip(langs, phrases)])
-        row = {"shard": table.column("shard")[0].as_py(), "lang": langs, "phrase": phrases, "state": states.astype(np.int32).tobytes(), "words": "\n".join(trie.words).encode(), "base": trie.base.tobytes(), "check": trie.check.tobytes()}
-        return pa.Table.from_pylist([row], schema=schema)
-
-    return dealt.groupBy("shard").applyInArrow(run, TRIE)
-
-
-def counts(written: DataFrame, built: DataFrame, n_shards: int, together: int = TOGETHER) -> DataFrame:
-    """shard, state, f of all accepting states, `together` tries in one pass over the texts."""
-    spark, passes = written.sparkSession, []
-    for first in range(0, max(1, n_shards), together):
-        rows = built.filter(F.col("shard").between(first, first + together - 1)).select("shard", "words", "base", "check", "state").toArrow().to_pylist()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast([tuple(r.values()) for r in rows])
-
-        def run(found, sent=sent):
-            use, number = [], {}
-            for shard, words, base, check, state in sent.value:
-                words = words.split(b"\n")
-                own = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-                base, check, state = (np.frombuffer(x, np.int32) for x in (base, check, state))
-                use.append((shard, Trie(words, base, check), own, state))
-            numbers = np.full((len(use), len(number) + 1), -1, np.int64)  # a word's number in each trie
-            for k, (_, _, own, _) in enumerate(use):
-                numbers[k, own] = np.arange(len(own))
-            totals = [np.zeros(len(t.check), np.int64) for _, t, _, _ in use]
-            for p in found:
-                known = np.fromiter((number.get(w, -1) for w in (*p.words, _language(p.lang).encode())), np.int64, len(p.words) + 1)
-                for (_, trie, _, _), own, total in zip(use, numbers, totals):
-                    if own[known[-1]] >= 0:
-                        _count(p, trie, np.append(own[known[:-1]], -1), own[known[-1:]], total)
-            for (shard, _, _, accepting), total in zip(use, totals):
-                some = accepting[total[accepting] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, np.int32)), pa.array(some.astype(np.int64)), pa.array(total[some])], ["shard", "state", "f"])
-
-        passes.append(over_pieces(written, run, "shard int, state long, f long"))
-    if not passes:
-        return spark.createDataFrame([], "shard int, state long, f long")
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionAll(more)
-    return out.groupBy("shard", "state").agg(F.sum("f").alias("f"))
-
-
-def _count(p: Piece, trie: Trie, known: np.ndarray, lang: np.ndarray, total: np.ndarray) -> None:
-    """Adds the states of all phrases of a piece: every position takes the steps of its words at once, the first word's once per distinct word.
-
-    `known` numbers the piece's words in the trie, -1 stands for those it hasn't and for cuts; `lang` is the number of the language."""
-    digits = trie.digits(known)
-    root = trie.word(np.zeros(1, np.int64), trie.digits(lang))
-    if root[0] < 0:
-        return
-    first = np.full(len(known), -1)
-    some = np.flatnonzero(known >= 0)
-    first[some] = trie.word(np.repeat(root, len(some)), digits[some])
-    state = first[p.at]
-    at = np.flatnonzero(state >= 0)
-    state, known_at = state[at], known[p.at]
+def with_key(found: DataFrame) -> DataFrame:
+    """lang, phrase and d1, the digest that a phrase has in the texts."""
+
+    def run(batches):
+        for b in batches:
+            langs, phrases = utf8(b.column(0)), [p.split(b" ") for p in utf8(b.column(1))]
+            seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in set(langs)}
+            d = np.zeros((LONGEST, len(phrases)), np.uint64)
+            for k in range(LONGEST):
+                d[k] = [xxhash.xxh64_intdigest(p[k], seeds[lang]) if k < len(p) else 0 for lang, p in zip(langs, phrases)]
+            n, key = np.array([len(p) for p in phrases], np.int64), d[0]
+            for k in range(1, LONGEST):
+                key = np.where(n > k, _joined(key, d[k]), key)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64))], ["lang", "phrase", "d1"])
+
+    return found.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, d1 long")
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _seen(p: Piece, d: np.ndarray, may: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different phrases of a piece that may be candidates: their words (three rows, -1 fills up), how often they stand there, and their digests."""
+    at, size = p.at, len(p.words)
+    on = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+    key = _joined(d[at[on]], d[at[on + 1]])
+    some = may.has(key)
+    on, key = on[some], key[some]
+    starts = np.zeros(len(at), bool)
+    starts[on] = True
+    pairs, n = _distinct((at[on] * size + at[on + 1])[on + 2 > p.seen])
+    longer = starts[on + 1]
+    on, key = on[longer], key[longer]
+    on = on[may.has(_joined(key, d[at[on + 2]])) & (on + 3 > p.seen)]
+    triples, m = _distinct((at[on] * size + at[on + 1]) * size + at[on + 2])  # a piece has under 2^21 distinct words
+    ends = np.concatenate([np.full(len(pairs), -1), triples % size])
+    pairs = np.concatenate([pairs, triples // size])
+    words = np.stack([pairs // size, pairs % size, ends])
+    key = _joined(d[words[0]], d[words[1]])
+    return words, np.concatenate([n, m]), np.where(ends < 0, key, _joined(key, d[ends]))
+
+
+def _rows(p: Piece, words: np.ndarray, f: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """Phrases of a piece as rows for their shards, at most `ROW` in one, so that their words have numbers of 16 bits."""
+    order = np.argsort(shard, kind="stable")
+    words, f, shard = words[:, order], f[order], shard[order]
+    new = np.append(True, shard[1:] != shard[:-1])
+    place = np.arange(len(shard)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero(new | (place % ROW == 0))
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shard))))
+    size, there = len(p.words), words >= 0
+    own, number = np.unique((row * size + words)[there], return_inverse=True)
+    start = np.searchsorted(own, np.arange(len(first) + 1) * size)
+    numbers = np.full(words.shape, NONE, np.uint16)
+    numbers[there] = number - start[np.broadcast_to(row, words.shape)[there]]
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(p.words, pa.binary()).take(pa.array(own % size))), b"\n")
+    edges = np.append(first, len(shard))
+    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard[first].astype(np.int32)), pa.array(np.ones(len(first), np.int32)), pa.array([p.lang] * len(first), pa.string()), texts, *map(packed, numbers), packed(f.astype(np.int32))],
+        ["shard", "kind", "lang", "words", "a", "b", "c", "f"])
+
+
+def sightings(written: DataFrame, may: Bitmap, shards: int) -> DataFrame:
+    """What the texts have of the candidates, for the shards: each piece sends a phrase once."""
+    sent = written.sparkSession.sparkContext.broadcast(may.words)
+
+    def run(found):
+        use = Bitmap(sent.value)
+        for p in found:
+            if p.words:
+                words, f, key = _seen(p, _digests(p), use)
+                if len(f):
+                    yield _rows(p, words, f, _shard(key, shards))
+
+    return over_pieces(written, run, TO_SHARD)
+
+
+def candidate_rows(keyed: DataFrame, shards: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            shard = _shard(b.column(2).to_numpy().view(np.uint64), shards)
+            none = pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1).cast(pa.binary()), none, none, none, none],
+                                             ["shard", "kind", "lang", "words", "a", "b", "c", "f"])
+
+    return keyed.select("lang", "phrase", "d1").mapInArrow(run, TO_SHARD)
+
+
+class Shard:
+    """The candidates of one shard, their trie once all are there, and how often its states were reached."""
+
+    def __init__(self):
+        self.langs, self.phrases, self.trie = [], [], None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.langs += rows.column(2).to_pylist()
+        self.phrases += rows.column(3).cast(pa.string()).to_pylist()
+
+    def build(self) -> None:
+        self.trie, self.states = build([[_language(lang), *p.split(" ")] for lang, p in zip(self.langs, self.phrases)])
+        self.known = pa.array([w.encode() for w in self.trie.words], pa.binary())
+        self.total = np.zeros(len(self.trie.check), np.int64)
+
+    def count(self, rows: pa.RecordBatch) -> None:
+        if not self.phrases:
+            return
+        if self.trie is None:
+            self.build()
+        langs = pc.index_in(pa.array([_language(x).encode() for x in rows.column(2).to_pylist()], pa.binary()), value_set=self.known)
+        words = pc.split_pattern(rows.column(3), b"\n")
+        ends = words.offsets.to_numpy()
+        numbers = pc.index_in(words.flatten(), value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        phrases = [np.frombuffer(b"".join(rows.column(k).to_pylist()), np.uint16).astype(np.int64) for k in (4, 5, 6)]
+        f = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.int32)
+        at = np.repeat(ends[:-1].astype(np.int64), pc.binary_length(rows.column(4)).to_numpy() // 2)
+        _count(self.trie, numbers, np.repeat(langs.fill_null(-1).to_numpy().astype(np.int64), np.diff(ends)), [np.where(x == NONE, -1, at + x) for x in phrases], f, self.total)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.trie is not None:
+            a = self.total[self.states]
+            some = pa.array(np.flatnonzero(a))
+            yield pa.RecordBatch.from_arrays([pa.array(self.langs, pa.string()).take(some), pa.array(self.phrases, pa.string()).take(some), pa.array(a).take(some)], ["lang", "phrase", "a"])
+
+
+def _count(trie: Trie, known: np.ndarray, lang: np.ndarray, phrases: list[np.ndarray], f: np.ndarray, total: np.ndarray) -> None:
+    """Adds f to the states of phrases: all of them take the steps of their words at once, the first word's once per word of a row.
+
+    `known` numbers the words in the trie, `lang` the languages of these words; -1 stands for those it hasn't. Phrases are places in `known`, -1 fills up."""
+    digits, first = trie.digits(np.maximum(known, 0)), np.full(len(known), -1)
+    some = np.flatnonzero((known >= 0) & (lang >= 0))
+    root = trie.word(np.zeros(len(some), np.int64), trie.digits(lang[some]))
+    some, root = some[root >= 0], root[root >= 0]
+    first[some] = trie.word(root, digits[some])
+    at = np.arange(len(f))
+    state = first[phrases[0]]
     for k in range(1, LONGEST):
-        on = at + k < len(p.at)
-        on[on] = known_at[at[on] + k] >= 0
+        word = phrases[k][at]
+        on = (state >= 0) & (word >= 0)
+        on[on] = known[word[on]] >= 0
         at, state = at[on], state[on]
-        state = trie.word(state, digits[p.at[at + k]])
-        at, state = at[state >= 0], state[state >= 0]
-        total += np.bincount(state[at + k >= p.seen], minlength=len(total))
+        state = trie.word(state, digits[word[on]])
+        ends = state >= 0
+        if k + 1 < LONGEST:
+            ends &= phrases[k + 1][at] < 0
+        total += np.bincount(state[ends], f[at[ends]], len(total)).astype(np.int64)
 
 
-def phrase_counts(written: DataFrame, found: DataFrame, shard: int = SHARD, together: int = TOGETHER) -> DataFrame:
-    """lang, phrase, a of all candidates that occur."""
-    built = stored(tries(found, shard), "tries")
-    n = built.agg(F.max("shard")).first()[0]
+def counts(rows: DataFrame, tasks: int) -> DataFrame:
+    """lang, phrase, a of all candidates that occur, from candidates and sightings. A task has one trie at a time; each row is read by the task of its shard only."""
 
-    def named(batches):
+    def run(batches):
+        last, own = -1, Shard()
         for b in batches:
-            for k in range(b.num_rows):
-                langs, phrases = b.column(1).slice(k, 1).flatten(), b.column(2).slice(k, 1).flatten()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(langs), b.column(0)[k].as_py(), np.int32)), langs, phrases, pa.array(np.frombuffer(b.column(3)[k].as_py(), np.int32).astype(np.int64))], ["shard", "lang", "phrase", "state"])
+            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(shard * 2 + kind)) + 1
+            for first, end in zip([0, *edges], [*edges, b.num_rows]):
+                if first < end and shard[first] != last:
+                    yield from own.found()
+                    last, own = shard[first], Shard()
+                if first < end:
+                    (own.count if kind[first] else own.add)(b.slice(first, end - first))
+        yield from own.found()
+
+    dealt = rows.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "kind")
+    return dealt.mapInArrow(run, "lang string, phrase string, a long")
 
-    names = built.select("shard", "lang", "phrase", "state").mapInArrow(named, "shard int, lang string, phrase string, state long")
-    return names.join(counts(written, built, 0 if n is None else n + 1, together), ["shard", "state"]).select("lang", "phrase", F.col("f").alias("a"))
+
+def phrase_counts(written: DataFrame, found: DataFrame, shard: int = SHARD, together: int = TOGETHER, bits: int = BITS) -> DataFrame:
+    """lang, phrase, a of all candidates that occur."""
+    keyed = stored(with_key(found), "candidate-keys")
+    least = -(-keyed.count() // shard)
+    tasks = max(parts(found), -(-least // together))
+    shards = max(tasks, least)
+    return counts(candidate_rows(keyed, shards).unionAll(sightings(written, bitmap(keyed.select("d1"), bits), shards)), tasks)
 
 
 # -- scores ---------------------------------------------------------------------------------------------------------
@@ -487,5 +584,5 @@ def report(docs: DataFrame, least: int = LEAST, first: int = FIRST, bits: int =
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = stored(words.filter(F.col("f") >= least), "frequent-words")
     found = stored(candidates(written, frequent, least, bits).repartition(parts(docs)), "candidates")
-    phrases = stored(phrase_counts(written, found, shard, together).filter(F.col("a") >= least), "phrases")
+    phrases = stored(phrase_counts(written, found, shard, together, bits).filter(F.col("a") >= least), "phrases")
     return ranked(phrases, frequent, totals, first)
