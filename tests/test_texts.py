@@ -73,3 +73,27 @@ def test_products_of_pages_leave_no_pattern_to_the_scan(spark):
 def test_grids_are_normalised_once_by_all_tasks(spark):
     plan = catalog._web_products(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")
+
+
+def test_a_reference_is_decoded_without_repeating_its_parts(spark, run):
+    from html import unescape
+
+    from yushi.functions import text as T
+
+    numbers = [0, 1, 8, 9, 10, 11, 31, 32, 37, 65, 127, 128, 129, 150, 159, 160, 165, 55296, 57343, 64976, 65374, 65534, 65535, 65536, 128512, 1114111, 1114112, 99999999, 100000000]
+    found = [*(f"a&#{n}{end}b" for n in numbers for end in (";", "")), *(f"&#{x}{n:0{w}x}{end}z" for n in numbers for x in "xX" for w in (1, 12) for end in (";", ""))]
+    found += ["&amp;lt;", "&ampx", "&AMP;&Amp;", "&#;&#x;&#xg;", "&unknown;", "&notit;", "&times;&times", "&#0037;&#X0025;", "", "a & b", "&#12354", "&#" + "9" * 400 + ";", "&#x" + "0" * 50 + "41;"]
+    assert run(T.unescape, found) == [unescape(t) for t in found]
+    plan = spark.createDataFrame([("a",)], "t string").select(T.unescape(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_latin_letters_and_signs_need_no_python(spark):
+    from unicodedata import normalize
+
+    from yushi.functions import text as T
+
+    plain = "".join(map(chr, range(0xBF, 0x100)))
+    rows = spark.createDataFrame([(plain,), ("3\u00d75～Ａé",), ("½",), ("e\u0301",), ("ﾛｰﾝ",)], "t string")
+    got = rows.select("t", F.col("t").rlike(T._PLAIN).alias("plain"), T.nfkc(F.col("t")).alias("n")).collect()
+    assert [r.plain for r in got] == [True, True, False, False, False] and all(r.n == normalize("NFKC", r.t) for r in got)
