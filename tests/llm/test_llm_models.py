@@ -166,7 +166,7 @@ def test_a_piece_sends_its_phrases_by_shard_in_rows_of_bounded_size(monkeypatch)
     piece = next(collocations._split("en", text, 1 << 20))
     may = collocations.Bitmap(np.full(1, ~np.uint64(0)))  # lets all through
     words, f, key = collocations._seen(piece, collocations._digests(piece), may)
-    rows = collocations._rows(piece, words, f, collocations._shard(key, 2))
+    rows = collocations._rows(piece, words, f, collocations._of(key, 2))
     got = Counter()
     for r in rows.to_pylist():
         own = r["words"].split(b"\n")
@@ -178,6 +178,15 @@ def test_a_piece_sends_its_phrases_by_shard_in_rows_of_bounded_size(monkeypatch)
     assert got == want and len(rows) > 4
 
 
+def test_sums_of_phrases_keep_those_of_one_digest_apart(monkeypatch):
+    words = np.array([[1, 2, 1, 3, 2, 1], [5, 6, 5, 7, 6, 6]], np.uint64)
+    for joined in (collocations._joined, lambda a, b: np.zeros(len(a), np.uint64)):
+        monkeypatch.setattr(collocations, "_joined", joined)
+        got, f = collocations._added_up(words, np.array([2, 1, 3, 4, 1, 9]), 3)
+        assert sorted(zip(*got.tolist(), f.tolist())) == [(1, 5, 5), (1, 6, 9), (3, 7, 4)]
+    assert collocations._added_up(words[:, :0], np.zeros(0, np.int64), 1)[0].shape == (2, 0)
+
+
 def test_collocations_keep_the_first_of_each_language(spark):
     rows = spoken(150, 8)
     assert tuples(collocations.report(lang_docs(spark, rows), least=2, first=7), *PHRASE) == plain_collocations(rows, 2, 7)

@@ -36,6 +36,8 @@ from yushi.llm.tables import parts, stored, utf8
 LEAST, LONGEST, SHARE, FIRST = 10, 3, 50, 2000
 #: Bits of a broadcast bitmap, at most; candidates of a trie; tries of a task, one after the other; bytes of text in one piece.
 BITS, SHARD, TOGETHER, PIECE = 1 << 27, 1 << 17, 6, 3 << 20
+#: Pieces' worth of phrases in one bucket of sums.
+BUCKET = 8
 RADIX = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -218,10 +220,47 @@ def _steps(p: Piece, d: np.ndarray, maps: list[Bitmap]) -> np.ndarray:
     return alive
 
 
-def phrase_keys(written: DataFrame, maps: list[Bitmap]) -> DataFrame:
-    """d1, d2, …, f: the digests of the words of all phrases of len(maps) + 1 words whose parts may be frequent; f is never below a phrase's count."""
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each is there."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _packed(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of x from edge to edge."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _of(key: np.ndarray, n: int) -> np.ndarray:
+    """Which of n shards or buckets digests belong to."""
+    return ((key >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+def _added_up(words: np.ndarray, f: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of words whose f come to `least`, and these sums."""
+    key = words[0]
+    for more in words[1:]:
+        key = _joined(key, more)
+    order = np.argsort(key, kind="stable")
+    words, f, key = words[:, order], f[order], key[order]
+    same = key[1:] == key[:-1]
+    if (words[:, 1:] != words[:, :-1])[:, same].any():  # two phrases with one digest
+        order = np.lexsort(words)
+        words, f = words[:, order], f[order]
+        same = (words[:, 1:] == words[:, :-1]).all(axis=0)
+    first = np.flatnonzero(np.append(True, ~same)) if len(f) else np.zeros(0, np.int64)
+    total = np.add.reduceat(f, first) if len(f) else f
+    some = total >= least
+    return words[:, first[some]], total[some]
+
+
+def phrase_keys(written: DataFrame, maps: list[Bitmap], least: int = 1) -> DataFrame:
+    """d1, d2, …, f: the digests of the words of all phrases of len(maps) + 1 words whose parts may be frequent, if f reaches `least`; f is never below a phrase's count.
+
+    A piece sends the phrases of a bucket as one row of packed digests, and a bucket has what `BUCKET` pieces send: its sums are array arithmetic."""
     sent, n = written.sparkSession.sparkContext.broadcast([m.words for m in maps]), len(maps) + 1
-    names = [f"d{k + 1}" for k in range(n)]
+    names, buckets = [f"d{k + 1}" for k in range(n)], max(parts(written), -(-written.count() // BUCKET))
 
     def run(found):
         use = [Bitmap(w) for w in sent.value]
@@ -229,14 +268,44 @@ def phrase_keys(written: DataFrame, maps: list[Bitmap]) -> DataFrame:
             d = _digests(p)
             alive = _steps(p, d, use) if len(d) else np.zeros(0, np.int64)
             alive = alive[alive + n > p.seen]
-            key, size = p.at[alive], max(len(p.words), 1)  # a piece has under 2^21 distinct words
+            if not len(alive):
+                continue
+            key, size = p.at[alive], len(p.words)  # a piece has under 2^21 distinct words
             for k in range(1, n):
                 key = key * size + p.at[alive + k]
-            _, first, count = np.unique(key, return_index=True, return_counts=True)
-            columns = [d[p.at[alive[first] + k]].view(np.int64) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, count.astype(np.int64))], [*names, "f"])
+            key, f = _distinct(key)
+            words = np.stack([d[key // size ** k % size] for k in range(n - 1, -1, -1)])
+            digest = words[0]
+            for more in words[1:]:
+                digest = _joined(digest, more)
+            bucket = _of(digest, buckets)
+            order = np.argsort(bucket, kind="stable")
+            own, count = np.unique(bucket, return_counts=True)
+            edges = np.append(0, np.cumsum(count))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(_packed(x[order], edges) for x in words), _packed(f[order].astype(np.int32), edges)], ["bucket", *names, "f"])
+
+    def added(batches):
+        last, rows = -1, []
+
+        def done():
+            if rows:
+                words = np.stack([np.frombuffer(b"".join(x for r in rows for x in r[k].to_pylist()), np.uint64) for k in range(n)])
+                words, f = _added_up(words, np.frombuffer(b"".join(x for r in rows for x in r[n].to_pylist()), np.int32).astype(np.int64), least)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in words), pa.array(f)], [*names, "f"])
 
-    return over_pieces(written, run, ", ".join(f"{c} long" for c in [*names, "f"])).groupBy(*names).agg(F.sum("f").alias("f"))
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            for first, end in zip([0, *edges], [*edges, b.num_rows]):
+                if first < end:
+                    if bucket[first] != last:
+                        yield from done()
+                        last, rows = bucket[first], []
+                    rows.append(b.slice(first, end - first).columns[1:])
+        yield from done()
+
+    packed = over_pieces(written, run, "bucket int, " + ", ".join(f"{c} binary" for c in [*names, "f"]))
+    return packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(added, ", ".join(f"{c} long" for c in [*names, "f"]))
 
 
 def candidates(written: DataFrame, words: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
@@ -246,7 +315,7 @@ def candidates(written: DataFrame, words: DataFrame, least: int = LEAST, bits: i
     known = stored(with_digest(words), "word-digests")
     maps, out = [bitmap(known, bits)], None
     for n in range(2, LONGEST + 1):
-        keys = stored(phrase_keys(written, maps).filter(F.col("f") >= least).drop("f"), "phrase-keys")
+        keys = stored(phrase_keys(written, maps, least).drop("f"), "phrase-keys")
         if n < LONGEST:
             maps.append(bitmap(keys, bits))
         named = keys
@@ -377,16 +446,6 @@ def with_key(found: DataFrame) -> DataFrame:
     return found.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, d1 long")
 
 
-def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-    return x[first], np.diff(np.append(first, len(x)))
-
-
 def _seen(p: Piece, d: np.ndarray, may: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different phrases of a piece that may be candidates: their words (three rows, -1 fills up), how often they stand there, and their digests."""
     at, size = p.at, len(p.words)
@@ -423,9 +482,8 @@ def _rows(p: Piece, words: np.ndarray, f: np.ndarray, shard: np.ndarray) -> pa.R
     numbers[there] = number - start[np.broadcast_to(row, words.shape)[there]]
     texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(p.words, pa.binary()).take(pa.array(own % size))), b"\n")
     edges = np.append(first, len(shard))
-    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edges * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
     return pa.RecordBatch.from_arrays(
-        [pa.array(shard[first].astype(np.int32)), pa.array(np.ones(len(first), np.int32)), pa.array([p.lang] * len(first), pa.string()), texts, *map(packed, numbers), packed(f.astype(np.int32))],
+        [pa.array(shard[first].astype(np.int32)), pa.array(np.ones(len(first), np.int32)), pa.array([p.lang] * len(first), pa.string()), texts, *(_packed(x, edges) for x in numbers), _packed(f.astype(np.int32), edges)],
         ["shard", "kind", "lang", "words", "a", "b", "c", "f"])
 
 
@@ -439,7 +497,7 @@ def sightings(written: DataFrame, may: Bitmap, shards: int) -> DataFrame:
             if p.words:
                 words, f, key = _seen(p, _digests(p), use)
                 if len(f):
-                    yield _rows(p, words, f, _shard(key, shards))
+                    yield _rows(p, words, f, _of(key, shards))
 
     return over_pieces(written, run, TO_SHARD)
 
@@ -447,7 +505,7 @@ def sightings(written: DataFrame, may: Bitmap, shards: int) -> DataFrame:
 def candidate_rows(keyed: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            shard = _shard(b.column(2).to_numpy().view(np.uint64), shards)
+            shard = _of(b.column(2).to_numpy().view(np.uint64), shards)
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(1).cast(pa.binary()), none, none, none, none],
                                              ["shard", "kind", "lang", "words", "a", "b", "c", "f"])
