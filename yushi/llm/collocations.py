@@ -56,13 +56,15 @@ class Piece(NamedTuple):
     seen: int
 
 
-def _piece(lang: str, tokens: list[bytes], seen: int) -> Piece:
-    known = dict.fromkeys(tokens)
-    known.pop(_CUT, None)
-    words = list(known)
-    place = dict(zip(words, range(len(words))))
-    place[_CUT] = -1
-    return Piece(lang, words, np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens)), seen)
+def _piece(lang: str, text: bytes, seen: int) -> Piece:
+    """Words and dots between single or more blanks; Arrow numbers the different ones."""
+    tokens = pc.split_pattern(pa.array([text], pa.large_binary()), b" ").flatten().dictionary_encode()
+    known, at = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+    number = np.full(len(known), -1, np.int64)
+    some = [k for k, w in enumerate(known) if w not in (b"", _CUT)]
+    number[some] = np.arange(len(some))
+    there = np.array([w != b"" for w in known])
+    return Piece(lang, [known[k] for k in some], number[at[there[at]]], seen)
 
 
 def _split(lang: str, text: bytes, size: int) -> Iterator[Piece]:
@@ -72,10 +74,9 @@ def _split(lang: str, text: bytes, size: int) -> Iterator[Piece]:
         end = min(n, at + size)
         while end < n and text[end] not in b" .":
             end += 1
-        tokens = text[at:end].replace(b".", b" . ").split(b" ")
-        tokens = last + [w for w in tokens if w]
-        yield _piece(lang, tokens, len(last))
-        last, at = tokens[-(LONGEST - 1):], end
+        p = _piece(lang, b" ".join([*last, text[at:end].replace(_CUT, b" . ")]), len(last))
+        yield p
+        last, at = [p.words[k] if k >= 0 else _CUT for k in p.at[-(LONGEST - 1):].tolist()], end
 
 
 def pieces(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Piece]:
